@@ -95,7 +95,7 @@ def crc32_remainder(column: str, modulus: int):
 
 def sql_words(text: str) -> str:
     """DuckDB list of the words of a text."""
-    return f"list_filter(regexp_split_to_array({text}, '[\\x20\\x09-\\x0D]+'), x -> x <> '')"
+    return f"list_filter(regexp_split_to_array({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 
 def lowered(text: str) -> bytes:
