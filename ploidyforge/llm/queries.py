@@ -9,17 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_codec import op10_bpe_codec
 from .decontamination import OP8_SQL, op8_decontamination
 from .line_dedup import OP9_SQL, op9_line_dedup
+from .quality_classifier import op2_quality_classifier
 from .quality_rules import OP4_SQL, op4_quality_rules
 from .simhash import op7_simhash
 from .token_counts import op1_token_counts
 from .token_store import op3_token_store
+from .warc import OP5_SQL, op5_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_quality_classifier": op2_quality_classifier,
         "op3_token_store": op3_token_store,
         "op4_quality_rules": op4_quality_rules,
+        "op5_warc": op5_warc,
         "op7_simhash": op7_simhash,
         "op8_decontamination": op8_decontamination,
         "op9_line_dedup": op9_line_dedup,
@@ -30,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_quality_rules": OP4_SQL,
+        "op5_warc": OP5_SQL,
         "op8_decontamination": OP8_SQL,
         "op9_line_dedup": OP9_SQL,
     }
