@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_codec import op10_bpe_codec
 from .decontamination import OP8_SQL, op8_decontamination
 from .line_dedup import OP9_SQL, op9_line_dedup
+from .lm_scoring import op6_lm_scoring
 from .quality_classifier import op2_quality_classifier
 from .quality_rules import OP4_SQL, op4_quality_rules
 from .simhash import op7_simhash
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_store": op3_token_store,
         "op4_quality_rules": op4_quality_rules,
         "op5_warc": op5_warc,
+        "op6_lm_scoring": op6_lm_scoring,
         "op7_simhash": op7_simhash,
         "op8_decontamination": op8_decontamination,
         "op9_line_dedup": op9_line_dedup,
