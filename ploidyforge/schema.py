@@ -1,0 +1,11 @@
+"""Table layouts. Spark has no row order, so every order is a column."""
+
+COUNTS = "batch string, gene_idx int, cell_idx int, umi double"
+GENES = "gene_idx int, gene string"
+CELLS = "batch string, cell_idx int, cell string"
+ANNOTATION = "abspos long, chrom int, start_position long, end_position long, ensembl_gene_id string, symbol string, band string"
+BINS = "bin_idx int, chrom int, chrompos long, abspos long"
+PROFILE = "batch string, cell_idx int, v array<double>"
+MERGES = "batch string, step int, a int, b int, height double"
+LEAVES = "batch string, pos int, cell_idx int"
+PREDICTION = "batch string, cell_idx int, cell string, prediction string"
