@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 
 import ahocorasick
@@ -168,6 +169,50 @@ class _Counts(dict):
         return value
 
 
+class WordSplitter:
+    """Cuts texts into special strings and words as the word vocabulary's file says: canonical composition, white
+    space to a space, case folded by character, then runs of letters, single digits and runs of other signs."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary = vocabulary
+        self.pattern = regex.compile(WORD_PATTERN)
+        self.space = regex.compile(r"\s+")
+        self.plain = re.compile(r"([A-Za-z]+)([.,;:!?]*)").fullmatch  # most stretches of a text are of this kind
+
+    def words(self, text: str) -> list[str]:
+        """Words of a text without special strings, in the byte alphabet."""
+        if found := self.plain(text):
+            return [found[1].lower(), found[2]] if found[2] else [found[1].lower()]
+        folded = "".join(map(str.lower, self.space.sub(" ", unicodedata.normalize("NFC", text))))
+        return list(map(stand_ins, self.pattern.findall(folded)))
+
+    def encode(self, text: str, ids_of) -> list[int]:
+        """Ids of a text, given those of its words."""
+        special, ids = self.vocabulary.special, []
+        parts = self.vocabulary.special_split.split(text) if any(s in text for s in special) else [text]
+        for part in parts:
+            if part in special:
+                ids.append(special[part])
+            elif part:
+                for word in self.words(part):
+                    ids += ids_of(word)
+        return ids
+
+
+class LibraryEncoder:
+    """Ids by the tokenizers library: its model encodes each distinct word once while it is in a table of bounded size."""
+
+    def __init__(self, text: str, most: int = 500_000) -> None:
+        from tokenizers import Tokenizer
+
+        self.splitter, self.library = WordSplitter(Vocabulary(text)), Tokenizer.from_str(text)
+        model = self.library.model.tokenize
+        self.words = _Counts(lambda word: [t.id for t in model(word)], most)
+
+    def encode(self, text: str) -> list[int]:
+        return self.splitter.encode(text, self.words.__getitem__)
+
+
 class PrefixEncoder:
     """Ids of words by dynamic programming over prefixes.
 
@@ -196,8 +241,7 @@ class PrefixEncoder:
         self.automaton.make_automaton()
         self.pairs = _Counts(self._apart, most)
         self.words = _Counts(self._word, most // 2)
-        self.pattern = regex.compile(WORD_PATTERN)
-        self.space = regex.compile(r"\s+")
+        self.splitter = WordSplitter(vocabulary)
 
     def _apart(self, pair: tuple[int, int]) -> bool:
         """Whether merging the two tokens' symbols gives back just these two tokens."""
@@ -222,17 +266,7 @@ class PrefixEncoder:
         return ids[::-1]
 
     def encode(self, text: str) -> list[int]:
-        """Ids of a text: special strings, then canonical composition, white space and case folded by character, then words."""
-        special, ids = self.vocabulary.special, []
-        parts = self.vocabulary.special_split.split(text) if any(s in text for s in special) else [text]
-        for part in parts:
-            if part in special:
-                ids.append(special[part])
-            elif part:
-                folded = "".join(map(str.lower, self.space.sub(" ", unicodedata.normalize("NFC", part))))
-                for word in self.pattern.findall(folded):
-                    ids += self.words[stand_ins(word)]
-        return ids
+        return self.splitter.encode(text, self.words.__getitem__)
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary strings of the ids, with a space between (the files define no other decoder)."""

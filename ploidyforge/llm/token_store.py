@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import _Counts, read_vocabulary
+from .bpe import LibraryEncoder, _Counts, read_vocabulary
 from .common import fresh_path, map_arrow, read_blobs, read_range, table, texts_of, write_blobs
 
 MAGIC, END = b"IDSHARD1", b"IDSHEND\n"
@@ -175,11 +175,9 @@ def chunk_encoder(text: str, width: int) -> _Counts:
     """Packed ids of the stretch between spaces or line ends, as the tokenizers library gives them."""
     key = hash((text, width))
     if key not in _ENCODERS:
-        from tokenizers import Tokenizer
-
-        encode = Tokenizer.from_str(text).encode
+        encode = LibraryEncoder(text).encode
         _ENCODERS.clear()
-        _ENCODERS[key] = _Counts(lambda chunk: np.array(encode(chunk, add_special_tokens=False).ids, f"<u{width}").tobytes(), 700_000)
+        _ENCODERS[key] = _Counts(lambda chunk: np.array(encode(chunk), f"<u{width}").tobytes(), 700_000)
     return _ENCODERS[key]
 
 
