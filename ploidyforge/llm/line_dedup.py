@@ -26,7 +26,7 @@ def _name(line: Column) -> Column:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
-                       F.col("source").cast("string").alias("site"), F.explode(F.transform(F.filter(F.transform(_lines(), F.trim), lambda x: F.length(x) >= F.lit(MIN_CHARS)), _name)).alias("line"))
+                       F.col("source").cast("string").alias("site"), F.explode(F.transform(F.filter(F.transform(_lines(), lambda x: F.trim(x)), lambda x: F.length(x) >= F.lit(MIN_CHARS)), _name)).alias("line"))
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
