@@ -66,28 +66,30 @@ def map_profiles(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
-def smooth_profiles(counts: DataFrame, n_genes: int, obs_var: float = 0.16, state_var: float = 0.001) -> DataFrame:
-    """batch, cell_idx, v: stabilised, centred, smoothed and recentred profile of each cell.
+def smooth_profiles(counts: DataFrame, n_genes: int | None, obs_var: float = 0.16, state_var: float = 0.001) -> DataFrame:
+    """batch, cell_idx, v, seen: stabilised, centred, smoothed and recentred profile of each cell, and where it has counts.
 
-    counts (batch, cell_idx, pos, umi) is gathered by cell as sparse arrays; one pass through Arrow densifies a
-    batch of cells and does all four steps on it, so each profile crosses to Python once."""
-    sparse = counts.where("umi <> 0").groupBy("batch", "cell_idx").agg(F.collect_list("pos").alias("pos"), F.collect_list("umi").alias("umi"))
+    counts (batch, cell_idx, pos, umi, and n, the genes of the batch, if n_genes is None) is gathered by cell as
+    sparse arrays; one pass through Arrow densifies a batch of cells and does all four steps on it, so each
+    profile crosses to Python once."""
+    width = F.lit(n_genes) if n_genes is not None else F.first("n")
+    sparse = counts.where("umi <> 0").groupBy("batch", "cell_idx").agg(F.collect_list("pos").alias("pos"), F.collect_list("umi").alias("umi"), width.cast("int").alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            lengths = np.diff(batch.column(2).offsets.to_numpy())
-            rows = np.repeat(np.arange(len(batch)), lengths)
-            dense = np.zeros((len(batch), n_genes))
-            umi = batch.column(3).flatten().to_numpy(zero_copy_only=False)
-            dense[rows, batch.column(2).flatten().to_numpy(zero_copy_only=False)] = np.log(np.sqrt(umi) + np.sqrt(umi + 1))
-            dense -= exact_mean(dense)[:, None]
-            dense = kalman_smooth(dense, obs_var, state_var)
-            dense -= exact_mean(dense)[:, None]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), array_column(dense)], ["batch", "cell_idx", "v"])
-
-    return map_profiles(sparse.select("batch", "cell_idx", "pos", "umi"), run, "batch string, cell_idx int, v array<double>")
+            widths = batch.column(4).to_numpy()
+            for n in np.unique(widths):
+                own = batch.filter(pa.array(widths == n))
+                places, umi = own.column(2), own.column(3).flatten().to_numpy(zero_copy_only=False)
+                rows = np.repeat(np.arange(len(own)), np.diff(places.offsets.to_numpy()))
+                dense = np.zeros((len(own), n))
+                dense[rows, places.flatten().to_numpy(zero_copy_only=False)] = np.log(np.sqrt(umi) + np.sqrt(umi + 1))
+                dense -= exact_mean(dense)[:, None]
+                dense = kalman_smooth(dense, obs_var, state_var)
+                dense -= exact_mean(dense)[:, None]
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), array_column(dense), places], ["batch", "cell_idx", "v", "seen"])
+
+    return map_profiles(sparse.select("batch", "cell_idx", "pos", "umi", "n"), run, "batch string, cell_idx int, v array<double>, seen array<int>")
 
 
 def exploded(profiles: DataFrame, value: str = "v") -> DataFrame:

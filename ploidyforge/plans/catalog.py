@@ -539,3 +539,31 @@ def q_gene_profile(spark, d):
     v = places.join(qc.covered_cells(places, fx.N_CHROM, 5).select("batch", "cell_idx"), ["batch", "cell_idx"], "left_semi").withColumn("x", profiles.vst(F.col("umi")))
     x = v.withColumn("x", F.col("x") - F.sum("x").over(Window.partitionBy("batch", "cell_idx")) / n)
     return x.groupBy("gene_idx").agg(F.count("*").alias("n"), r6(F.median("x")).alias("median"), r6(F.stddev_samp("x")).alias("sd"))
+
+
+@query()
+def q_pipeline_auto(spark, d):
+    """The whole run on the counts of lineitem, with settings that its uniform noise passes."""
+    from ..config import Config
+    from .pipeline import Tables, run
+
+    g = fx.genes(spark, d).withColumn("gene", F.concat(F.lit("G"), "gene_idx"))
+    cells = fx.read(spark, d, "supplier").select(F.lit("all").alias("batch"), F.col("s_suppkey").cast("int").alias("cell_idx"), F.col("s_name").alias("cell"))
+    anno = g.select(F.col("gene_idx").cast("long").alias("src_idx"), F.col("gene").alias("symbol"), F.col("gene").alias("ensembl_gene_id"), "chrom", "abspos", "start", "end")
+    cfg = Config(min_gene_per_cell=100, low_dr=0.0, up_dr=0.0, ks_cut=0.05, mc=200, min_breaks=2, min_cluster=1, sampler="expected")
+    return run(Tables(fx.counts(spark, d), g.select("gene_idx", "gene"), cells, anno, fx.bins(spark, d)), cfg, on_error="skip").prediction.select("cell_idx", "prediction")
+
+
+@query("with c as (select l_suppkey::int as cell_idx, date_trunc('day', l_shipdate) as start, sum(l_quantity) as umi from lineitem where l_quantity <> 0 group by all) select cell_idx, start, round(umi, 6) as umi from c")
+def q_stream_windows(spark, d):
+    """Daily sums by cell, from a stream over the table's file."""
+    import uuid
+
+    from ..streaming.depth import drained, windowed_depth
+
+    schema = fx.read(spark, d, "lineitem").schema
+    files = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet" if not fx.read(spark, d, "lineitem").inputFiles()[0].split("/")[-2].startswith("lineitem") else "*.parquet")
+    source = files.parquet(d if not fx.read(spark, d, "lineitem").inputFiles()[0].split("/")[-2].startswith("lineitem") else f"{d}/lineitem.parquet")
+    counts = source.select(F.lit("all").alias("batch"), F.col("l_suppkey").cast("int").alias("cell_idx"), F.col("l_shipdate").cast("timestamp").alias("ts"), F.col("l_quantity").alias("umi"))
+    done = drained(spark, windowed_depth(counts, "1 day", "100000 days"), f"depth_{uuid.uuid4().hex}", "complete")
+    return done.select("cell_idx", F.col("start").cast("timestamp_ntz").alias("start"), r6("umi").alias("umi"))
