@@ -561,7 +561,7 @@ def q_stream_windows(spark, d):
 
     from ..streaming.depth import drained, windowed_depth
 
-    source = spark.readStream.schema(fx.read(spark, d, "lineitem").schema).parquet(f"{d}/lineitem.parquet")
+    source = fx.stream(spark, d, "lineitem")
     counts = source.select(F.lit("all").alias("batch"), F.col("l_suppkey").cast("int").alias("cell_idx"), F.col("l_shipdate").cast("timestamp").alias("ts"), F.col("l_quantity").alias("umi"))
     done = drained(spark, windowed_depth(counts, "1 day", "100000 days"), f"depth_{uuid.uuid4().hex}", "complete")
     return done.select("cell_idx", F.col("start").cast("timestamp_ntz").alias("start"), r6("umi").alias("umi"))

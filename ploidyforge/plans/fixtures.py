@@ -57,3 +57,11 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("cell_idx"), (F.col("label") + 1).alias("cluster"))
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files: file streams need a folder, so a single file is picked out of its own."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    folder = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    files = spark.readStream.schema(read(spark, sf_dir, name).schema)
+    return files.parquet(f"{sf_dir}/{name}.parquet") if folder else files.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
