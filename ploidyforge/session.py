@@ -8,12 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN_FOLDERS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir if it is set, else a temporary folder that is then set."""
+    """spark.checkpoint.dir if it is set, else a temporary folder, the same for the whole application."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='forge-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        folder = _OWN_FOLDERS.get(app) or _OWN_FOLDERS.setdefault(app, f"file://{tempfile.mkdtemp(prefix='forge-')}")
     return folder.rstrip("/")
 
 
