@@ -17,13 +17,18 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 BATCH_ROWS = "512"
 
 
+_OWN_FOLDERS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one if it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (as in local tests) a
+    temporary one, the same for the whole application."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        handle = spark.sparkContext.getCheckpointDir()
-        folder = handle.rsplit("/", 1)[0] if handle else f"file://{tempfile.mkdtemp(prefix='forge-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN_FOLDERS:
+            _OWN_FOLDERS[app] = f"file://{tempfile.mkdtemp(prefix='forge-')}"
+        folder = _OWN_FOLDERS[app]
     return folder.rstrip("/")
 
 
