@@ -25,7 +25,7 @@ from .token_store import mixed
 SHINGLE, THRESHOLD = 5, 0.8
 WORDS = r"[\p{L}\p{N}]+"
 #: Benchmark text that one pass over the documents searches for; more is searched in further passes.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 2_000_000
 FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
