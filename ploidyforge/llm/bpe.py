@@ -177,12 +177,15 @@ class WordSplitter:
         self.vocabulary = vocabulary
         self.pattern = regex.compile(WORD_PATTERN)
         self.space = regex.compile(r"\s+")
-        self.plain = re.compile(r"([A-Za-z]+)([.,;:!?]*)").fullmatch  # most stretches of a text are of this kind
+        # most stretches of a text are of this kind: Latin-1 letters (already composed), then ASCII signs but apostrophes
+        self.plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
     def words(self, text: str) -> list[str]:
         """Words of a text without special strings, in the byte alphabet."""
         if found := self.plain(text):
-            return [found[1].lower(), found[2]] if found[2] else [found[1].lower()]
+            word = found[1].lower()
+            word = word if word.isascii() else stand_ins(word)
+            return [word, found[2]] if found[2] else [word]
         folded = "".join(map(str.lower, self.space.sub(" ", unicodedata.normalize("NFC", text))))
         return list(map(stand_ins, self.pattern.findall(folded)))
 
