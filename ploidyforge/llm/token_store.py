@@ -171,13 +171,13 @@ class Shard:
             yield None if key == NULL_KEY else key, start, self.ids(start, n)
 
 
-def chunk_encoder(text: str, width: int) -> _Counts:
-    """Packed ids of the stretch between spaces or line ends, as the tokenizers library gives them."""
-    key = hash((text, width))
+def chunk_encoder(text: str, width: int, most: int = 700_000) -> _Counts:
+    """Packed ids of the stretch between spaces or line ends, as the tokenizers library gives them; a table of most entries."""
+    key = hash((text, width, most))
     if key not in _ENCODERS:
-        encode = LibraryEncoder(text).encode
+        encode = LibraryEncoder(text, most * 5 // 7).encode
         _ENCODERS.clear()
-        _ENCODERS[key] = _Counts(lambda chunk: np.array(encode(chunk), f"<u{width}").tobytes(), 700_000)
+        _ENCODERS[key] = _Counts(lambda chunk: np.array(encode(chunk), f"<u{width}").tobytes(), most)
     return _ENCODERS[key]
 
 
