@@ -6,8 +6,8 @@ training text), gives the probability of the next id. Windows overlap: each scor
 windows before it did not, so that every id is scored once, with context.
 
 The class shares and the base counts come from all training text. The attention weights are trained in
-rounds: shards of the training windows learn on their own from common weights, which are then averaged. Windows are dealt
-from all training documents, a fixed share of each text, so what is learned from grows with the corpus.
+rounds: shards of the training windows learn on their own from common weights, which are then averaged. The windows
+cover all training text: each id of each training document is predicted once a round.
 """
 
 from __future__ import annotations
@@ -32,8 +32,6 @@ END_WORD = "\n"
 HEAD_WORDS, HEAD_BYTES = 400_000, 64
 WINDOW, OVERLAP, WIDTH = 32, 8, 16
 EMBEDDED, SINGLE, BANDS = 2048, 160, 12
-#: One block of so many words in BLOCK_SHARE trains the attention weights.
-BLOCK_WORDS, BLOCK_SHARE = 16, 24
 ROUNDS, SHARDS, SHARD_WINDOWS, BATCH, RATE = 2, 24, 2000, 32, 0.2
 IDS = 49_408
 #: Encoded words that a Python worker keeps; the head's counts are beside them.
@@ -100,16 +98,17 @@ def class_log_probs(w: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray)
 def gradients(w: dict[str, np.ndarray], places: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
     """Gradient of the weighted mean cross-entropy of the target classes."""
     x, q, k, v, a, z, h = forward(w, places)
-    logits = h @ w["u"] + w["b"]
-    logits -= logits.max(-1, keepdims=True)
-    np.exp(logits, out=logits)
-    d = logits / logits.sum(-1, keepdims=True)
     n, t = places.shape
-    d[np.arange(n)[:, None], np.arange(t)[None], target] -= 1
-    d *= (weight / max(1.0, float(weight.sum())))[..., None]
     flat = lambda m: m.reshape(-1, m.shape[-1])
-    g = {"u": flat(h).T @ flat(d), "b": flat(d).sum(0)}
-    dh = d @ w["u"].T
+    d = flat(h) @ w["u"]  # one array from the logits to their gradient
+    d += w["b"]
+    d -= d.max(-1, keepdims=True)
+    np.exp(d, out=d)
+    scale = weight.reshape(-1) / max(1.0, float(weight.sum()))
+    d *= (scale / d.sum(-1))[:, None]
+    d[np.arange(n * t), target.reshape(-1)] -= scale
+    g = {"u": flat(h).T @ d, "b": d.sum(0)}
+    dh = (d @ w["u"].T).reshape(h.shape)
     g["o"] = flat(z).T @ flat(dh)
     dz = dh @ w["o"].T
     da, dv = dz @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dz
@@ -120,7 +119,9 @@ def gradients(w: dict[str, np.ndarray], places: np.ndarray, target: np.ndarray,
     g["p"] = np.zeros_like(w["p"])
     g["p"][:t] = dx.sum(0)
     g["e"] = np.zeros_like(w["e"])
-    np.add.at(g["e"], places.reshape(-1), flat(dx))
+    order = np.argsort(places, axis=None, kind="stable")
+    used, first = np.unique(places.reshape(-1)[order], return_index=True)
+    g["e"][used] = np.add.reduceat(flat(dx)[order], first, axis=0)
     return g
 
 
@@ -251,23 +252,23 @@ def id_counts(words: DataFrame, vocabulary: str, shipped) -> np.ndarray:
 
 
 def training_windows(docs: DataFrame, shipped) -> DataFrame:
-    """ids (unsigned 16-bit, the id before the window first) of the blocks of words that train the attention weights."""
+    """ids (unsigned 16-bit, the id before the window first) of windows that cover all training text once, and deal, a
+    number that sends the windows of a text, and those of its copies, to different shards."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = chunk_encoder(shipped.value, 2, CHUNKS).__getitem__
         end = END_ID.to_bytes(2, "little")
         for batch in batches:
-            out = []
+            out, deal = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
                 words = lowered(text).split()
-                blocks = len(words) // BLOCK_WORDS + 1
-                for b in range((-zlib.crc32(str(doc_id).encode())) % BLOCK_SHARE, blocks, BLOCK_SHARE):
-                    ids = b"".join([encode(x.decode()) for x in words[max(0, b * BLOCK_WORDS - 1):(b + 1) * BLOCK_WORDS]])
-                    ids = (end if b == 0 else b"") + ids + (end if b == blocks - 1 else b"")
-                    out += [ids[k:k + 2 * (WINDOW + 1)] for k in range(0, max(1, len(ids) - 2), 2 * WINDOW)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x in out if len(x) > 2], pa.binary())], ["ids"])
+                ids = end + b"".join([encode(x.decode()) for x in words]) + end
+                found = [ids[k:k + 2 * (WINDOW + 1)] for k in range(0, len(ids) - 2, 2 * WINDOW)]
+                out += found
+                deal.append(zlib.crc32(ids, zlib.crc32(str(doc_id).encode())) + (np.arange(len(found)) << 32))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(np.concatenate(deal) if deal else [], pa.int64())], ["ids", "deal"])
 
     training = docs.where(crc32_remainder("doc_id", FOLDS) != HELD_OUT)
-    return staged(map_arrow(training, cut, "ids binary"), "windows")
+    return staged(map_arrow(training, cut, "ids binary, deal long"), "windows")
 
 
 def trained(windows: DataFrame, classes: Classes, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
@@ -276,7 +277,7 @@ def trained(windows: DataFrame, classes: Classes, rounds: int = ROUNDS) -> dict[
     There are SHARDS shards, or fewer if that would leave them less than SHARD_WINDOWS windows each."""
     weights, context = fresh_weights(classes), windows.sparkSession.sparkContext
     shards = max(1, min(SHARDS, windows.count() // SHARD_WINDOWS))
-    dealt = windows.repartition(shards, "ids").sortWithinPartitions(F.xxhash64("ids"), "ids")
+    dealt = windows.repartition(shards, "deal").sortWithinPartitions(F.xxhash64("deal", "ids"), "ids")
     for turn in range(rounds):
         shipped = context.broadcast((weights, classes))
 
@@ -287,15 +288,16 @@ def trained(windows: DataFrame, classes: Classes, rounds: int = ROUNDS) -> dict[
             seen = 0
             for batch in batches:
                 rows = batch.column(0).to_pylist()
+                sizes = np.array([len(x) // 2 for x in rows])
+                grid = np.zeros((len(rows), WINDOW + 1), np.int64)
+                grid[np.arange(WINDOW + 1) < sizes[:, None]] = np.frombuffer(b"".join(rows), "<u2")
+                weight = (np.arange(1, WINDOW + 1) < sizes[:, None]).astype(np.float32)
+                places, target = classes.place[grid[:, :-1]], classes.of[grid[:, 1:]]
                 order = np.random.default_rng(turn).permutation(len(rows))  # another order each round
                 for lo in range(0, len(rows), BATCH):
-                    ids = [np.frombuffer(rows[i], "<u2").astype(np.int64) for i in order[lo:lo + BATCH]]
-                    longest = max(map(len, ids)) - 1
-                    grid = np.zeros((len(ids), longest + 1), np.int64)
-                    weight = np.zeros((len(ids), longest), np.float32)
-                    for k, x in enumerate(ids):
-                        grid[k, :len(x)], weight[k, :len(x) - 1] = x, 1
-                    learn(w, classes.place[grid[:, :-1]], classes.of[grid[:, 1:]], weight, speed)
+                    at = order[lo:lo + BATCH]
+                    longest = sizes[at].max() - 1
+                    learn(w, places[at, :longest], target[at, :longest], weight[at, :longest], speed)
                 seen += len(rows)
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([packed(w)], pa.binary())], ["seen", "weights"])
 

@@ -205,6 +205,21 @@ def test_gradients_are_slopes():
         assert abs(slope - g[name][at]) < 1e-3 * max(1e-3, abs(slope)) + 1e-6
 
 
+def test_lm_trains_on_every_id_of_the_training_texts(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(i, " ".join(f"word{k} of" for k in range(n))) for i, n in enumerate((0, 1, 5, 15, 16, 40, 300, 300))] + [(None, "no key"), (9, None), (9, "twice"), (9, "twice")]
+    shipped = spark.sparkContext.broadcast(lm_scoring.read_vocabulary(path))
+    windows = lm_scoring.training_windows(spark.createDataFrame(rows, "doc_id long, text string"), shipped).select("ids").collect()
+    encode = lm_scoring.chunk_encoder(shipped.value, 2)
+    expected = Counter()
+    for doc_id, text in rows:
+        if lm_scoring.fold(doc_id) != lm_scoring.HELD_OUT:
+            expected.update(i for x in (text or "").split() for i in np.frombuffer(encode[x], "<u2").tolist())
+            expected[lm_scoring.END_ID] += 1
+    assert Counter(i for r in windows for i in np.frombuffer(bytes(r["ids"]), "<u2")[1:].tolist()) == expected
+    assert max(len(r["ids"]) for r in windows) <= 2 * (lm_scoring.WINDOW + 1)
+
+
 def test_lm_of_nothing(spark):
     assert lm_scoring.lm_scores(empty(spark), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
