@@ -230,7 +230,7 @@ def shard_list(spark: SparkSession, path: str) -> DataFrame:
                 ["file", "n_docs", "n_ids", "low", "high"])
 
     shards = map_arrow(_contents(spark, path), heads, "file string, n_docs long, n_ids long, low long, high long")
-    order = [F.regexp_extract("file", r"^part-(\d+)", 1).cast("long"), F.regexp_extract("file", r"-c(\d+)", 1).cast("long")]
+    order = [F.regexp_extract("file", r"^part-(\d+)", 1).cast("long"), F.regexp_extract("file", r"-c(\d+)(\.[^-]*)?$", 1).cast("long")]
     before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # a row per shard, not per document
     return shards.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -113,6 +114,21 @@ def test_store_reads_back_what_was_written(spark, word_library, shard_ids):
     assert sorted(joined) == sorted(x for many in ids[12] for x in many)
 
 
+def test_shards_keep_their_order_whatever_the_job_is_called(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    token_store.write_token_store(documents(spark).coalesce(1), WORD, path, shard_ids=40)
+    folder = tmp_path / "store"
+    for file in sorted(folder.glob("part-*")):
+        part, counter = re.fullmatch(r"part-(\d+)-.*-c(\d+)\.txt", file.name).groups()
+        turned = 999 - int(counter)  # listed by name, the shards come in the wrong order
+        file.rename(folder / f"part-{part}-{turned:08d}-c1aa-4bbb-8ccc-0123456789ab-c{counter}.txt")
+    shards = token_store.shard_list(spark, path).collect()
+    assert len(shards) > 3
+    in_order = sorted(shards, key=lambda r: (r["file"].split("-")[1], int(r["file"].rsplit("-c", 1)[1].split(".")[0])))
+    starts = np.cumsum([0] + [r["n_ids"] for r in in_order])[:-1].tolist()
+    assert [r["start"] for r in in_order] == starts
+
+
 def test_store_of_nothing(spark):
     path = fresh_path(spark, "store")
     token_store.write_token_store(empty(spark), WORD, path)
