@@ -550,8 +550,8 @@ def q_pipeline_auto(spark, d):
     g = fx.genes(spark, d).withColumn("gene", F.concat(F.lit("G"), "gene_idx"))
     cells = fx.read(spark, d, "supplier").select(F.lit("all").alias("batch"), F.col("s_suppkey").cast("int").alias("cell_idx"), F.col("s_name").alias("cell"))
     anno = g.select(F.col("gene_idx").cast("long").alias("src_idx"), F.col("gene").alias("symbol"), F.col("gene").alias("ensembl_gene_id"), "chrom", "abspos", "start", "end")
-    cfg = Config(min_gene_per_cell=100, low_dr=0.0, up_dr=0.0, ks_cut=0.05, mc=200, min_breaks=2, min_cluster=1, sampler="expected")
-    return run(Tables(fx.counts(spark, d), g.select("gene_idx", "gene"), cells, anno, fx.bins(spark, d)), cfg, on_error="skip").prediction.select("cell_idx", "prediction")
+    cfg = Config(min_gene_per_cell=100, low_dr=0.0, up_dr=0.0, ks_cut=0.05, min_breaks=2, min_cluster=1)
+    return run(Tables(fx.counts(spark, d), g.select("gene_idx", "gene"), cells, anno, fx.bins(spark, d)), cfg, on_error="raise").prediction.select("cell_idx", "prediction")
 
 
 @query("with c as (select l_suppkey::int as cell_idx, date_trunc('day', l_shipdate) as start, sum(l_quantity) as umi from lineitem where l_quantity <> 0 group by all) select cell_idx, start, round(umi, 6) as umi from c")

@@ -44,6 +44,17 @@ def test_entry_gives_rows(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_whole_run_draws_all_and_hides_no_error(spark, monkeypatch):
+    from ploidyforge.config import Config
+    from ploidyforge.plans import pipeline
+
+    seen = []
+    monkeypatch.setattr(pipeline, "run", lambda tables, cfg, on_error: seen.append((cfg, on_error)) or pipeline.Result(tables.cells.withColumn("prediction", tables.cells.cell), *[None] * 5))
+    catalog.q_pipeline_auto(spark, DATA)
+    (cfg, on_error), = seen
+    assert (cfg.mc, cfg.sampler, on_error) == (Config().mc, "exact", "raise") and cfg.mc == 1000
+
+
 def test_scans_are_pruned(spark):
     plan = catalog.q_gene_rate(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "l_partkey" in plan and "l_comment" not in plan and "l_extendedprice" not in plan and "CartesianProduct" not in plan
