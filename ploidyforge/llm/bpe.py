@@ -11,8 +11,11 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
+from sys import byteorder, getsizeof
 
 import ahocorasick
+import numpy as np
 import regex
 
 #: Fixed patterns of the two public vocabularies.
@@ -47,6 +50,11 @@ def read_vocabulary(path: str) -> str:
     return text
 
 
+def special_split(special: dict[str, int]):
+    """A pattern that cuts a text around special strings and keeps them; None without any."""
+    return regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
+
+
 class Vocabulary:
     """Token ids, merge ranks, word-end mark and special strings of a tokenizer file in JSON."""
 
@@ -58,7 +66,7 @@ class Vocabulary:
         self.word_end: str = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.strings = {i: s for s, i in (self.ids | self.special).items()}
-        self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.special_split = special_split(self.special)
 
     def symbols(self, mapped: str) -> list[str]:
         return [*mapped[:-1], mapped[-1] + self.word_end] if mapped else []
@@ -99,10 +107,10 @@ class Vocabulary:
                     heapq.heappush(heap, (r, i, parts[i], parts[j]))
         return [p for p in parts if p is not None]
 
-    def proven(self) -> dict[str, str]:
-        """Vocabulary strings that encode alone as the one token that they name: token -> first merge's parts joined."""
+    def proven(self) -> list[str]:
+        """Vocabulary strings that encode alone as the one token that they name. Worked out once, on the driver."""
         marked = self.word_end
-        found = {}
+        found = []
         for token in self.ids:
             if marked:
                 core, last = (token[:-len(marked)], marked) if token.endswith(marked) and token != marked else (token, "")
@@ -110,10 +118,54 @@ class Vocabulary:
             else:
                 symbols = list(token)
             if self.merge(symbols) == [token]:
-                found[token] = token
+                found.append(token)
         return found
 
 
+#: Bytes that the table of one operator may take in a Python worker, and of the longest key that is kept in it.
+TABLE_BYTES, KEY_BYTES = 64 << 20, 160
+#: What an entry takes besides its key and value, roughly: its place in the dictionary.
+SLOT_BYTES = 80
+
+
+class Memo(dict):
+    """A table that works out missing entries and stays within most bytes, whatever the entries.
+
+    It has two generations of half the size each: when the young one is full it becomes the old one, whose entries
+    come back as they are used and else go with the next change. Keys over KEY_BYTES are not kept.
+    """
+
+    def __init__(self, work, most: int = TABLE_BYTES) -> None:
+        super().__init__()
+        self.work, self.most, self.size, self.old = work, most // 2, 0, {}
+
+    def __missing__(self, key):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.work(key)
+        size = getsizeof(key)
+        if size > KEY_BYTES:
+            return value
+        self.size += SLOT_BYTES + size + getsizeof(value)
+        if self.size > self.most:
+            self.old, self.size = dict(self), 0
+            self.clear()
+        self[key] = value
+        return value
+
+
+_HELD: dict = {}
+
+
+def held(name: tuple, build):
+    """What an operator keeps between the tasks of a Python worker: built once, and let go as soon as another operator
+    keeps something, so that a worker never holds the tables of two."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = build()
+    return _HELD[name]
+
+
 class WholeTokens:
     """Counts the tokens of texts under a byte-level vocabulary.
 
@@ -122,17 +174,17 @@ class WholeTokens:
     each distinct form while it is in a table of bounded size.
     """
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 600_000) -> None:
-        self.vocabulary, self.most = vocabulary, most
+    def __init__(self, vocabulary: Vocabulary, proven: list[str], most: int = 2 * TABLE_BYTES) -> None:
+        self.vocabulary = vocabulary
         self.pattern = regex.compile(BYTE_LEVEL_PATTERN)
         back = {ord(c): b for b, c in STAND_IN.items()}
         self.whole: set[str] = set()
-        for token in vocabulary.proven():
+        for token in proven:
             try:
                 self.whole.add(bytes(back[ord(c)] for c in token).decode("utf-8"))
             except UnicodeDecodeError:  # part of a character: never a whole pre-token
                 continue
-        self.chunks = _Counts(lambda chunk: self.merged(" " + chunk), most)
+        self.chunks = Memo(lambda chunk: self.merged(" " + chunk), most)
         self.uneven = regex.compile(r" \s| $")
 
     def merged(self, text: str) -> int:
@@ -155,44 +207,39 @@ class WholeTokens:
         return sum(1 if part in self.vocabulary.special else self.plain(part) for part in split.split(text) if part)
 
 
-class _Counts(dict):
-    """A table that works out missing entries and starts anew at a bound."""
-
-    def __init__(self, work, most: int) -> None:
-        super().__init__()
-        self.work, self.most = work, most
-
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.work(key)
-        return value
-
-
 class WordSplitter:
     """Cuts texts into special strings and words as the word vocabulary's file says: canonical composition, white
     space to a space, case folded by character, then runs of letters, single digits and runs of other signs."""
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        self.vocabulary = vocabulary
+    def __init__(self, special: dict[str, int]) -> None:
+        self.special, self.split = special, special_split(special)
         self.pattern = regex.compile(WORD_PATTERN)
         self.space = regex.compile(r"\s+")
         # most stretches of a text are of this kind: Latin-1 letters (already composed), then ASCII signs but apostrophes
         self.plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
+        # unless a special string could lie within such a stretch
+        self.quick = not any(re.fullmatch(r"[A-Za-zÀ-ÖØ-öø-ÿ]*[!-&(-/:-@\[-`{-~]*", x) for x in special)
+
     def words(self, text: str) -> list[str]:
         """Words of a text without special strings, in the byte alphabet."""
         if found := self.plain(text):
-            word = found[1].lower()
-            word = word if word.isascii() else stand_ins(word)
-            return [word, found[2]] if found[2] else [word]
+            return self._plain_words(found)
         folded = "".join(map(str.lower, self.space.sub(" ", unicodedata.normalize("NFC", text))))
         return list(map(stand_ins, self.pattern.findall(folded)))
 
+    @staticmethod
+    def _plain_words(found: re.Match) -> list[str]:
+        word = found[1].lower()
+        word = word if word.isascii() else stand_ins(word)
+        return [word, found[2]] if found[2] else [word]
+
     def encode(self, text: str, ids_of) -> list[int]:
         """Ids of a text, given those of its words."""
-        special, ids = self.vocabulary.special, []
-        parts = self.vocabulary.special_split.split(text) if any(s in text for s in special) else [text]
+        if self.quick and (found := self.plain(text)):
+            return [i for word in self._plain_words(found) for i in ids_of(word)]
+        special, ids = self.special, []
+        parts = self.split.split(text) if any(s in text for s in special) else [text]
         for part in parts:
             if part in special:
                 ids.append(special[part])
@@ -203,17 +250,40 @@ class WordSplitter:
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library: its model encodes each distinct word once while it is in a table of bounded size."""
+    """Packed ids by the tokenizers library: its model encodes each stretch between spaces once while it is in a table of
+    bounded size. Spaces and line ends never lie inside a word or a special string."""
 
-    def __init__(self, text: str, most: int = 500_000) -> None:
+    def __init__(self, text: str, width: int, most: int = TABLE_BYTES + TABLE_BYTES // 2) -> None:
         from tokenizers import Tokenizer
 
-        self.splitter, self.library = WordSplitter(Vocabulary(text)), Tokenizer.from_str(text)
-        model = self.library.model.tokenize
-        self.words = _Counts(lambda word: [t.id for t in model(word)], most)
-
-    def encode(self, text: str) -> list[int]:
-        return self.splitter.encode(text, self.words.__getitem__)
+        self.library = Tokenizer.from_str(text)
+        self.splitter = WordSplitter({t.content: i for i, t in self.library.get_added_tokens_decoder().items()})
+        self.kind = {2: "H", 4: "I"}[width]
+        self.model = self.library.model.tokenize
+        self.signs = Memo(self.tokens, 1 << 20)
+        self.chunks = Memo(self.packed, most)
+
+    def tokens(self, word: str) -> list[int]:
+        return [t.id for t in self.model(word)]
+
+    def packed(self, chunk: str) -> bytes:
+        """Ids of a stretch, little-endian, of the encoder's width."""
+        found = self.splitter.plain(chunk) if self.splitter.quick else None
+        if found:
+            word, signs = found.groups()
+            word = word.lower()
+            ids = [t.id for t in self.model(word if word.isascii() else stand_ins(word))]
+            if signs:
+                ids += self.signs[signs]
+        else:
+            ids = self.splitter.encode(chunk, self.tokens)
+        packed = array(self.kind, ids)
+        if byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 class PrefixEncoder:
@@ -228,12 +298,12 @@ class PrefixEncoder:
 
     SHIFT = 0x1000
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 1_000_000) -> None:
-        self.vocabulary, self.most = vocabulary, most
+    def __init__(self, vocabulary: Vocabulary, proven: list[str], most: int = TABLE_BYTES) -> None:
+        self.vocabulary = vocabulary
         self.automaton = ahocorasick.Automaton()
         self.spelled: dict[int, list[str]] = {}
         mark = vocabulary.word_end
-        for token in vocabulary.proven():
+        for token in proven:
             ends = bool(mark) and token.endswith(mark) and token != mark
             core = token[:-len(mark)] if ends else token
             symbols = [*core[:-1], core[-1] + mark] if ends else list(core)
@@ -242,13 +312,12 @@ class PrefixEncoder:
             self.spelled[i] = symbols
             self.automaton.add_word(key, (len(core), i))
         self.automaton.make_automaton()
-        self.pairs = _Counts(self._apart, most)
-        self.words = _Counts(self._word, most // 2)
-        self.splitter = WordSplitter(vocabulary)
+        self.pairs, self.chunks = Memo(self._apart, most // 2), Memo(self._chunk, most)
+        self.splitter, self.strings = WordSplitter(vocabulary.special), vocabulary.strings
 
-    def _apart(self, pair: tuple[int, int]) -> bool:
-        """Whether merging the two tokens' symbols gives back just these two tokens."""
-        left, right = pair
+    def _apart(self, pair: int) -> bool:
+        """Whether merging the two tokens' symbols (left << 32 | right) gives back just these two tokens."""
+        left, right = pair >> 32, pair & 0xFFFFFFFF
         strings = self.vocabulary.strings
         return self.vocabulary.merge(self.spelled[left] + self.spelled[right]) == [strings[left], strings[right]]
 
@@ -260,18 +329,24 @@ class PrefixEncoder:
             if end == done:
                 continue
             start = end + 1 - length
-            if start == 0 or last[start] >= 0 and pairs[last[start], token]:
+            if start == 0 or last[start] >= 0 and pairs[last[start] << 32 | token]:
                 last[end + 1], size[end + 1], done = token, length, end
         ids, at = [], n
         while at:
+            if not size[at]:
+                raise ValueError(f"the vocabulary has no encoding of {mapped[:80]!r}")
             ids.append(last[at])
             at -= size[at]
         return ids[::-1]
 
-    def encode(self, text: str) -> list[int]:
-        return self.splitter.encode(text, self.words.__getitem__)
+    def _chunk(self, chunk: str) -> bytes:
+        return array("I", self.splitter.encode(chunk, self._word)).tobytes() if byteorder == "little" else np.array(self.splitter.encode(chunk, self._word), "<u4").tobytes()
 
-    def decode(self, ids: list[int]) -> str:
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers. Spaces and line ends never lie inside a word or a special
+        string, so the stretches between them are encoded on their own and kept in a table of bounded size."""
+        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
+
+    def decode(self, packed: bytes) -> str:
         """The vocabulary strings of the ids, with a space between (the files define no other decoder)."""
-        strings = self.vocabulary.strings
-        return " ".join([strings[i] for i in ids])
+        return " ".join(map(self.strings.__getitem__, np.frombuffer(packed, "<u4").tolist()))

@@ -5,39 +5,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import PrefixEncoder, Vocabulary, _Counts, read_vocabulary
-from .common import map_arrow, table, texts_of
-
-_CODECS: dict[int, TextCodec] = {}
-
-
-class TextCodec:
-    """Whole texts to packed ids and back. Spaces and line ends never lie inside a word or a special string, so
-    the stretches between them are encoded on their own and kept in a table of bounded size."""
-
-    def __init__(self, text: str, most: int = 700_000) -> None:
-        self.encoder = PrefixEncoder(Vocabulary(text))
-        self.chunks = _Counts(lambda chunk: np.array(self.encoder.encode(chunk), "<u4").tobytes(), most)
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
-
-    def decode(self, packed: bytes) -> str:
-        return self.encoder.decode(np.frombuffer(packed, "<u4").tolist())
-
-
-def codec(text: str) -> TextCodec:
-    key = hash(text)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = TextCodec(text)
-    return _CODECS[key]
+from .bpe import PrefixEncoder, Vocabulary, held, read_vocabulary
+from .common import map_arrow, table, texts_of, tuned
 
 
 def encode_decode(docs: DataFrame, vocabulary_path: str, texts: bool = True) -> DataFrame:
@@ -47,10 +20,12 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, texts: bool = True) ->
     worker. Null text counts as empty (no ids, decoded ''), a null doc_id stays null, repeated rows are
     encoded each, an empty table gives no rows, other columns are ignored. One narrow pass over the scan.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
+    vocabulary = read_vocabulary(vocabulary_path)
+    shipped = docs.sparkSession.sparkContext.broadcast((vocabulary, Vocabulary(vocabulary).proven()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = codec(shipped.value)
+        text, proven = shipped.value
+        tokens = held(("codec", hash(text)), lambda: PrefixEncoder(Vocabulary(text), proven))
         for batch in batches:
             ids = [tokens.encode(t) for t in texts_of(batch.column(1))]
             decoded = [tokens.decode(x) for x in ids]
@@ -71,4 +46,5 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, texts: bool = True) ->
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    tuned(spark)
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), texts=False)

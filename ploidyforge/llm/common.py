@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,35 +14,55 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the contracts: ASCII white space, and words as runs of anything else.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
-#: Rows of an Arrow batch; texts can be long, so a batch is kept far below Spark's default of 10,000 rows.
-BATCH_ROWS = "512"
-
+#: Bytes of an Arrow batch in the queries of this subpackage; Spark's default is 64 MB a task and direction.
+BATCH_BYTES = "4m"
 
 _OWN_FOLDERS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (as in local tests) a
-    temporary one, the same for the whole application."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local master gets a
+    temporary one, the same for the whole application; any other master is an error, as no folder is known to be shared."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN_FOLDERS:
-            _OWN_FOLDERS[app] = f"file://{tempfile.mkdtemp(prefix='forge-')}"
-        folder = _OWN_FOLDERS[app]
+            _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="forge-")
+            atexit.register(shutil.rmtree, _OWN_FOLDERS[app], ignore_errors=True)
+        folder = f"file://{_OWN_FOLDERS[app]}"
     return folder.rstrip("/")
 
 
+def tuned(spark: SparkSession) -> None:
+    """Small Arrow batches for the queries of this subpackage, which are applications of their own, unless the session
+    says otherwise. Operators leave the session as it is."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("64MB", "67108864b", "67108864"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/forge/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/forge/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the shared folder."""
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def clear_staged(spark: SparkSession) -> None:
+    """Delete all that this application has staged; frames that still read it can't be used any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def staged(df: DataFrame, name: str, **options) -> DataFrame:
     """Write df to the shared folder and reread it: the lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,9 +71,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow in batches of bounded size."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return df.mapInArrow(fn, schema)
+    """mapInArrow, whose batches Spark bounds by rows and bytes; fn gets them cut further, to SLICE_BYTES or one row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(piece for batch in batches for piece in slices(batch))
+
+    return df.mapInArrow(run, schema)
+
+
+#: Bytes of the slices in which Python reads an Arrow batch.
+SLICE_BYTES = 2 << 20
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    n = max(1, -(-batch.nbytes // SLICE_BYTES))
+    step = max(1, -(-batch.num_rows // n))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
 
 
 def texts_of(column: pa.Array) -> list[str]:
@@ -88,11 +122,6 @@ def read_range(spark: SparkSession, path: str, offset: int, length: int) -> byte
         stream.close()
 
 
-def row_key(*names: str):
-    """A string that tells rows apart by the given columns and, unlike a bare key, is never null."""
-    return F.sha2(F.concat_ws("\x1f", *[F.when(F.col(n).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(n).cast("string"))) for n in names]), 256)
-
-
 def crc32_remainder(column: str, modulus: int):
     """crc32 of the id as text, modulo modulus; a null id counts as the text 'null'."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("null")).cast("binary")) % modulus
@@ -112,4 +141,18 @@ def utf8(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
-LINE_SPLIT = re.compile("\n")
+
+def quoted(columns: list[str], of: str = "") -> list:
+    """Columns by their exact names, which may hold dots or backticks."""
+    return [F.col((of + "." if of else "") + "`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores before it as make it new among columns, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out

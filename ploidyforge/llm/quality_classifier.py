@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import _Counts
-from .common import crc32_remainder, map_arrow, staged, table, texts_of, utf8
+from .bpe import Memo, held
+from .common import crc32_remainder, map_arrow, staged, table, texts_of, tuned, utf8
 
 #: log2 of the number of weights.
 BITS = 18
@@ -29,13 +29,17 @@ FOLDS, HELD_OUT = 4, 2
 #: Hashes that stand for a token right after itself, and for a token around another.
 AGAIN, AROUND = np.uint32(1), np.uint32(2)
 TOKENS = re.compile(r"\w+|[^\w\s]+")
-_HASHES = _Counts(lambda token: zlib.crc32(utf8(token)), 500_000)
+
+
+def hashes() -> Memo:
+    """The hash of each token."""
+    return held(("hashes",), lambda: Memo(lambda token: zlib.crc32(utf8(token))))
 
 
 def features(text: str) -> np.ndarray:
     """Hashed places of all tokens, token pairs and repetitions of a text, repeats included."""
     tokens = TOKENS.findall(text)
-    one = np.fromiter(map(_HASHES.__getitem__, tokens), np.uint32, len(tokens))
+    one = np.fromiter(map(hashes().__getitem__, tokens), np.uint32, len(tokens))
     with np.errstate(over="ignore"):
         two = (one[:-1] * np.uint32(0x9E3779B1)) ^ (one[1:] * np.uint32(0x85EBCA77))
         two[one[:-1] == one[1:]] = AGAIN
@@ -84,28 +88,40 @@ def score(weights: np.ndarray, text: str) -> float:
     return float(logistic(z))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> np.ndarray:
-    """Weights from labelled documents outside the held-out fold, train_docs of them at most.
+def training_rows(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """turn, text_hash, y, places (packed) of the labelled texts that train the model, train_docs rows at most.
 
-    Labels other than 0 and 1 are ignored, as are ids with labels of both kinds and null ids; a repeated doc_id
-    trains with each of its texts. Without any label all weights are 0. The chosen ids are picked from the narrow label table; their features (not their texts)
-    meet in one task, which learns in an order set by hash of the id.
-    """
+    Distinct (doc_id, text) pairs are ranked by hash of the id, then of the text, on narrow columns; the texts of the
+    chosen ones only are read again for their features."""
     wanted = (labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
               .groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top")
               .where(crc32_remainder("doc_id", FOLDS) != HELD_OUT).select("doc_id", "y", F.xxhash64("doc_id").alias("turn")))
-    chosen = staged(wanted.orderBy("turn", "doc_id").limit(train_docs), "chosen")
+    # no more ids than rows are wanted, and each has a text at least or none: the id's rank bounds its texts' ranks
+    wanted = staged(wanted.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi").orderBy("turn", "doc_id").limit(train_docs), "wanted")
+    known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id").withColumn("text_hash", F.xxhash64("text"))
+    chosen = staged(known.select("doc_id", "turn", "text_hash").distinct().orderBy("turn", "doc_id", "text_hash").limit(train_docs).select("doc_id", "text_hash"), "chosen")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(t).astype("<u4").tobytes() for t in texts_of(batch.column(2))], pa.binary())], ["turn", "y", "places"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([features(t).astype("<u4").tobytes() for t in texts_of(batch.column(3))], pa.binary())], ["turn", "text_hash", "y", "places"])
+
+    texts = known.join(chosen, ["doc_id", "text_hash"], "left_semi").select("turn", "text_hash", "y", "text")
+    return staged(map_arrow(texts, places, "turn long, text_hash long, y int, places binary").dropDuplicates(["turn", "text_hash"]), "features")
 
-    known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(chosen, "doc_id").select("turn", "y", "text")
-    featured = staged(map_arrow(known, places, "turn long, y int, places binary"), "features")
+
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> np.ndarray:
+    """Weights from labelled documents outside the held-out fold, train_docs distinct (doc_id, text) pairs at most.
+
+    Labels other than 0 and 1 are ignored, as are ids with labels of both kinds and null ids; a repeated doc_id
+    trains with each of its texts, a repeated row once; a null text is one without features. Without any label, or
+    on an empty table, all weights are 0. The features (not the texts) of the chosen rows, whose number is bounded,
+    meet in one task, which learns in an order set by hashes of id and text.
+    """
+    featured = training_rows(docs, labels, train_docs)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(((t, p, y) for b in batches for t, y, p in zip(*(c.to_pylist() for c in b.columns))))
-        yield pa.RecordBatch.from_arrays([pa.array([train([(np.frombuffer(p, "<u4"), y) for _, p, y in rows]).astype("<f8").tobytes()], pa.binary())], ["weights"])
+        rows = sorted(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        yield pa.RecordBatch.from_arrays([pa.array([train([(np.frombuffer(p, "<u4"), y) for _, _, y, p in rows]).astype("<f8").tobytes()], pa.binary())], ["weights"])
 
     made = map_arrow(featured.coalesce(1), learn, "weights binary").collect()
     return np.frombuffer(made[0][0], "<f8") if made else np.zeros((1 << BITS) + 1)
@@ -143,6 +159,7 @@ def accepted(docs: DataFrame, weights: np.ndarray, accept: float = ACCEPT) -> Da
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
     docs = table(spark, sf_dir, "documents")
     scored = classify(docs, fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (crc32_remainder("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", "predicted")

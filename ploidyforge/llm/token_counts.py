@@ -8,20 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Vocabulary, WholeTokens, read_vocabulary
-from .common import map_arrow, table, texts_of, utf8
+from .bpe import Vocabulary, WholeTokens, held, read_vocabulary
+from .common import map_arrow, table, texts_of, tuned, utf8
 
 CONTEXT_TOKENS = 1024
-_COUNTERS: dict[int, WholeTokens] = {}
-
-
-def counter(text: str) -> WholeTokens:
-    """The counter of a vocabulary file's text; a Python worker builds it once."""
-    key = hash(text)
-    if key not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[key] = WholeTokens(Vocabulary(text))
-    return _COUNTERS[key]
 
 
 def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = CONTEXT_TOKENS) -> DataFrame:
@@ -32,10 +22,12 @@ def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = CONTEXT_TOK
     each, an empty table gives no rows, other columns are ignored. Special strings inside a text are one
     token each, as the tokenizer file says. Long runs without a break are merged in O(n log n).
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
+    vocabulary = read_vocabulary(vocabulary_path)
+    shipped = docs.sparkSession.sparkContext.broadcast((vocabulary, Vocabulary(vocabulary).proven()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = counter(shipped.value)
+        text, proven = shipped.value
+        tokens = held(("counts", hash(text)), lambda: WholeTokens(Vocabulary(text), proven))
         for batch in batches:
             texts = texts_of(batch.column(1))
             n = [tokens.count(t) for t in texts]
@@ -49,4 +41,5 @@ def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = CONTEXT_TOK
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    tuned(spark)
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

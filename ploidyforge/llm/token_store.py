@@ -5,7 +5,9 @@ little-endian, 2 bytes each if every id of the vocabulary fits, else 4), the key
 index, and TRAILER with the places of these sections. The index is a minimal perfect hash function in
 levels (each level keeps the keys that hit a bit alone and passes the rest on; Limasset et al., 2017)
 and, by slot, a 32-bit fingerprint of the key, the offset of its first id, the number of ids and the
-number of documents that have the key. Shards follow one another in ascending key order.
+number of documents that have the key. Shards follow one another in ascending key order. Beside the shards lies a
+directory: a row for each shard with its file, first and last key and first id. A look-up reads the directory's rows for a
+key, the hash function of a shard once, and then one entry and one range of ids, whatever the size of the shard.
 """
 
 from __future__ import annotations
@@ -19,15 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import LibraryEncoder, _Counts, read_vocabulary
-from .common import fresh_path, map_arrow, read_blobs, read_range, table, texts_of, write_blobs
+from .bpe import TABLE_BYTES, LibraryEncoder, held, read_vocabulary
+from .common import fresh_path, map_arrow, read_blobs, read_range, staged, table, texts_of, tuned, write_blobs
 
 MAGIC, END = b"IDSHARD1", b"IDSHEND\n"
 HEADER = struct.Struct("<8sIIQQ")  # magic, bytes of an id, end id, documents, ids
-TRAILER = struct.Struct("<QQQQ")  # places of payload, keys, index; bytes in all before END
+TRAILER = struct.Struct("<QQQQQ")  # places of payload, keys, hash function, its entries; bytes in all before END
 SHARD_IDS = 4_000_000
 END_ID = 2
-_ENCODERS: dict[int, _Counts] = {}
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -120,40 +121,44 @@ class ShardIndex:
             out[ok] = found[ok]
         return out
 
-    def pack(self) -> bytes:
-        return self.function.pack() + struct.pack("<I", self.entries.size) + self.entries.tobytes()
+    def pack(self) -> tuple[bytes, bytes]:
+        """The hash function and its entries."""
+        return self.function.pack(), self.entries.tobytes()
 
     @classmethod
-    def unpack(cls, data: bytes) -> ShardIndex:
-        function, at = PerfectHash.unpack(data, 0)
-        (n,) = struct.unpack_from("<I", data, at)
-        return cls(function, np.frombuffer(data, ENTRY, n, at + 4))
+    def unpack(cls, function: bytes, entries: bytes) -> ShardIndex:
+        return cls(PerfectHash.unpack(function, 0)[0], np.frombuffer(entries, ENTRY))
 
 
 def pack_shard(keys: list[int | None], parts: list[bytes], width: int, end_id: int) -> bytes:
     """A shard (without END) of documents in ascending key order; parts: their ids with the end id."""
     counts = np.array([len(p) // width for p in parts], np.int64)
     plain = np.array([NULL_KEY if k is None else k for k in keys], np.int64)
-    index = ShardIndex.build(plain, counts).pack()
-    payload = b"".join(parts)
-    listed = plain.tobytes() + counts.tobytes()
-    at = HEADER.size
-    places = (at, at + len(payload), at + len(payload) + len(listed), at + len(payload) + len(listed) + len(index) + TRAILER.size)
-    return HEADER.pack(MAGIC, width, end_id, len(keys), int(counts.sum())) + payload + listed + index + TRAILER.pack(*places)
+    function, entries = ShardIndex.build(plain, counts).pack()
+    sections = [HEADER.pack(MAGIC, width, end_id, len(keys), int(counts.sum())), b"".join(parts), plain.tobytes() + counts.tobytes(), function, entries]
+    places = np.cumsum([len(x) for x in sections]).tolist()
+    return b"".join([*sections, TRAILER.pack(*places[:-1], places[-1] + TRAILER.size)])
 
 
 class Shard:
     """A shard read back: documents in order, or one by its key."""
 
+    @staticmethod
+    def head(data: bytes) -> tuple[int, int, int, int]:
+        """Documents, ids, first and last key, without the rest."""
+        _, _, _, n, n_ids = HEADER.unpack_from(data)
+        at = TRAILER.unpack_from(data, len(data) - len(END) - TRAILER.size)[1]
+        return n, n_ids, *struct.unpack_from("<q", data, at), *struct.unpack_from("<q", data, at + 8 * (n - 1))
+
     def __init__(self, data: bytes) -> None:
         magic, self.width, self.end_id, n, self.n_ids = HEADER.unpack_from(data)
-        self.payload_at, keys_at, index_at, total = TRAILER.unpack_from(data, len(data) - len(END) - TRAILER.size)
+        self.payload_at, keys_at, function_at, entries_at, total = TRAILER.unpack_from(data, len(data) - len(END) - TRAILER.size)
         if magic != MAGIC or data[-len(END):] != END or total != len(data) - len(END):
             raise ValueError("not a whole token-id shard")
         self.data = data
         self.keys = np.frombuffer(data, "<i8", n, keys_at)
         self.counts = np.frombuffer(data, "<i8", n, keys_at + 8 * n)
-        self.index = ShardIndex.unpack(data[index_at:total - TRAILER.size])
+        self.index = ShardIndex.unpack(data[function_at:entries_at], data[entries_at:total - TRAILER.size])
 
     def ids(self, start: int, n: int) -> np.ndarray:
         return np.frombuffer(self.data, f"<u{self.width}", n, self.payload_at + start * self.width)
@@ -162,25 +167,14 @@ class Shard:
         """key, start in the shard, ids of each document, every key found through the index."""
         entries = self.index.find(self.keys)
         seen: dict[int, int] = {}
-        for k, (key, n, entry) in enumerate(zip(self.keys.tolist(), self.counts.tolist(), entries)):
-            if not entry["records"]:
+        for key, n, records, start in zip(self.keys.tolist(), self.counts.tolist(), entries["records"].tolist(), entries["start"].tolist()):
+            if not records:
                 raise ValueError(f"key {key} is not in its shard's index")
-            start = int(entry["start"]) + seen.get(key, 0)
-            if entry["records"] > 1:
-                seen[key] = seen.get(key, 0) + n
+            if records > 1:
+                start, seen[key] = start + seen.get(key, 0), seen.get(key, 0) + n
             yield None if key == NULL_KEY else key, start, self.ids(start, n)
 
 
-def chunk_encoder(text: str, width: int, most: int = 700_000) -> _Counts:
-    """Packed ids of the stretch between spaces or line ends, as the tokenizers library gives them; a table of most entries."""
-    key = hash((text, width, most))
-    if key not in _ENCODERS:
-        encode = LibraryEncoder(text, most * 5 // 7).encode
-        _ENCODERS.clear()
-        _ENCODERS[key] = _Counts(lambda chunk: np.array(encode(chunk), f"<u{width}").tobytes(), most)
-    return _ENCODERS[key]
-
-
 def id_width(vocabulary: str) -> int:
     from tokenizers import Tokenizer
 
@@ -188,7 +182,8 @@ def id_width(vocabulary: str) -> int:
 
 
 def write_token_store(docs: DataFrame, vocabulary_path: str, path: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> None:
-    """Encode docs (doc_id, text), append end_id to each and write shards below path, in ascending doc_id order.
+    """Encode docs (doc_id, text), append end_id to each and write shards below path/shards, in ascending doc_id order,
+    and their directory below path/directory.
 
     The texts are dealt into ranges of (doc_id, hash of the text), sorted there, encoded and packed as they
     stream by; a task holds one shard of at most shard_ids ids (or one document, if that is longer).
@@ -202,46 +197,56 @@ def write_token_store(docs: DataFrame, vocabulary_path: str, path: str, end_id:
     end = end_id.to_bytes(width, "little")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, keys, parts, held = chunk_encoder(shipped.value, width).__getitem__, [], [], 0
+        text = shipped.value
+        encode, keys, parts, size = held(("library", hash(text), width), lambda: LibraryEncoder(text, width, 2 * TABLE_BYTES)).encode, [], [], 0
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-                ids = b"".join(map(chunks, text.replace("\n", " ").split(" "))) + end
-                if keys and held + len(ids) > shard_ids * width:
+                ids = encode(text) + end
+                if keys and size + len(ids) > shard_ids * width:
                     yield pa.RecordBatch.from_arrays([pa.array([pack_shard(keys, parts, width, end_id)], pa.binary())], ["shard"])
-                    keys, parts, held = [], [], 0
+                    keys, parts, size = [], [], 0
                 keys.append(key)
                 parts.append(ids)
-                held += len(ids)
+                size += len(ids)
         if keys:
             yield pa.RecordBatch.from_arrays([pa.array([pack_shard(keys, parts, width, end_id)], pa.binary())], ["shard"])
 
     dealt = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("h"))
              .repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text"))
-    write_blobs(map_arrow(dealt, pack, "shard binary"), "shard", path, END)
+    write_blobs(map_arrow(dealt, pack, "shard binary"), "shard", f"{path}/shards", END)
+    spark = docs.sparkSession
+    _directory(spark, path).write.parquet(f"{path}/directory")
 
 
-def shard_list(spark: SparkSession, path: str) -> DataFrame:
+def _directory(spark: SparkSession, path: str) -> DataFrame:
     """file, n_docs, n_ids, low, high (keys) and start (ids of all shards before) of each shard."""
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shards = [Shard(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.int64()) for x in ([len(s.keys) for s in shards], [s.n_ids for s in shards], [int(s.keys[0]) for s in shards], [int(s.keys[-1]) for s in shards]))],
-                ["file", "n_docs", "n_ids", "low", "high"])
+            heads = zip(*(Shard.head(memoryview(x.as_buffer())) for x in batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in heads)], ["file", "n_docs", "n_ids", "low", "high"])
 
-    shards = map_arrow(_contents(spark, path), heads, "file string, n_docs long, n_ids long, low long, high long")
-    order = [F.regexp_extract("file", r"^part-(\d+)", 1).cast("long"), F.regexp_extract("file", r"-c(\d+)(\.[^-]*)?$", 1).cast("long")]
-    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # a row per shard, not per document
-    return shards.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    shards = staged(map_arrow(_contents(spark, path), heads, "file string, n_docs long, n_ids long, low long, high long"), "heads")
+    shards = shards.withColumns({"part": F.regexp_extract("file", r"^part-(\d+)", 1).cast("long"), "turn": F.regexp_extract("file", r"-c(\d+)(\.[^-]*)?$", 1).cast("long")})
+    # ids before a shard: those of all parts before (a window with a row a part) and of its part's shards before
+    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    parts = parts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
+    inside = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return shards.withColumn("inside", inside).join(parts, "part").select("file", "n_docs", "n_ids", "low", "high", (F.col("before") + F.col("inside")).alias("start"))
+
+
+def shard_list(spark: SparkSession, path: str) -> DataFrame:
+    """The directory: file, n_docs, n_ids, low, high (keys) and start (ids of all shards before) of each shard."""
+    return spark.read.parquet(f"{path}/directory")
 
 
 def _contents(spark: SparkSession, path: str) -> DataFrame:
-    return read_blobs(spark, path).where(F.col("length") > len(END)).select("file", "content")
+    return read_blobs(spark, f"{path}/shards").where(F.col("length") > len(END)).select("file", "content")
 
 
 def read_token_store(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the shard files.
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the shard files and their directory.
 
+    Null keys come back as null, repeated keys as often as they were written, a store of nothing gives no rows.
     ids_crc32 is the unsigned crc32 of the ids as little-endian unsigned 32-bit integers.
     """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,34 +261,41 @@ def read_token_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 class TokenStore:
-    """Keyed access from the driver: pick the shards whose key range covers the key, look at one slot, read one range."""
+    """Keyed access from the driver. A key costs the directory's row groups that may hold it, one entry and one range of
+    ids; a shard's hash function (about 4 bits a document) is read at the first key that falls into it, and kept."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
         self.shards = shard_list(spark, path).select("file", "low", "high")
-        self.open: dict[str, tuple[int, int, ShardIndex]] = {}
+        self.open: dict[str, tuple[int, int, int, PerfectHash]] = {}
+        self.bytes_read = 0
+
+    def _read(self, file: str, offset: int, length: int) -> bytes:
+        self.bytes_read += length
+        return read_range(self.spark, f"{self.path}/shards/{file}", offset, length)
 
-    def _index(self, file: str) -> tuple[int, int, ShardIndex]:
-        """Width of an id, place of the payload, index; read once per shard, without the payload."""
+    def _function(self, file: str) -> tuple[int, int, int, PerfectHash]:
+        """Width of an id, places of the payload and of the entries, hash function."""
         if file not in self.open:
-            where = f"{self.path}/{file}"
             jvm = self.spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(where)
+            target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/shards/{file}")
             size = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).getLen()
-            tail = read_range(self.spark, where, size - len(END) - TRAILER.size, TRAILER.size)
-            payload_at, _, index_at, total = TRAILER.unpack(tail)
-            width = HEADER.unpack(read_range(self.spark, where, 0, HEADER.size))[1]
-            self.open[file] = width, payload_at, ShardIndex.unpack(read_range(self.spark, where, index_at, total - TRAILER.size - index_at))
+            payload_at, _, function_at, entries_at, _ = TRAILER.unpack(self._read(file, size - len(END) - TRAILER.size, TRAILER.size))
+            width = HEADER.unpack(self._read(file, 0, HEADER.size))[1]
+            self.open[file] = width, payload_at, entries_at, PerfectHash.unpack(self._read(file, function_at, entries_at - function_at), 0)[0]
         return self.open[file]
 
     def get(self, key: int) -> list[list[int]]:
-        """The ids of all documents with this key, each with its end id."""
+        """The ids of all documents with this key, each with its end id; documents of one key in one shard come joined."""
         out = []
         for row in self.shards.where((F.col("low") <= key) & (F.col("high") >= key)).orderBy("low").collect():
-            width, payload_at, index = self._index(row["file"])
-            entry = index.find(np.array([key]))[0]
-            if entry["records"]:
-                raw = read_range(self.spark, f"{self.path}/{row['file']}", payload_at + int(entry["start"]) * width, int(entry["n"]) * width)
+            width, payload_at, entries_at, function = self._function(row["file"])
+            slot = int(function.slots(np.array([key]))[0])
+            if slot < 0:
+                continue
+            entry = np.frombuffer(self._read(row["file"], entries_at + slot * ENTRY.itemsize, ENTRY.itemsize), ENTRY)[0]
+            if entry["mark"] == int(mixed(np.array([key]), 255)[0]) & 0xFFFFFFFF:
+                raw = self._read(row["file"], payload_at + int(entry["start"]) * width, int(entry["n"]) * width)
                 out.append(np.frombuffer(raw, f"<u{width}").tolist())
         return out
 
@@ -291,6 +303,12 @@ class TokenStore:
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    tuned(spark)
     path = fresh_path(spark, "token-store")
     write_token_store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
     return read_token_store(spark, path)
+
+
+def chunk_encoder(text: str, width: int, most: int = 0):
+    """Packed ids of a stretch between spaces or line ends."""
+    return held(("library", hash(text), width), lambda: LibraryEncoder(text, width)).chunks

@@ -33,15 +33,25 @@ def word_library():
     return Tokenizer.from_file(WORD)
 
 
+def byte_counter():
+    vocabulary = bpe.Vocabulary(bpe.read_vocabulary(BYTE))
+    return bpe.WholeTokens(vocabulary, vocabulary.proven())
+
+
+def word_codec(most=bpe.TABLE_BYTES):
+    vocabulary = bpe.Vocabulary(bpe.read_vocabulary(WORD))
+    return bpe.PrefixEncoder(vocabulary, vocabulary.proven(), most)
+
+
 def test_whole_tokens_are_proven(byte_library):
-    counter = token_counts.counter(bpe.read_vocabulary(BYTE))
+    counter = byte_counter()
     assert len(counter.whole) > 40_000
     for piece in list(counter.whole)[::997]:
         assert len(byte_library.encode(piece, add_special_tokens=False).ids) == 1
 
 
 def test_counts_equal_the_library(byte_library):
-    counter = token_counts.counter(bpe.read_vocabulary(BYTE))
+    counter = byte_counter()
 
     @settings(max_examples=150, deadline=None)
     @given(ALPHABET)
@@ -54,14 +64,14 @@ def test_counts_equal_the_library(byte_library):
 
 
 def test_prefix_program_and_cached_library_equal_the_library(word_library):
-    codec, cached = bpe_codec.codec(bpe.read_vocabulary(WORD)), token_store.chunk_encoder(bpe.read_vocabulary(WORD), 4)
+    codec, cached = word_codec(), bpe.LibraryEncoder(bpe.read_vocabulary(WORD), 4)
 
     @settings(max_examples=150, deadline=None)
     @given(ALPHABET)
     def same(text):
         ids = word_library.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(codec.encode(text), "<u4").tolist() == ids
-        assert np.frombuffer(b"".join(cached[c] for c in text.replace("\n", " ").split(" ")), "<u4").tolist() == ids
+        assert np.frombuffer(cached.encode(text), "<u4").tolist() == ids
         assert codec.decode(np.array(ids, "<u4").tobytes()) == word_library.decode(ids, skip_special_tokens=False)
 
     same()
@@ -69,6 +79,33 @@ def test_prefix_program_and_cached_library_equal_the_library(word_library):
         assert np.frombuffer(codec.encode(text), "<u4").tolist() == word_library.encode(text, add_special_tokens=False).ids
 
 
+def test_long_texts(word_library, byte_library):
+    spaced, unbroken = " ".join(texts(300)), "".join(texts(40)).replace(" ", "").replace("\n", "")
+    codec, cached, counter = word_codec(), bpe.LibraryEncoder(bpe.read_vocabulary(WORD), 2), byte_counter()
+    for text in (spaced, unbroken, "ab" * 30_000):
+        ids = word_library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == ids == np.frombuffer(cached.encode(text), "<u2").tolist()
+        assert counter.count(text) == len(byte_library.encode(text, add_special_tokens=False).ids)
+
+
+def test_tables_stay_within_their_bytes():
+    work = []
+    table = bpe.Memo(lambda key: work.append(key) or key.encode(), 100_000)
+    for k in range(5000):
+        assert table[f"key{k}"] == b"key%d" % k and table["often"] == b"often"
+    assert len(table) + len(table.old) < 1000 and work.count("often") < 3
+    table["x" * (bpe.KEY_BYTES)]
+    assert "x" * (bpe.KEY_BYTES) not in table
+    assert bpe.held(("a",), lambda: 1) == 1 and bpe.held(("b",), lambda: 2) == 2 and bpe.held(("a",), lambda: 3) == 3
+
+
+def test_words_without_a_cover_are_refused():
+    vocabulary = bpe.Vocabulary(bpe.read_vocabulary(WORD))
+    codec = bpe.PrefixEncoder(vocabulary, [t for t in vocabulary.proven() if "q" not in t])
+    with pytest.raises(ValueError):
+        codec.encode("quiet")
+
+
 def test_merge_forms_agree():
     vocabulary = bpe.Vocabulary(bpe.read_vocabulary(BYTE))
     for text in ("thethethe" * 30, "abcdefghij" * 20, "aaaa" * 40):
@@ -109,20 +146,33 @@ def test_store_reads_back_what_was_written(spark, word_library, shard_ids):
     crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
     assert sorted((str(r["doc_id"]), r["ids_crc32"]) for r in rows) == sorted((str(k), crc(x)) for k, many in ids.items() for x in many)
     store = token_store.TokenStore(spark, path)
+    shards = token_store.shard_list(spark, path)
+    assert shards.agg({"n_docs": "sum"}).first()[0] == len(rows)
     assert store.get(9) == ids[9] and store.get(-5) == [] and store.get(10**12) == []
     joined = [x for got in store.get(12) for x in got]
     assert sorted(joined) == sorted(x for many in ids[12] for x in many)
 
 
+def test_one_look_up_reads_little(spark):
+    path = fresh_path(spark, "store")
+    docs = spark.createDataFrame([(k, f"document number {k} of many") for k in range(3000)], "doc_id long, text string")
+    token_store.write_token_store(docs, WORD, path)
+    store = token_store.TokenStore(spark, path)
+    assert len(store.get(1234)[0]) == len(store.get(1235)[0])
+    before = store.bytes_read
+    store.get(1236)
+    assert store.bytes_read - before < 100  # an entry and the ids
+
+
 def test_shards_keep_their_order_whatever_the_job_is_called(spark, tmp_path):
     path = f"file://{tmp_path}/store"
     token_store.write_token_store(documents(spark).coalesce(1), WORD, path, shard_ids=40)
-    folder = tmp_path / "store"
+    folder = tmp_path / "store" / "shards"
     for file in sorted(folder.glob("part-*")):
         part, counter = re.fullmatch(r"part-(\d+)-.*-c(\d+)\.txt", file.name).groups()
         turned = 999 - int(counter)  # listed by name, the shards come in the wrong order
         file.rename(folder / f"part-{part}-{turned:08d}-c1aa-4bbb-8ccc-0123456789ab-c{counter}.txt")
-    shards = token_store.shard_list(spark, path).collect()
+    shards = token_store._directory(spark, path).collect()
     assert len(shards) > 3
     in_order = sorted(shards, key=lambda r: (r["file"].split("-")[1], int(r["file"].rsplit("-c", 1)[1].split(".")[0])))
     starts = np.cumsum([0] + [r["n_ids"] for r in in_order])[:-1].tolist()
