@@ -1,17 +1,19 @@
 """Language-model scores: a causal self-attention model in numpy, and a word unigram model as its base.
 
-The attention model reads subword ids. One layer of causal self-attention over a context window gives the
-state of each position; a softmax over id classes, times the share of the id in its class (counted over all
-training text), gives the probability of the next id. Windows overlap: each scores the ids that the
-windows before it did not, so that every id is scored once, with context.
-
-The class shares and the base counts come from all training text. The attention weights are trained in
-rounds: shards of the training windows learn on their own from common weights, which are then averaged. The windows
-cover all training text: each id of each training document is predicted once a round.
+The attention model reads subword ids. Counts over all training text give it a start: how often each class of ids
+follows each frequent id, and how the ids of a class share it after an id. One layer of causal self-attention
+over a context window adds to the classes' logits what the words before tell; softmax over the classes, times
+the id's share, is the probability of the next id. Windows overlap: each scores the ids that the windows before
+it did not, so that every id is scored once, with context.
+
+Texts are encoded once; all later passes read the ids. The attention weights learn from every id of the training
+text once: each round takes its part of the windows of all texts, every partition of the ids learns on its own from common
+weights, and Spark averages the weights. Partitions, and so learners, grow with the text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -22,54 +24,101 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import read_vocabulary
-from .common import crc32_remainder, lowered, map_arrow, staged, table, texts_of
-from .token_store import chunk_encoder
+from .bpe import LibraryEncoder, Vocabulary, held, read_vocabulary
+from .common import crc32_remainder, lowered, map_arrow, staged, table, texts_of, tuned
 
 FOLDS, HELD_OUT = 7, 2
 END_WORD = "\n"
-#: Frequent words whose counts are broadcast: as many, and as long in bytes, at most. The others are joined.
-HEAD_WORDS, HEAD_BYTES = 400_000, 64
-WINDOW, OVERLAP, WIDTH = 32, 8, 16
-EMBEDDED, SINGLE, BANDS = 2048, 160, 12
-ROUNDS, SHARDS, SHARD_WINDOWS, BATCH, RATE = 2, 24, 2000, 32, 0.2
-IDS = 49_408
-#: Encoded words that a Python worker keeps; the head's counts are beside them.
-CHUNKS = 350_000
-END_ID = 49_407
+#: Frequent words whose counts are broadcast; words of more bytes stand there by a hash. The others are joined.
+HEAD_WORDS, HEAD_BYTES = 200_000, 64
+#: Distinct words that a task counts before it hands them on.
+COUNTED_WORDS = 150_000
+WINDOW, OVERLAP, WIDTH = 32, 8, 8
+#: Ids with an embedding and a class table of their own, the first of them with shares of their own, and the ids
+#: whose shares depend on the id before. By frequency; the last place stands for all other ids.
+EMBEDDED, BEFORE, NEXT = 2048, 1024, 4096
+#: Ids that are a class of their own, and bands of the others, by whether they end a word.
+SINGLE, BANDS = 72, 12
+ROUNDS, BATCH, HELD_WINDOWS, RATE = 2, 128, 4096, 0.2
+SMOOTH_CLASS, SMOOTH_SHARE = 5.0, 20.0
+N_CLASSES = SINGLE + 2 * BANDS
 
 
 def fold(doc_id: int | None) -> int:
     return zlib.crc32(("null" if doc_id is None else str(doc_id)).encode()) % FOLDS
 
 
-class Classes:
-    """Id classes from counts: the most frequent ids alone, the others in bands of equal frequency mass by whether they end a word."""
+def narrow_ids(n_ids: int) -> str:
+    """The type in which ids are kept."""
+    return "<u2" if n_ids <= 1 << 16 else "<u4"
+
+
+class Codes:
+    """Places and classes of ids from their counts: the most frequent ids are classes alone, the others lie in bands of equal
+    frequency mass by whether they end a word."""
 
     def __init__(self, counts: np.ndarray, ends: np.ndarray) -> None:
         order = np.argsort(-counts, kind="stable")
+        self.n_ids = counts.size
         self.of = np.zeros(counts.size, np.int32)
-        self.of[order[:SINGLE]] = np.arange(SINGLE)
+        self.of[order[:SINGLE]] = np.arange(min(SINGLE, counts.size))
         for e in (0, 1):
             rest = order[SINGLE:][ends[order[SINGLE:]] == e]
             mass = np.cumsum(counts[rest] + 0.5)
             if rest.size:
                 self.of[rest] = SINGLE + e * BANDS + np.minimum(BANDS - 1, (mass - 0.25) * BANDS // mass[-1]).astype(np.int32)
-        self.n = SINGLE + 2 * BANDS
-        total = np.bincount(self.of, counts + 0.5, self.n)
-        self.log_share = np.log((counts + 0.5) / total[self.of]).astype(np.float32)
-        self.place = np.full(counts.size, EMBEDDED - 1, np.int32)  # the last embedding stands for all rare ids
-        self.place[order[:EMBEDDED - 1]] = np.arange(EMBEDDED - 1)
-        self.prior = np.log(np.maximum(total, 1e-9) / total.sum()).astype(np.float32)
-
-
-def fresh_weights(classes: Classes, seed: int = 7) -> dict[str, np.ndarray]:
+        rank = np.empty(counts.size, np.int64)
+        rank[order] = np.arange(counts.size)
+        self.place = np.minimum(rank, EMBEDDED - 1).astype(np.int32)
+        self.before = np.minimum(rank, BEFORE - 1).astype(np.int32)
+        self.next = np.minimum(rank, NEXT - 1).astype(np.int32)
+        self.next_ids = order[:NEXT - 1]
+        total = np.bincount(self.of, counts + 0.5, N_CLASSES)
+        self.share = (counts + 0.5) / total[self.of]
+
+    def cells(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Numbers of the counters of each (id before, id): one of the class table, one of the share table."""
+        return np.concatenate([self.place[before].astype(np.int64) * N_CLASSES + self.of[ids], CLASS_CELLS + self.before[before].astype(np.int64) * NEXT + self.next[ids]])
+
+
+CLASS_CELLS = EMBEDDED * N_CLASSES
+PAIR_CELLS = CLASS_CELLS + BEFORE * NEXT
+
+
+class Prior:
+    """log probability of each class after each place, and log share of an id in its class after each place."""
+
+    def __init__(self, codes: Codes, cells: np.ndarray) -> None:
+        self.codes = codes
+        n = cells[:CLASS_CELLS].reshape(EMBEDDED, N_CLASSES).astype(float)
+        every = n.sum(0) + 1e-3
+        self.classes = np.log((n + SMOOTH_CLASS * every / every.sum()) / (n.sum(1, keepdims=True) + SMOOTH_CLASS)).astype(np.float32)
+        ids = codes.next_ids
+        of, share = codes.of[ids], codes.share[ids]
+        rare = np.maximum(0.0, 1 - np.bincount(of, share, N_CLASSES))  # what ids without a column take of a class
+        n = cells[CLASS_CELLS:].reshape(BEFORE, NEXT)[:, :len(ids)].astype(float)
+        total = np.zeros((BEFORE, N_CLASSES))
+        np.add.at(total.T, of, n.T)
+        own = np.maximum(1e-9, 1 - rare)
+        shares = (n + SMOOTH_SHARE * share / own[of]) / (total[:, of] + SMOOTH_SHARE) * own[of]
+        self.shares = np.zeros((BEFORE, NEXT), np.float16)
+        self.shares[:, :len(ids)] = np.log(np.maximum(shares, 1e-9))
+        self.plain = np.log(codes.share).astype(np.float32)
+
+    def log_share(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Log share of each id in its class after the id before."""
+        at = self.codes.next[ids]
+        return np.where(at < NEXT - 1, self.shares[self.codes.before[before], at], self.plain[ids])
+
+
+def fresh_weights(seed: int = 7) -> dict[str, np.ndarray]:
     rnd = np.random.default_rng(seed)
     draw = lambda *shape: (rnd.standard_normal(shape) * 0.25).astype(np.float32)
-    return {"e": draw(EMBEDDED, WIDTH), "p": draw(WINDOW, WIDTH) * np.float32(0.2), "qkv": draw(WIDTH, 3 * WIDTH), "o": draw(WIDTH, WIDTH), "u": draw(WIDTH, classes.n) * np.float32(0.2), "b": classes.prior.copy()}
+    return {"e": draw(EMBEDDED, WIDTH), "p": draw(WINDOW, WIDTH) * np.float32(0.2), "qkv": draw(WIDTH, 3 * WIDTH), "o": draw(WIDTH, WIDTH), "u": np.zeros((WIDTH, N_CLASSES), np.float32), "b": np.zeros(N_CLASSES, np.float32)}
 
 
 MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+TRIANGLE = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
 def forward(w: dict[str, np.ndarray], places: np.ndarray) -> tuple:
@@ -86,22 +135,23 @@ def forward(w: dict[str, np.ndarray], places: np.ndarray) -> tuple:
     return x, q, k, v, a, z, x + z @ w["o"]
 
 
-def class_log_probs(w: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray) -> np.ndarray:
-    logits = h @ w["u"] + w["b"]
-    top = logits.max(-1, keepdims=True)
-    chosen = np.take_along_axis(logits, target[..., None], -1)
-    logits -= top
-    np.exp(logits, out=logits)
-    return (chosen - top - np.log(logits.sum(-1, keepdims=True)))[..., 0]
+def class_log_probs(w: dict[str, np.ndarray], prior: np.ndarray, h: np.ndarray, places: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log probability of the target classes, given states and the places before; safe at any size of the logits."""
+    logits = h @ w["u"] + w["b"] + prior[places]
+    logits -= logits.max(-1, keepdims=True)
+    chosen = np.take_along_axis(logits, target[..., None].astype(np.int64), -1)[..., 0]
+    return chosen - np.log(np.exp(logits).sum(-1))
 
 
-def gradients(w: dict[str, np.ndarray], places: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradient of the weighted mean cross-entropy of the target classes."""
+def gradients(w: dict[str, np.ndarray], prior: np.ndarray, places: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Gradient of the weighted mean cross-entropy of the target classes, that of the embeddings for the used ones only."""
     x, q, k, v, a, z, h = forward(w, places)
     n, t = places.shape
     flat = lambda m: m.reshape(-1, m.shape[-1])
+    at = places.reshape(-1)
     d = flat(h) @ w["u"]  # one array from the logits to their gradient
     d += w["b"]
+    d += prior[at]
     d -= d.max(-1, keepdims=True)
     np.exp(d, out=d)
     scale = weight.reshape(-1) / max(1.0, float(weight.sum()))
@@ -112,52 +162,77 @@ def gradients(w: dict[str, np.ndarray], places: np.ndarray, target: np.ndarray,
     g["o"] = flat(z).T @ flat(dh)
     dz = dh @ w["o"].T
     da, dv = dz @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dz
-    ds = a * (da - (da * a).sum(2, keepdims=True)) * np.float32(WIDTH ** -0.5)
-    dqkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, dv], 2)
+    da -= (dz * z).sum(2, keepdims=True)
+    da *= a
+    da *= np.float32(WIDTH ** -0.5)
+    dqkv = np.concatenate([da @ k, da.transpose(0, 2, 1) @ q, dv], 2)
     g["qkv"] = flat(x).T @ flat(dqkv)
     dx = dh + dqkv @ w["qkv"].T
     g["p"] = np.zeros_like(w["p"])
     g["p"][:t] = dx.sum(0)
-    g["e"] = np.zeros_like(w["e"])
-    order = np.argsort(places, axis=None, kind="stable")
-    used, first = np.unique(places.reshape(-1)[order], return_index=True)
-    g["e"][used] = np.add.reduceat(flat(dx)[order], first, axis=0)
-    return g
+    order = np.argsort(at, kind="stable")
+    used, first = np.unique(at[order], return_index=True)
+    g["e"] = np.add.reduceat(flat(dx)[order], first, axis=0)
+    return g, used
 
 
-def learn(w: dict[str, np.ndarray], places: np.ndarray, target: np.ndarray, weight: np.ndarray, speed: dict[str, np.ndarray]) -> None:
+def learn(w: dict[str, np.ndarray], prior: np.ndarray, places: np.ndarray, target: np.ndarray, weight: np.ndarray, speed: dict[str, np.ndarray]) -> None:
     """One AdaGrad step in place."""
-    for name, g in gradients(w, places, target, weight).items():
-        speed[name] += g * g
-        w[name] -= np.float32(RATE) * g / np.sqrt(speed[name] + 1e-10)
+    found, used = gradients(w, prior, places, target, weight)
+    for name, g in found.items():
+        at = used if name == "e" else slice(None)
+        speed[name][at] += g * g
+        w[name][at] -= np.float32(RATE) * g / np.sqrt(speed[name][at] + np.float32(1e-8))
 
 
-def packed(w: dict[str, np.ndarray]) -> bytes:
-    return b"".join(w[k].astype("<f4").tobytes() for k in sorted(w))
+def packed(w: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([w[k].reshape(-1) for k in sorted(w)]).astype(np.float32)
 
 
-def unpacked(data: bytes, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def unpacked(data: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for k in sorted(like):
-        out[k] = np.frombuffer(data, "<f4", like[k].size, at).reshape(like[k].shape).copy()
-        at += 4 * like[k].size
+        out[k] = np.asarray(data[at:at + like[k].size], np.float32).reshape(like[k].shape).copy()
+        at += like[k].size
     return out
 
 
-TRIANGLE = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+class Stream:
+    """Id sequences back to back, each with its end, and the id before each."""
+
+    def __init__(self, texts: list[np.ndarray], end: int) -> None:
+        self.lengths = np.array([len(x) + 1 for x in texts], np.int64)
+        self.ids = np.full(int(self.lengths.sum()), end, np.int64)
+        self.ends = np.cumsum(self.lengths)
+        self.starts = self.ends - self.lengths
+        inner = np.ones(self.ids.size, bool)
+        inner[self.ends - 1] = False
+        if texts:
+            self.ids[inner] = np.concatenate(texts)
+        self.before = np.empty_like(self.ids)
+        self.before[1:] = self.ids[:-1]
+        self.before[self.starts] = end
+
+    def windows(self, step: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(owner, turn in its text, first position) of windows of WINDOW ids each step apart, the first length long."""
+        n = 1 + -(-np.maximum(0, self.lengths - length) // step)
+        owner = np.repeat(np.arange(len(n)), n)
+        turn = np.arange(owner.size) - np.repeat(np.cumsum(n) - n, n)
+        return owner, turn, self.starts[owner] + turn * step
 
 
 class Scorer:
     """The forward pass for scoring only, with few passes over memory: attention and classes are summed as plain
     exponentials (weights are small; should one overflow, the batch is done again in the careful form)."""
 
-    def __init__(self, w: dict[str, np.ndarray]) -> None:
-        self.w = w
+    def __init__(self, w: dict[str, np.ndarray], prior: Prior) -> None:
+        self.w, self.prior = w, prior
         self.qkv = w["qkv"].copy()
         self.qkv[:, :WIDTH] *= np.float32(WIDTH ** -0.5)
         # what a place adds to queries, keys and values, with the embedding itself before it, and the same by position
         self.by_place = np.hstack([w["e"], w["e"] @ self.qkv]).astype(np.float32)
         self.by_position = np.hstack([w["p"], w["p"] @ self.qkv]).astype(np.float32)
+        self.after = prior.classes + w["b"]
         self.ones = np.ones(w["u"].shape[1], np.float32)
 
     def states(self, places: np.ndarray) -> np.ndarray:
@@ -173,139 +248,144 @@ class Scorer:
 
     def __call__(self, places: np.ndarray, scored: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log probability of the target class at the scored positions."""
-        h = self.states(places)[scored]
-        logits = h @ self.w["u"]
-        logits += self.w["b"]
-        chosen = logits[np.arange(len(target)), target]
-        np.exp(logits, out=logits)
-        out = chosen - np.log(logits @ self.ones)
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            logits = self.states(places)[scored] @ self.w["u"]
+            logits += self.after[places[scored]]
+            chosen = logits[np.arange(len(target)), target]
+            np.exp(logits, out=logits)
+            out = chosen - np.log(logits @ self.ones)
         if np.isfinite(out).all():
             return out
-        return class_log_probs(self.w, forward(self.w, places)[-1][scored], target)
-
-
-def text_log_probs(w: dict[str, np.ndarray], classes: Classes, texts: list[np.ndarray], at_once: int = 80) -> np.ndarray:
-    """log10 probability of each id sequence with its end, by batches of overlapping windows."""
-    step = WINDOW - OVERLAP
-    lengths = np.array([len(x) + 1 for x in texts], np.int64)
-    flat = np.concatenate([np.append(x, END_ID) for x in texts]).astype(np.int64) if texts else np.zeros(0, np.int64)
-    ends = np.cumsum(lengths)
-    before = np.empty_like(flat)  # the id before each, the end id before the first
-    before[1:] = flat[:-1]
-    before[ends - lengths] = END_ID
-    windows = 1 + -(-np.maximum(0, lengths - WINDOW) // step)
-    owner = np.repeat(np.arange(len(texts)), windows)
-    turn = np.arange(owner.size) - np.repeat(np.cumsum(windows) - windows, windows)
-    first = (ends - lengths)[owner] + turn * step
-    total, score = np.zeros(len(texts)), Scorer(w)
-    source, target, share = classes.place[before], classes.of[flat], classes.log_share[flat]
-    for lo in range(0, owner.size, at_once):
-        hi = min(lo + at_once, owner.size)
-        at = first[lo:hi, None] + np.arange(WINDOW)
-        scored = (at < ends[owner[lo:hi], None]) & ((np.arange(WINDOW) >= OVERLAP) | (turn[lo:hi, None] == 0))
-        at = np.minimum(at, flat.size - 1)
-        chosen = at[scored]
-        logs = score(source[at], scored, target[chosen]) + share[chosen]
-        total += np.bincount(np.repeat(owner[lo:hi], scored.sum(1)), logs, len(texts))
-    return total / math.log(10)
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, c over all training rows of docs (doc_id, text); the end of a text counts as the word END_WORD."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "c"])
-
-        found: Counter[bytes] = Counter()
-        for batch in batches:
-            for text in texts_of(batch.column(1)):
-                found.update(lowered(text).split())
-                found[END_WORD.encode()] += 1
-            if len(found) > 300_000:
-                yield out()
-                found = Counter()
-        if found:
-            yield out()
-
-    training = docs.where(crc32_remainder("doc_id", FOLDS) != HELD_OUT)
-    return staged(map_arrow(training, count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
-
-
-def id_counts(words: DataFrame, vocabulary: str, shipped) -> np.ndarray:
-    """Occurrences of each subword id in all training text, from its word counts."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, encode = np.zeros(IDS, np.int64), chunk_encoder(shipped.value, 2, CHUNKS)
+        return class_log_probs(self.w, self.prior.classes, forward(self.w, places)[-1][scored], places[scored], target)
+
+    def texts(self, texts: list[np.ndarray], at_once: int = 80) -> np.ndarray:
+        """log10 probability of each id sequence with its end, by batches of overlapping windows."""
+        codes = self.prior.codes
+        stream = Stream(texts, codes.n_ids - 1)
+        owner, turn, first = stream.windows(WINDOW - OVERLAP, WINDOW)
+        total = np.zeros(len(texts))
+        source, target, share = codes.place[stream.before], codes.of[stream.ids], self.prior.log_share(stream.before, stream.ids)
+        for lo in range(0, owner.size, at_once):
+            hi = min(lo + at_once, owner.size)
+            at = first[lo:hi, None] + np.arange(WINDOW)
+            scored = (at < stream.ends[owner[lo:hi], None]) & ((np.arange(WINDOW) >= OVERLAP) | (turn[lo:hi, None] == 0))
+            at = np.minimum(at, stream.ids.size - 1)
+            chosen = at[scored]
+            logs = self(source[at], scored, target[chosen]) + share[chosen]
+            total += np.bincount(np.repeat(owner[lo:hi], scored.sum(1)), logs, len(texts))
+        return total / math.log(10)
+
+
+def encoded(docs: DataFrame, shipped, kind: str, n_ids: int) -> DataFrame:
+    """One pass over docs (doc_id, text): a row for each with doc_id, text_hash, text, train and ids (packed subword ids of
+    its lower-cased words); and, from training rows, partial counts: word with c, and id with c."""
+    columns = {"doc_id": pa.int64(), "text_hash": pa.int64(), "text": pa.string(), "train": pa.bool_(), "ids": pa.binary(), "word": pa.string(), "id": pa.int64(), "c": pa.int64()}
+
+    def rows(n: int, **given) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([given.get(k, pa.nulls(n, t)) for k, t in columns.items()], list(columns))
+
+    def counted(words: Counter) -> pa.RecordBatch:
+        return rows(len(words), word=pa.array(list(words), pa.binary()).cast(pa.string()), c=pa.array(list(words.values()), pa.int64()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = shipped.value
+        encode = held(("library", hash(text), kind), lambda: LibraryEncoder(text, int(kind[-1]))).chunks.__getitem__
+        words, total = Counter(), np.zeros(n_ids, np.int64)
         for batch in batches:
-            for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if word == END_WORD:
-                    total[END_ID] += c
-                else:
-                    np.add.at(total, np.frombuffer(encode[word], "<u2"), c)
+            packs = []
+            for train, text in zip(batch.column(3).to_pylist(), texts_of(batch.column(2))):
+                parts = lowered(text).split()
+                packs.append(b"".join([encode(x.decode()) for x in parts]))
+                if train:
+                    words.update(parts)
+                    words[END_WORD.encode()] += 1
+                    total += np.bincount(np.frombuffer(packs[-1], kind), minlength=n_ids)
+                    total[-1] += 1
+                if len(words) > COUNTED_WORDS:
+                    yield counted(words)
+                    words = Counter()
+            yield rows(len(packs), doc_id=batch.column(0), text_hash=batch.column(1), text=batch.column(2), train=batch.column(3), ids=pa.array(packs, pa.binary()))
+        if words:
+            yield counted(words)
         used = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "c"])
+        yield rows(len(used), id=pa.array(used, pa.int64()), c=pa.array(total[used], pa.int64()))
+
+    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    keyed = narrow.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", (crc32_remainder("doc_id", FOLDS) != HELD_OUT).alias("train"))
+    return staged(map_arrow(keyed, run, "doc_id long, text_hash long, text string, train boolean, ids binary, word string, id long, c long"), "encoded", compression="zstd")
 
-    rows = map_arrow(words, count, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).collect()  # a row per vocabulary id
-    counts = np.zeros(IDS, np.int64)
-    for i, c in rows:
-        counts[i] = c
-    return counts
 
+def cell_counts(ids: DataFrame, codes: Codes, kind: str) -> np.ndarray:
+    """The counters of Codes.cells over all training ids: a table of fixed size, whatever the corpus."""
+    shipped = ids.sparkSession.sparkContext.broadcast(codes)
 
-def training_windows(docs: DataFrame, shipped) -> DataFrame:
-    """ids (unsigned 16-bit, the id before the window first) of windows that cover all training text once, and deal, a
-    number that sends the windows of a text, and those of its copies, to different shards."""
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = chunk_encoder(shipped.value, 2, CHUNKS).__getitem__
-        end = END_ID.to_bytes(2, "little")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, total, waiting, n = shipped.value, np.zeros(PAIR_CELLS, np.int64), [], 0
         for batch in batches:
-            out, deal = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-                words = lowered(text).split()
-                ids = end + b"".join([encode(x.decode()) for x in words]) + end
-                found = [ids[k:k + 2 * (WINDOW + 1)] for k in range(0, len(ids) - 2, 2 * WINDOW)]
-                out += found
-                deal.append(zlib.crc32(ids, zlib.crc32(str(doc_id).encode())) + (np.arange(len(found)) << 32))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(np.concatenate(deal) if deal else [], pa.int64())], ["ids", "deal"])
-
-    training = docs.where(crc32_remainder("doc_id", FOLDS) != HELD_OUT)
-    return staged(map_arrow(training, cut, "ids binary, deal long"), "windows")
-
-
-def trained(windows: DataFrame, classes: Classes, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Attention weights by rounds of shard-wise AdaGrad and averaging; a shard streams its windows.
-
-    There are SHARDS shards, or fewer if that would leave them less than SHARD_WINDOWS windows each."""
-    weights, context = fresh_weights(classes), windows.sparkSession.sparkContext
-    shards = max(1, min(SHARDS, windows.count() // SHARD_WINDOWS))
-    dealt = windows.repartition(shards, "deal").sortWithinPartitions(F.xxhash64("deal", "ids"), "ids")
+            stream = Stream([np.frombuffer(x, kind) for x in batch.column(0).to_pylist()], codes.n_ids - 1)
+            waiting.append(codes.cells(stream.before, stream.ids))
+            n += waiting[-1].size
+            if n > 4_000_000:
+                total += np.bincount(np.concatenate(waiting), minlength=PAIR_CELLS)
+                waiting, n = [], 0
+        if waiting:
+            total += np.bincount(np.concatenate(waiting), minlength=PAIR_CELLS)
+        used = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["cell", "c"])
+
+    found = map_arrow(ids, run, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()
+    total = np.zeros(PAIR_CELLS, np.int64)
+    total[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return total
+
+
+def trained(ids: DataFrame, prior: Prior, kind: str, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Attention weights from ids (packed, a training text a row): each id is predicted once, in one of the rounds.
+
+    In a round every partition learns from common weights, by AdaGrad on its own part of the windows; Spark then
+    averages the partitions' weights, each by its windows. Nothing but one set of weights reaches the driver."""
+    weights, context = fresh_weights(), ids.sparkSession.sparkContext
     for turn in range(rounds):
-        shipped = context.broadcast((weights, classes))
+        shipped = context.broadcast((weights, prior.codes, prior.classes))
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped, turn=turn) -> Iterator[pa.RecordBatch]:
-            start, classes = shipped.value
+            start, codes, classes = shipped.value
             w = {k: v.copy() for k, v in start.items()}
-            speed = {k: np.zeros_like(v) for k, v in w.items()}
-            seen = 0
-            for batch in batches:
-                rows = batch.column(0).to_pylist()
-                sizes = np.array([len(x) // 2 for x in rows])
-                grid = np.zeros((len(rows), WINDOW + 1), np.int64)
-                grid[np.arange(WINDOW + 1) < sizes[:, None]] = np.frombuffer(b"".join(rows), "<u2")
-                weight = (np.arange(1, WINDOW + 1) < sizes[:, None]).astype(np.float32)
-                places, target = classes.place[grid[:, :-1]], classes.of[grid[:, 1:]]
-                order = np.random.default_rng(turn).permutation(len(rows))  # another order each round
-                for lo in range(0, len(rows), BATCH):
+            speed, seen = {k: np.zeros_like(v) for k, v in w.items()}, 0
+            rnd, waiting, n = np.random.default_rng(turn), [], 0
+
+            def take(waiting: list) -> int:
+                places, target, weight = (np.concatenate(x) for x in zip(*waiting))
+                order = rnd.permutation(len(places))
+                for lo in range(0, len(order), BATCH):
                     at = order[lo:lo + BATCH]
-                    longest = sizes[at].max() - 1
-                    learn(w, places[at, :longest], target[at, :longest], weight[at, :longest], speed)
-                seen += len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([packed(w)], pa.binary())], ["seen", "weights"])
-
-        made = [(n, unpacked(d, weights)) for n, d in map_arrow(dealt.select("ids"), run, "seen long, weights binary").collect() if n]
-        total = sum(n for n, _ in made)
-        if not total:
+                    learn(w, classes, places[at], target[at], weight[at], speed)
+                return len(places)
+
+            for batch in batches:
+                stream = Stream([np.frombuffer(x, kind) for x in batch.column(0).to_pylist()], codes.n_ids - 1)
+                owner, part, first = stream.windows(WINDOW, WINDOW)
+                mine = (part + stream.lengths[owner]) % rounds == turn  # the same part in every run
+                at = first[mine, None] + np.arange(WINDOW)
+                weight = (at < stream.ends[owner[mine], None]).astype(np.float32)
+                at = np.minimum(at, stream.ids.size - 1)
+                waiting.append((codes.place[stream.before][at], codes.of[stream.ids][at], weight))
+                n += len(at)
+                if n >= HELD_WINDOWS:
+                    seen += take(waiting)
+                    waiting, n = [], 0
+            if n:
+                seen += take(waiting)
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([packed(w)], pa.list_(pa.float32()))], ["seen", "w"])
+
+        made = map_arrow(ids, run, "seen double, w array<float>").select("seen", F.posexplode("w").alias("k", "x"))
+        mean = made.groupBy("k").agg((F.sum(F.col("x") * F.col("seen")) / F.sum("seen")).alias("x")).toArrow()  # a row per weight
+        if not mean.num_rows:
             break
-        weights = {k: sum(w[k] * np.float32(n / total) for n, w in made) for k in weights}
+        values = np.zeros(mean.num_rows, np.float32)
+        values[mean.column(0).to_numpy()] = mean.column(1).to_numpy()
+        weights = unpacked(values, weights)
     return weights
 
 
@@ -318,7 +398,40 @@ def head_words(words: DataFrame) -> DataFrame:
         if room < 0:
             break
         least = k
-    return words.where((F.floor(F.log2("c")) >= least) & (F.octet_length("word") <= HEAD_BYTES))
+    short = F.when(F.octet_length("word") <= HEAD_BYTES, F.encode("word", "UTF-8")).otherwise(F.concat(F.lit(b"\0"), F.unhex(F.sha2(F.encode("word", "UTF-8"), 256))))
+    return words.where(F.floor(F.log2("c")) >= least).select(short.alias("word"), "c")
+
+
+def head_key(word: bytes) -> bytes:
+    return word if len(word) <= HEAD_BYTES else b"\0" + hashlib.sha256(word).digest()
+
+
+class Fitted:
+    """What is learned from the training rows of docs: counts of words, the prior, the attention weights; and the
+    encoded texts of all rows, staged."""
+
+    def __init__(self, docs: DataFrame, vocabulary_path: str) -> None:
+        spark = docs.sparkSession
+        text = read_vocabulary(vocabulary_path)
+        vocabulary = Vocabulary(text)
+        if not vocabulary.word_end:
+            raise ValueError("the language model needs a vocabulary whose tokens mark the ends of words")
+        n_ids = max(vocabulary.strings) + 2  # the last id is the end of a text
+        self.kind = narrow_ids(n_ids)
+        self.rows = encoded(docs, spark.sparkContext.broadcast(text), self.kind, n_ids)
+        self.words = staged(self.rows.where("word is not null").groupBy("word").agg(F.sum("c").alias("c")), "words")
+        self.n, self.v = self.words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+        counts, ends = np.zeros(n_ids, np.int64), np.zeros(n_ids, np.int8)
+        for i, c in self.rows.where("id is not null").groupBy("id").agg(F.sum("c")).collect():  # a row per vocabulary id
+            counts[i] = c
+        for i, s in vocabulary.strings.items():
+            ends[i] = s.endswith(vocabulary.word_end)
+        ends[-1] = 1
+        self.texts = self.rows.where("ids is not null")
+        ids = self.texts.where("train").select("ids")
+        codes = Codes(counts, ends)
+        self.prior = Prior(codes, cell_counts(ids, codes, self.kind))
+        self.weights = trained(ids, self.prior, self.kind)
 
 
 def lm_scores(docs: DataFrame, vocabulary_path: str) -> DataFrame:
@@ -328,55 +441,49 @@ def lm_scores(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     base_score adds log10((c + 1) / (N + V + 1)) over the words and one end; score is the attention model's
     log10 probability of the text's subword ids and end. Null text counts as empty (one token, the end),
     repeated rows count each and score alike, an empty table gives no rows, other columns are ignored; without
-    training rows the base score is 0 for any word. Frequent words' counts are broadcast up to a fixed size;
+    training rows the base score is 0 for any word. Frequent words' counts are broadcast up to a fixed number;
     the other words of each text are joined with the counts, so that every count enters.
     """
-    spark = docs.sparkSession
-    vocabulary = read_vocabulary(vocabulary_path)
-    shipped = spark.sparkContext.broadcast(vocabulary)
-    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    words = word_counts(narrow)
-    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    counts = id_counts(words, vocabulary, shipped)
-    from tokenizers import Tokenizer
-
-    strings = Tokenizer.from_str(vocabulary).get_vocab()
-    ends = np.zeros(IDS, np.int8)
-    for s, i in strings.items():
-        ends[i] = s.endswith("</w>")
-    classes = Classes(counts, ends)
-    weights = trained(training_windows(narrow, shipped), classes)
+    return scored(Fitted(docs, vocabulary_path))
+
+
+def scored(fitted: Fitted) -> DataFrame:
+    """The scores of the texts that fitted holds."""
+    words, n, v, kind = fitted.words, fitted.n, fitted.v, fitted.kind
     below = math.log10(n + v + 1)
     head = head_words(words).toArrow()
-    known = dict(zip((x.encode() for x in head.column(0).to_pylist()), (np.log10(head.column(1).to_numpy() + 1.0) - below).tolist()))
-    model = spark.sparkContext.broadcast((weights, classes, known))
+    known = dict(zip(map(bytes, head.column(0).to_pylist()), (np.log10(head.column(1).to_numpy() + 1.0) - below).tolist()))
+    model = words.sparkSession.sparkContext.broadcast((fitted.weights, fitted.prior, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (w, groups, head), encode = model.value, chunk_encoder(shipped.value, 2, CHUNKS)
+        weights, prior, head = model.value
+        scorer = Scorer(weights, prior)
         for batch in batches:
-            rows, ids = [], []
-            for text in texts_of(batch.column(1)):
+            rows = []
+            for text in texts_of(batch.column(2)):
                 parts = lowered(text).split()
                 logs = list(map(head.get, parts))
-                rare = Counter(p for p, x in zip(parts, logs) if x is None) if None in logs else {}
-                found = [x for x in logs if x is not None] if rare else logs
-                rows.append((len(parts) + 1, len(found), math.fsum(found), list(map(bytes.decode, rare)), list(rare.values())))
-                ids.append(np.frombuffer(b"".join([encode[p.decode()] for p in parts]), "<u2"))
+                rare = {}
+                if None in logs:
+                    logs = [head.get(head_key(p)) if x is None and len(p) > HEAD_BYTES else x for p, x in zip(parts, logs)]
+                    rare = Counter(p for p, x in zip(parts, logs) if x is None)
+                    logs = [x for x in logs if x is not None]
+                rows.append((len(parts) + 1, len(logs), math.fsum(logs), list(map(bytes.decode, rare)), list(rare.values())))
             cols = list(zip(*rows)) or [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64())]
+            ids = [np.frombuffer(x, kind) for x in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip(cols, kinds)), pa.array(text_log_probs(w, groups, ids), pa.float64())],
+                [batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds)), pa.array(scorer.texts(ids), pa.float64())],
                 ["doc_id", "text_hash", "n_tokens", "head_known", "head_score", "rare", "times", "score"])
 
-    keyed = narrow.withColumn("text_hash", F.xxhash64("text"))
-    scored = staged(map_arrow(keyed, run, "doc_id long, text_hash long, n_tokens long, head_known long, head_score double, rare array<string>, times array<long>, score double"), "scored")
-    pairs = scored.select("doc_id", "text_hash", "rare", "times").where(F.size("rare") > 0).dropDuplicates(["doc_id", "text_hash"])
+    kept = staged(map_arrow(fitted.texts.select("doc_id", "text_hash", "text", "ids"), run, "doc_id long, text_hash long, n_tokens long, head_known long, head_score double, rare array<string>, times array<long>, score double"), "scored")
+    pairs = kept.select("doc_id", "text_hash", "rare", "times").where(F.size("rare") > 0).dropDuplicates(["doc_id", "text_hash"])
     pairs = pairs.select("doc_id", "text_hash", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("doc_id", "text_hash", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
     rest = (pairs.join(words, "word", "left").groupBy("doc_id", "text_hash")
             .agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"), F.sum(F.col("times") * (F.log10(c + 1) - F.lit(below))).alias("rare_score")))
     rest = staged(rest, "rest").alias("r")
-    s = scored.alias("s")
+    s = kept.alias("s")
     joined = s.join(rest, F.col("s.doc_id").eqNullSafe(F.col("r.doc_id")) & F.col("s.text_hash").eqNullSafe(F.col("r.text_hash")), "left")
     end_c = words.where(F.col("word") == END_WORD).select("c").first()
     end_c = end_c[0] if end_c else 0
@@ -389,4 +496,5 @@ def lm_scores(docs: DataFrame, vocabulary_path: str) -> DataFrame:
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    tuned(spark)
     return lm_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -307,8 +307,3 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-store")
     write_token_store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
     return read_token_store(spark, path)
-
-
-def chunk_encoder(text: str, width: int, most: int = 0):
-    """Packed ids of a stretch between spaces or line ends."""
-    return held(("library", hash(text), width), lambda: LibraryEncoder(text, width)).chunks
