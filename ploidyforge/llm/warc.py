@@ -2,8 +2,8 @@
 
 Archives are files of gzip members, one per record. The index sorts captures by reversed-host URL key and
 packs them into compressed blocks of a bounded number of lines; a sparse directory has the first key, file,
-offset and length of each block. A look-up searches the directory by bisection, reads one range of an index
-file, and then one range of an archive.
+offset and length of each block. A look-up searches the first keys of the index files and then the directory of one
+file by bisection, reads one range of an index file, and then one range of an archive.
 """
 
 from __future__ import annotations
@@ -13,21 +13,21 @@ import hashlib
 import re
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, map_arrow, read_blobs, read_range, staged, table, utf8, write_blobs
+from .common import fresh_path, map_arrow, read_blobs, read_range, staged, table, tuned, utf8, write_blobs
 
 ARCHIVE_BYTES, BLOCK_LINES, INDEX_BYTES = 8 << 20, 3000, 8 << 20
 #: Fixed values of the format.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 DATE = "2024-01-01T00:00:00Z"
-DIRECTORY_ROWS = 5_000_000
+SALTS = 16
 CAPTURE = "url_key string, page_id long, file string, offset long, length long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 CAPTURE_NAMES = [x.split()[0] for x in CAPTURE.split(", ")]
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -129,38 +129,50 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, arch
     (page_id, url) becomes a response, once, and all others revisit it; smaller payloads are always
     responses. A null url counts as ''; rows without page_id never are revisited while another row of their
     payload has one, and if none has, all are responses. An empty table gives no archive; other columns are
-    ignored. Only (digest, page_id, url) is aggregated to find the winners; payloads move once, into the sort.
+    ignored. Winners are found and joined, with salts, on narrow rows (digest, page_id, url); payloads move once,
+    into the sort, where they meet what the narrow rows say.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long"), url.alias("url"), payload.alias("html"), F.sha1(payload.cast("binary")).alias("digest"), url_key_column(url).alias("key"))
-    same = (rows.where((F.octet_length("html") >= min_revisit_bytes) & F.col("page_id").isNotNull()).groupBy("digest")
-            .agg(F.max(F.struct("page_id", "url")).alias("winner"), F.count("*").alias("n")))
-    bare = rows.where((F.octet_length("html") >= min_revisit_bytes) & F.col("page_id").isNull()).select("digest").distinct().withColumn("bare", F.lit(True))
-    shared = staged(same.join(bare, "digest", "left").where((F.col("n") > 1) | F.col("bare")).select("digest", F.col("winner.page_id").alias("to_page"), F.col("winner.url").alias("to_url")), "shared")
-    dealt = rows.join(shared, "digest", "left").repartitionByRange("key", "page_id", "digest").sortWithinPartitions("key", "page_id", "digest", "url")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), payload.alias("html"), F.sha1(payload.cast("binary")).alias("digest"), url_key_column(url).alias("key"))
+    wanted = rows.where(F.octet_length("html") >= min_revisit_bytes) if min_revisit_bytes > 0 else rows
+    narrow = staged(wanted.select("page_id", "url", "digest", "key").distinct(), "narrow")
+    same = narrow.groupBy("digest").agg(F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("winner"), F.count("*").alias("n")).where("n > 1 and winner is not null")
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    shared = same.select("digest", F.col("winner.page_id").alias("to_page"), F.col("winner.url").alias("to_url"), salts)
+    told = narrow.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))).join(shared, ["digest", "salt"])
+    told = told.select("key", "page_id", "digest", "url", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("html"), "to_page", "to_url")
+    told = staged(told, "told")
+    every = rows.select("key", "page_id", "digest", "url", F.lit(1).alias("kind"), "html", F.lit(None).cast("long").alias("to_page"), F.lit(None).cast("string").alias("to_url")).union(told)
+    dealt = every.repartitionByRange("key", "page_id", "digest").sortWithinPartitions("key", "page_id", "digest", "url", "kind")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, before = [], 0, None
+        kept, size, said, winner, before = [], 0, None, None, None
         for batch in batches:
-            for page_id, url, html, digest, to_page, to_url in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, url, html, digest, kind, to_page, to_url in zip(*(c.to_pylist() for c in batch.columns)):
                 this = page_id, url, digest
-                chosen = to_page is None or (page_id, url) == (to_page, to_url) and this != before
+                if kind == 0:
+                    said, winner = this, (to_page, to_url)
+                    continue
+                body = utf8(html)
+                if said != this:  # no other row has its payload; its own repetitions follow it
+                    said, winner = this, (page_id, url) if page_id is not None and len(body) >= min_revisit_bytes else None
+                chosen = winner is None or this[:2] == winner and this != before
                 before = this
-                packed = gzipped(record(page_id, url, utf8(html), None if chosen else (to_page, to_url)))
-                if held and size + len(packed) > archive_bytes:
-                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["archive"])
-                    held, size = [], 0
-                held.append(packed)
+                packed = gzipped(record(page_id, url, body, None if chosen else winner))
+                if kept and size + len(packed) > archive_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(kept)], pa.binary())], ["archive"])
+                    kept, size = [], 0
+                kept.append(packed)
                 size += len(packed)
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["archive"])
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(kept)], pa.binary())], ["archive"])
 
-    write_blobs(map_arrow(dealt.select("page_id", "url", "html", "digest", "to_page", "to_url"), pack, "archive binary"), "archive", path, EMPTY_MEMBER)
+    write_blobs(map_arrow(dealt.select("page_id", "url", "html", "digest", "kind", "to_page", "to_url"), pack, "archive binary"), "archive", path, EMPTY_MEMBER)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """A row of CAPTURE for each record of the archives below path."""
+    """A row of CAPTURE for each record of the archives below path, in a scan over all their members; none for none."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -169,6 +181,35 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return map_arrow(read_blobs(spark, path).select("file", "content"), rows, CAPTURE)
 
 
+def _at_ranges(blobs: DataFrame, ranges: DataFrame, fn, schema: str) -> DataFrame:
+    """fn(file, offset, length, content of the range) for each of the ranges (file, offset, length) of the blobs (file, content).
+
+    A file's ranges, as many as it has members, are gathered and meet its content in one task."""
+    listed = ranges.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("ranges"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content, ranges in zip(*(c.to_pylist() for c in batch.columns)):
+                yield from fn(file, [(r["offset"], r["length"], content[r["offset"]:r["offset"] + r["length"]]) for r in ranges])
+
+    return map_arrow(blobs.join(listed.hint("shuffle_hash"), "file").select("file", "content", "ranges"), run, schema)
+
+
+def read_captures(spark: SparkSession, archives: str, path: str) -> DataFrame:
+    """A row of CAPTURE for each capture of the index, by its way: the directory gives ranges of the index files, the
+    blocks there give ranges of the archives, and each record is read at its own range. An empty index gives no rows."""
+    def captures(file: str, ranges: list) -> Iterator[pa.RecordBatch]:
+        found = []
+        for offset, length, packed in ranges:
+            ((_, size, content),) = members(packed)
+            if size != length:
+                raise ValueError(f"the range of {file}:{offset} is not a record")
+            found.append(_capture(file, offset, length, content))
+        yield _rows(found)
+
+    return _at_ranges(read_blobs(spark, archives).select("file", "content"), read_index(spark, path).select("file", "offset", "length"), captures, CAPTURE)
+
+
 def write_index(spark: SparkSession, archives: str, path: str, block_lines: int = BLOCK_LINES) -> None:
     """Index the archives: sorted captures in compressed blocks below path/blocks, the directory in path/directory."""
     dealt = read_archives(spark, archives).select("url_key", "page_id", "file", "offset", "length").repartitionByRange("url_key", "page_id", "file", "offset").sortWithinPartitions("url_key", "page_id", "file", "offset")
@@ -205,63 +246,65 @@ def index_lines(content: bytes) -> list[list[str]]:
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """url_key, page_id, file, offset, length of every capture in the index."""
+    """url_key, page_id, file, offset, length of every capture in the index, from the blocks that the directory names."""
     kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0).to_pylist():
-                for _, _, block in members(content):
-                    found = [(k, int(p) if p else None, f, int(o), int(n)) for k, p, f, o, n in index_lines(block)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(list(zip(*found)) or [[]] * 5, kinds)], CAPTURE_NAMES[:5])
+    def rows(file: str, ranges: list) -> Iterator[pa.RecordBatch]:
+        for _, _, packed in ranges:
+            for _, _, block in members(packed):
+                found = [(k, int(p) if p else None, f, int(o), int(n)) for k, p, f, o, n in index_lines(block)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(list(zip(*found)) or [[]] * 5, kinds)], CAPTURE_NAMES[:5])
 
-    return map_arrow(read_blobs(spark, f"{path}/blocks").select("content"), rows, "url_key string, page_id long, file string, offset long, length long")
+    directory = spark.read.parquet(f"{path}/directory").select("file", "offset", "length")
+    return _at_ranges(read_blobs(spark, f"{path}/blocks").select("file", "content"), directory, rows, "url_key string, page_id long, file string, offset long, length long")
 
 
 class CaptureIndex:
-    """Look-ups from the driver. The directory (a row per block) is held sorted up to DIRECTORY_ROWS, and beyond that
-    searched where it lies."""
+    """Look-ups from the driver, by two bisections: over the first keys of the index files (one for each INDEX_BYTES of
+    index, held in the driver), then over the directory rows of the files found."""
 
     def __init__(self, spark: SparkSession, archives: str, path: str) -> None:
         self.spark, self.archives, self.path = spark, archives, path
         self.directory = spark.read.parquet(f"{path}/directory")
-        self.rows = None
-        if self.directory.count() <= DIRECTORY_ROWS:
-            self.rows = sorted((r["first_key"].encode(), r["file"], r["offset"], r["length"]) for r in self.directory.collect())
-
-    def _blocks(self, key: str) -> list[tuple]:
-        """Blocks that may hold the key: the last that begins below it, and those that begin with it."""
-        if self.rows is None:
-            low = self.directory.where(F.col("first_key") < key).agg(F.max("first_key")).first()[0]
-            found = self.directory.where((F.col("first_key") == key) | (F.col("first_key") == low)).collect()
-            return [(r["first_key"].encode(), r["file"], r["offset"], r["length"]) for r in found]
-        firsts = [r[0] for r in self.rows]
-        to = bisect_right(firsts, key.encode())
-        at = to
-        while at and firsts[at - 1] == key.encode():
-            at -= 1
-        return self.rows[max(0, at - 1):to]
+        self.files = sorted((r["key"].encode(), r["file"]) for r in self.directory.groupBy("file").agg(F.min("first_key").alias("key")).collect())
+        self.bytes_read = 0
+
+    @staticmethod
+    def _around(rows: list[tuple], key: bytes) -> list[tuple]:
+        """Rows (sorted by first key) that may hold the key: the last that begins below it, and those that begin with it."""
+        firsts = [r[0] for r in rows]
+        return rows[max(0, bisect_left(firsts, key) - 1):bisect_right(firsts, key)]
+
+    def _blocks(self, key: bytes) -> list[tuple]:
+        names = [name for _, name in self._around(self.files, key)]
+        if not names:
+            return []
+        rows = self.directory.where(F.col("file").isin(names)).collect()
+        return self._around(sorted((r["first_key"].encode(), r["file"], r["offset"], r["length"]) for r in rows), key)
+
+    def _range(self, path: str, offset: int, length: int) -> bytes:
+        self.bytes_read += length
+        return read_range(self.spark, path, offset, length)
 
     def get(self, url: str) -> list[tuple[dict[str, str], bytes]]:
         """Named fields and payload of every capture of a URL; a revisit has the payload b''."""
-        key, out = url_key(url), []
-        for _, file, offset, length in self._blocks(key):
-            for _, _, block in members(read_range(self.spark, f"{self.path}/blocks/{file}", offset, length)):
+        key, out = url_key(_field(url)), []
+        for _, file, offset, length in self._blocks(key.encode()):
+            for _, _, block in members(self._range(f"{self.path}/blocks/{file}", offset, length)):
                 for k, _, archive, at, n in index_lines(block):
                     if k == key:
-                        (_, _, content), *_ = members(read_range(self.spark, f"{self.archives}/{archive}", int(at), int(n)))
+                        (_, _, content), *_ = members(self._range(f"{self.archives}/{archive}", int(at), int(n)))
                         fields, body = parsed(content)
                         out.append((fields, body.partition(b"\r\n\r\n")[2]))
         return out
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
     archives, index = fresh_path(spark, "archives"), fresh_path(spark, "captures")
     write_archives(table(spark, sf_dir, "pages"), archives)
     write_index(spark, archives, index)
-    listed = read_index(spark, index).select("file", "offset", "length")
-    found = read_archives(spark, archives).join(listed, ["file", "offset", "length"])
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_captures(spark, archives, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP5_SQL = """
