@@ -4,28 +4,33 @@ Test items are partitioned by their number of distinct shingles q. An item is co
 the document has at least need(q) of its shingles; then it has at least one of any q - need(q) + 1 of
 them. Each partition keeps for its items a bottom-k MinHash sketch of just that length, so a document
 without any sketch value can be no match, and no match is missed at any document length. Documents with
-fewer shingles than a partition's least need skip it. Matches are verified on exact shingles.
+fewer shingles than an item's need can't hold it.
+
+One pass over the documents finds those that may have a sketch value: a filter of fixed size tells, however large
+the benchmark is. Their values are joined with the sketches, and the candidates are verified on exact shingles.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table, texts_of
+from .bpe import Memo, held
+from .common import free_names, map_arrow, quoted, staged, table, texts_of, tuned, utf8
 from .token_store import mixed
 
 SHINGLE, THRESHOLD = 5, 0.8
 WORDS = r"[\p{L}\p{N}]+"
-#: Benchmark text that one pass over the documents searches for; more is searched in further passes.
-BLOCK_CHARS = 2_000_000
+#: log2 of the bits of the filter of sketch values: 8 MB, whatever the benchmark. Two bits stand for a value.
+FILTER_BITS = 26
+SALTS = 16
 FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -33,61 +38,12 @@ def words_of(text: str, pattern=regex.compile(WORDS)) -> list[str]:
     return pattern.findall(text.lower())
 
 
-class Items:
-    """The test items of a block: word numbers, exact shingles, and the sketches of each size partition."""
-
-    def __init__(self, rows: list[tuple[int, str]], threshold: float, size: int) -> None:
-        share = Fraction(str(threshold))
-        self.numbers: dict[str, int] = {}
-        self.items: list[tuple[int | None, int, frozenset, int]] = []  # id, shingle length, shingles, need
-        sketches: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        least: dict[tuple[int, int], int] = {}
-        for item_id, text in rows:
-            words = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text or "")]
-            if not words:
-                continue
-            length = min(size, len(words))
-            shingles = frozenset(zip(*(words[k:] for k in range(length))))
-            q = len(shingles)
-            need = -(-q * share.numerator // share.denominator)
-            part = (length, q.bit_length())
-            least[part] = min(need, least.get(part, need))
-            hashes = folded(np.array(sorted(shingles), np.uint64).reshape(q, length))
-            for value in np.sort(mixed(hashes.view(np.int64), 0))[:q - need + 1].tolist():
-                sketches[part][value].append(len(self.items))
-            self.items.append((item_id, length, shingles, need))
-        self.parts = [(length, least[length, c], np.array(sorted(found), np.uint64), dict(found)) for (length, c), found in sketches.items()]
-
-    def matches(self, text: str) -> list[tuple[int | None, int, int]]:
-        """(item id, shingles, shared shingles) of each item that the text contains."""
-        get = self.numbers.get
-        words = [get(w, 0) for w in words_of(text)]
-        numbers, out, seen, hashed = np.array(words, np.uint64), [], set(), {}
-        for length, least, sorted_values, owners in self.parts:
-            if len(words) - length + 1 < least:
-                continue
-            if length not in hashed:
-                windows = np.lib.stride_tricks.sliding_window_view(numbers, length)
-                windows = windows[windows.all(1)]
-                hashed[length] = mixed(folded(windows).view(np.int64), 0), windows
-            values, windows = hashed[length]
-            if not len(values):
-                continue
-            at = np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)
-            seen |= {k for v in np.unique(values[sorted_values[at] == values]).tolist() for k in owners[v]}
-        exact: dict[int, set] = {}
-        for k in sorted(seen):
-            item_id, length, shingles, need = self.items[k]
-            if length not in exact:
-                exact[length] = set(map(tuple, hashed[length][1].tolist()))
-            shared = len(shingles & exact[length])
-            if shared >= need:
-                out.append((item_id, len(shingles), shared))
-        return out
+def word_hashes() -> Memo:
+    return held(("words",), lambda: Memo(lambda word: xxhash.xxh64_intdigest(utf8(word))))
 
 
 def folded(windows: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each row of word numbers."""
+    """A 64-bit hash of each row of word hashes."""
     with np.errstate(over="ignore"):
         out = np.zeros(len(windows), np.uint64)
         for k in range(windows.shape[1]):
@@ -96,7 +52,89 @@ def folded(windows: np.ndarray) -> np.ndarray:
         return out
 
 
-def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def shingle_values(hashes: np.ndarray, length: int) -> np.ndarray:
+    """The value of each run of length words, told apart by length."""
+    if len(hashes) < length:
+        return np.zeros(0, np.uint64)
+    return mixed(folded(np.lib.stride_tricks.sliding_window_view(hashes, length)).view(np.int64), length)
+
+
+def hashed(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
+
+
+def needed(q: int, threshold: float) -> int:
+    """Shingles that a document must share with an item of q shingles."""
+    share = Fraction(str(threshold))
+    return -(-q * share.numerator // share.denominator)
+
+
+def distinct_items(benchmark: DataFrame) -> DataFrame:
+    """item, item2 (128 bits that stand for the row), item_id, text and times of each distinct row of benchmark."""
+    rows = benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return (rows.groupBy("item_id", "text").agg(F.count("*").alias("times"))
+            .select(F.xxhash64("item_id", "text").alias("item"), F.xxhash64("text", "item_id").alias("item2"), "item_id", "text", "times"))
+
+
+def sketches(items: DataFrame, threshold: float, size: int) -> DataFrame:
+    """value, length, need, item, item2: the sketch of each item, a row per value."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for item, item2, text in zip(*(c.to_pylist() for c in batch.columns)):
+                words = words_of(text)
+                if not words:
+                    continue
+                length = min(size, len(words))
+                values = np.unique(shingle_values(hashed(words), length))
+                need = needed(len(values), threshold)
+                rows += [(v, length, need, item, item2) for v in values[:len(values) - need + 1].view(np.int64).tolist()]
+            cols = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()])], ["value", "length", "need", "item", "item2"])
+
+    return map_arrow(items.select("item", "item2", "text"), run, "value long, length int, need long, item long, item2 long")
+
+
+def filter_bits(found: DataFrame) -> np.ndarray:
+    """The filter: a bit array in which two bits of each value are set. Spark collects whole words of it."""
+    low = F.col("value").bitwiseAND((1 << FILTER_BITS) - 1)
+    high = F.shiftrightunsigned("value", 64 - FILTER_BITS)
+    bits = found.select(F.explode(F.array(low, high)).alias("bit"))
+    rows = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return out.view(np.uint8)
+
+
+def passing(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The distinct values whose bits are set."""
+    size = len(bits).bit_length() + 2  # log2 of the number of bits
+
+    def has(at):
+        return bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1
+
+    some = values[has(values & np.uint64((1 << size) - 1)).astype(bool)]
+    return np.unique(some[has(some >> np.uint64(64 - size)).astype(bool)])
+
+
+def exact_matches(text: str, items: list[tuple], threshold: float, size: int) -> list[tuple]:
+    """(item_id, shingles, shared, times) of each of the items (item_id, text, times) that the text contains."""
+    numbers: dict[str, int] = {}
+    wanted = [(item_id, [numbers.setdefault(w, len(numbers) + 1) for w in words_of(item)], times) for item_id, item, times in items]
+    words, have, out = np.array([numbers.get(w, 0) for w in words_of(text)], np.int64), {}, []
+    for item_id, item, times in wanted:
+        length = min(size, len(item))
+        if length not in have:
+            windows = np.lib.stride_tricks.sliding_window_view(words, length) if len(words) >= length else np.zeros((0, length), np.int64)
+            have[length] = set(map(tuple, windows[windows.all(1)].tolist()))
+        shingles = set(zip(*(item[k:] for k in range(length))))
+        shared = len(shingles & have[length])
+        if shared >= needed(len(shingles), threshold):
+            out.append((item_id, len(shingles), shared, times))
+    return out
+
+
+def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash, item_id, n_shingles, n_shared, containment: the items that each document contains.
 
     Words are runs of letters and digits in lower case; shingles are distinct runs of size words. A shorter
@@ -104,40 +142,70 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     n_shared / n_shingles >= threshold. Null or wordless texts and items match nothing; repeated rows match
     each; null ids stay null; empty tables give no rows; other columns are ignored.
 
-    The benchmark is read in blocks of bounded size, each broadcast and sought in one narrow pass over all
-    documents; a benchmark that fits in a block takes one pass.
+    The documents are read once. What is broadcast is the filter, of a fixed size; the sketches and items are joined,
+    by value and item, with salts, so that a passage that a great many documents hold is dealt out.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(chars) // block_chars))
-    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
-    found = None
-    for b in range(blocks):
-        rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
-        shipped = spark.sparkContext.broadcast(Items(rows, threshold, size))
-
-        def seek(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            wanted = shipped.value
-            for batch in batches:
-                rows = [(d, h, *m) for d, h, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), texts_of(batch.column(1))) for m in wanted.matches(t)]
-                cols = list(zip(*rows)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["doc_id", "text_hash", "item_id", "n_shingles", "n_shared"])
-
-        part = map_arrow(narrow, seek, "doc_id long, text_hash long, item_id long, n_shingles long, n_shared long")
-        found = part if found is None else found.union(part)
-    return found.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+    items = staged(distinct_items(benchmark), "items")
+    found = staged(sketches(items, threshold, size), "sketches")
+    lengths = {r["length"]: r["need"] for r in found.groupBy("length").agg(F.min("need").alias("need")).collect()}  # size rows at most
+    shipped = spark.sparkContext.broadcast((filter_bits(found), lengths))
+
+    def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, lengths = shipped.value
+        for batch in batches:
+            rows, hits = [], []
+            for k, text in enumerate(texts_of(batch.column(2))):
+                words = words_of(text)
+                hashes = hashed(words)
+                got = [passing(bits, shingle_values(hashes, n)) for n, need in lengths.items() if len(words) - n + 1 >= need]
+                got = np.concatenate(got) if got else np.zeros(0, np.uint64)
+                if got.size:
+                    rows.append(k)
+                    hits.append(got.view(np.int64).tolist())
+            picked = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(hits, pa.list_(pa.int64()))], ["doc_id", "text_hash", "text", "hits"])
+
+    text = F.col("text").cast("string")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    suspects = staged(map_arrow(narrow, suspect, "doc_id long, text_hash long, text string, hits array<long>"), "suspects")
+    one = (suspects.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies"), F.first("text").alias("text"), F.first("hits").alias("hits"))
+           .withColumns({"doc": F.xxhash64("doc_id", "text_hash"), "doc2": F.xxhash64("text_hash", "doc_id")}))
+    one = staged(one, "one")
+    salt = F.pmod("doc", F.lit(SALTS))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    hits = one.select("doc", "doc2", salt.alias("salt"), F.explode("hits").alias("value"))
+    pairs = staged(hits.join(found.select("value", "item", "item2", salts), ["value", "salt"]).select("doc", "doc2", "salt", "item", "item2").distinct(), "pairs")
+    held_items = items.select("item", "item2", F.struct("item_id", "text", "times").alias("x"), salts)
+    listed = pairs.join(held_items, ["item", "item2", "salt"]).groupBy("doc", "doc2").agg(F.collect_list("x").alias("items"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, text_hash, text, copies, items in zip(*(c.to_pylist() for c in batch.columns)):
+                for item_id, n, shared, times in exact_matches(text, [(x["item_id"], x["text"], x["times"]) for x in items], threshold, size):
+                    rows.append((doc_id, text_hash, item_id, n, shared, copies * times))
+            cols = list(zip(*rows)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "text_hash", "item_id", "n_shingles", "n_shared", "times"])
+
+    sought = one.join(listed, ["doc", "doc2"]).select("doc_id", "text_hash", "text", "copies", "items")
+    matches = map_arrow(sought, verify, "doc_id long, text_hash long, item_id long, n_shingles long, n_shared long, times long")
+    every = matches.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return every.select("doc_id", "text_hash", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that contain no item of benchmark, with all their columns."""
-    found = contained_items(docs, benchmark, threshold).select(F.col("doc_id").alias("__k1"), F.col("text_hash").alias("__k2")).alias("f")
-    keyed = docs.withColumns({"__k1": F.col("doc_id").cast("long"), "__k2": F.xxhash64(F.col("text").cast("string"))}).alias("d")
-    on = F.col("d.__k1").eqNullSafe(F.col("f.__k1")) & F.col("d.__k2").eqNullSafe(F.col("f.__k2"))
-    return keyed.join(found.distinct(), on, "left_anti").select(*docs.columns)
+    """The rows of docs that contain no item of benchmark, with all their columns. Null and wordless texts, rows
+    without doc_id and repeated rows are judged by their text alone; an empty table gives no rows."""
+    k1, k2 = free_names(docs.columns, "k1", "k2")
+    found = contained_items(docs, benchmark, threshold).select(F.col("doc_id").alias(k1), F.col("text_hash").alias(k2)).distinct()
+    keyed = docs.withColumns({k1: F.col("doc_id").cast("long"), k2: F.xxhash64(F.col("text").cast("string"))}).alias("d")
+    on = F.col(f"d.{k1}").eqNullSafe(F.col(f"f.{k1}")) & F.col(f"d.{k2}").eqNullSafe(F.col(f"f.{k2}"))
+    return keyed.join(staged(found, "found").alias("f"), on, "left_anti").select(*quoted(docs.columns))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
     found = contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_shingles", "n_shared", F.round("containment", 6).alias("containment"))
 
