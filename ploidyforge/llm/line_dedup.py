@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import free_names, quoted, staged, table
 
 MIN_SITES, MIN_CHARS = 5, 16
 #: log2 of the registers of a sketch: relative standard error 1.04 / sqrt(2**12) = 1.6 %.
@@ -25,33 +25,57 @@ def _name(line: Column) -> Column:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
-                       F.col("source").cast("string").alias("site"), F.explode(F.transform(F.filter(F.transform(_lines(), lambda x: F.trim(x)), lambda x: F.length(x) >= F.lit(MIN_CHARS)), _name)).alias("line"))
+    """doc_id, text_hash, site, at (place of a line in its text, from 0), h, g of every line that counts."""
+    named = F.transform(_lines(), lambda x, i: F.struct(i.alias("at"), F.length(F.trim(x)).alias("size"), _name(F.trim(x)).alias("line")))
+    long = F.filter(named, lambda x: x["size"] >= MIN_CHARS)
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("source").cast("string").alias("site"), F.explode(long).alias("x"))
+            .select("doc_id", "text_hash", "site", F.col("x.at").alias("at"), F.col("x.line.h").alias("h"), F.col("x.line.g").alias("g")))
+
+
+def _salted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash", "at"), F.lit(SALTS)))
+
+
+def _every_salt(lines: DataFrame) -> DataFrame:
+    """Each line once for each salt, so that its occurrences are joined in as many parts; never broadcast, as the lines
+    grow with the corpus."""
+    return lines.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).hint("shuffle_hash")
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """doc_id, text_hash, line: where lines lie that occur on min_sites sites or more, but for each line's first document.
+    """doc_id, text_hash, at: places of lines that occur on min_sites sites or more, but for each line's first document.
 
-    A line of fewer than min_sites occurrences can't qualify and is dropped from the search first. For the rest a
-    HyperLogLog sketch of the sites is made by line and salt and merged by line, so that a line of any
-    frequency is aggregated in parts. Lines whose estimate lies near the threshold are counted exactly; the
-    estimate alone decides only where it is ERRORS standard errors or more away.
+    Null text has no lines, a null source is no site, an empty table gives no rows. A line of fewer than min_sites
+    occurrences can't qualify and is dropped from the search first. For the rest a HyperLogLog sketch of the sites is
+    made by line and salt and merged by line, so that a line of any frequency is aggregated, and joined, in parts.
+    Lines whose estimate lies near the threshold are counted exactly; the estimate alone decides only where it is
+    ERRORS standard errors or more away.
     """
     lines = _keyed(docs)
-    often = staged(lines.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select(F.col("line.h").alias("h"), F.col("line.g").alias("g")), "often")
-    flat = lines.select("doc_id", "text_hash", "site", F.col("line.h").alias("h"), F.col("line.g").alias("g"))
-    hits = staged(flat.join(often, ["h", "g"], "left_semi"), "hits")
-    salted = hits.groupBy("h", "g", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).alias("salt")).agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
-    spread = staged(salted.groupBy("h", "g").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("sites")), "spread")
+    often = staged(lines.groupBy("h", "g").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("h", "g"), "often")
+    key = ["h", "g", "salt"]
+    hits = staged(_salted(lines).join(_every_salt(often), key, "left_semi"), "hits")
+    parts = hits.groupBy(*key).agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
+    spread = staged(parts.groupBy("h", "g").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("sites")), "spread")
     margin = max(1.0, min_sites * ERRORS * 1.04 / 2 ** (LG_K / 2))
     near = spread.where(F.abs(F.col("sites") - min_sites) <= margin).select("h", "g")
-    exact = hits.join(near, ["h", "g"], "left_semi").select("h", "g", "site").where("site is not null").distinct().groupBy("h", "g").count().where(F.col("count") >= min_sites)
+    exact = hits.join(_every_salt(near), key, "left_semi").select("h", "g", "site").where("site is not null").distinct().groupBy("h", "g").count().where(F.col("count") >= min_sites)
     bad = staged(spread.where(F.col("sites") > min_sites + margin).select("h", "g").union(exact.select("h", "g")), "bad")
     # the first document keeps its lines: the smallest doc_id (rows without one come last), then text hash
     where = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "text_hash")
-    bad_hits = staged(hits.join(bad, ["h", "g"], "left_semi").select("h", "g", "doc_id", "text_hash").distinct(), "bad_hits")
+    bad_hits = staged(hits.join(_every_salt(bad), key, "left_semi").select(*key, "doc_id", "text_hash", "at"), "bad_hits")
     first = staged(bad_hits.groupBy("h", "g").agg(F.min(where).alias("first")), "first")
-    return bad_hits.join(first, ["h", "g"]).where(where != F.col("first")).select("doc_id", "text_hash", F.struct("h", "g").alias("line"))
+    return bad_hits.join(_every_salt(first), key).where(where != F.col("first")).select("doc_id", "text_hash", "at")
+
+
+def _without(lines: Column, out: Column) -> Column:
+    """lines but for those at the places out (ascending): the stretches between them, one after another."""
+    def stretch(i):
+        begin = F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(out, i) + 1)
+        end = F.coalesce(F.try_element_at(out, i + 1), F.size(lines))
+        return F.slice(lines, begin + 1, end - begin)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(out)), stretch))
 
 
 def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -62,17 +86,18 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     in its first document (smallest doc_id, then hash of the text), wherever it occurs there, and goes
     everywhere else. Null text stays null, with nothing removed; a null source is no site; rows without
     doc_id come after all others as first documents; repeated rows fare alike; a text may become empty but no
-    row goes; an empty table gives no rows. Extra columns pass through (n_removed is replaced).
+    row goes; an empty table gives no rows. Extra columns pass through (n_removed is replaced). The work on a
+    text is linear in its lines, however many of them go.
     """
-    found = boilerplate(docs, min_sites).groupBy(F.col("doc_id").alias("__k1"), F.col("text_hash").alias("__k2")).agg(F.collect_set("line").alias("__bad")).alias("f")
-    keyed = docs.withColumns({"__k1": F.col("doc_id").cast("long"), "__k2": F.xxhash64(F.col("text").cast("string"))}).alias("d")
-    on = F.col("d.__k1").eqNullSafe(F.col("f.__k1")) & F.col("d.__k2").eqNullSafe(F.col("f.__k2"))
-    joined = keyed.join(found, on, "left").select(*[F.col(f"d.`{c}`") for c in docs.columns if c != "n_removed"], "__bad")
-    kept = F.filter(_lines(), lambda x: ~((F.length(F.trim(x)) >= MIN_CHARS) & F.array_contains("__bad", _name(F.trim(x)))))
-    touched = F.col("__bad").isNotNull()
-    return (joined.withColumn("__kept", F.when(touched, kept))
-            .withColumn("n_removed", F.when(touched, F.size(_lines()) - F.size("__kept")).otherwise(0).cast("long"))
-            .withColumn("text", F.when(touched, F.array_join("__kept", "\n")).otherwise(F.col("text"))).drop("__bad", "__kept"))
+    k1, k2, out, lines, kept = free_names(docs.columns, "k1", "k2", "out", "lines", "kept")
+    found = boilerplate(docs, min_sites).groupBy(F.col("doc_id").alias(k1), F.col("text_hash").alias(k2)).agg(F.array_sort(F.collect_set("at")).alias(out)).alias("f")
+    keyed = docs.withColumns({k1: F.col("doc_id").cast("long"), k2: F.xxhash64(F.col("text").cast("string"))}).alias("d")
+    on = F.col(f"d.{k1}").eqNullSafe(F.col(f"f.{k1}")) & F.col(f"d.{k2}").eqNullSafe(F.col(f"f.{k2}"))
+    joined = keyed.join(found, on, "left").select(*quoted([c for c in docs.columns if c != "n_removed"], "d"), out)
+    split = joined.withColumn(lines, F.when(F.col(out).isNotNull(), _lines()))
+    cut = split.withColumn(kept, _without(F.col(lines), F.col(out)))
+    return (cut.withColumn("n_removed", F.when(F.col(out).isNotNull(), F.size(out)).otherwise(0).cast("long"))
+            .withColumn("text", F.when(F.col(out).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))).drop(out, lines, kept))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
