@@ -20,15 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lowered, map_arrow, staged, table, texts_of
+from .common import free_names, lowered, map_arrow, quoted, staged, table, texts_of, tuned
 
 #: Fixed value: generator polynomial of the Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
 SEED, SHINGLE, DISTANCE = 42, 3, 3
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 PAIRS = ((0, 1), (0, 2), (1, 2))
-#: Keys that more fingerprints than this are filed under are searched by contraction instead of a join.
-CROWDED = 16
+#: Keys with so many fingerprints more than CROWDED_TIMES the mean of random ones are searched by contraction, not joined.
+CROWDED, CROWDED_TIMES = 16, 8
 TILE = 4096
 
 
@@ -158,12 +158,14 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) that join the components of distinct fingerprints (fp, a staged table) at DISTANCE bits or fewer.
 
-    Keys with few filed fingerprints are joined (a search row meets CROWDED rows at most); crowded keys, which
-    only tight groups make, are contracted in tiles of bounded size, every two tiles of a key together.
+    Keys with few filed fingerprints are joined; crowded keys, which stand out from what so many random fingerprints
+    would give and which only tight groups make, are contracted in tiles of bounded size, every two tiles of a key
+    together. Links are the same whichever way a key is searched. No fingerprint gives no link.
     """
+    most = CROWDED + CROWDED_TIMES * fps.count() // (1 << 24)
     filed = map_arrow(fps.select("fp"), _filed, "key long, fp long")
     searched = map_arrow(fps.select("fp"), _searched, "key long, fp long")
-    crowded = staged(filed.groupBy("key").count().where(F.col("count") > CROWDED).select("key"), "crowded")
+    crowded = staged(filed.groupBy("key").count().where(F.col("count") > most).select("key"), "crowded")
     rare = filed.join(crowded, "key", "left_anti").select("key", F.col("fp").alias("a"))
     found = (searched.select("key", F.col("fp").alias("b")).join(rare.hint("shuffle_hash"), "key")
              .where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)).select("a", "b"))
@@ -233,16 +235,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the row of smallest (doc_id, hash of the text)
-    stays, once even if it is repeated, with all its columns. Rows without doc_id come after the others."""
+    stays, with all its columns. Rows without doc_id come after the others; of rows with equal id and text the first
+    by hash (128 bits) of the whole row stays. An empty table gives no rows."""
     found = near_duplicates(docs)
     # a struct puts nulls first: the flag puts rows without doc_id last
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "text_hash")).alias("k"))
-    kept = staged(first.select(F.col("k.doc_id").alias("__k1"), F.col("k.text_hash").alias("__k2")).distinct(), "kept")
-    keyed = docs.withColumns({"__k1": F.col("doc_id").cast("long"), "__k2": F.xxhash64(F.col("text").cast("string"))}).alias("d")
-    on = F.col("d.__k1").eqNullSafe(F.col("k.__k1")) & F.col("d.__k2").eqNullSafe(F.col("k.__k2"))
-    return keyed.join(kept.alias("k"), on, "left_semi").dropDuplicates(["__k1", "__k2"]).select(*docs.columns)
+    k1, k2, row, turn = free_names(docs.columns, "k1", "k2", "row", "turn")
+    kept = staged(first.select(F.col("k.doc_id").alias(k1), F.col("k.text_hash").alias(k2)).distinct(), "kept")
+    keyed = docs.withColumns({k1: F.col("doc_id").cast("long"), k2: F.xxhash64(F.col("text").cast("string"))}).alias("d")
+    on = F.col(f"d.{k1}").eqNullSafe(F.col(f"k.{k1}")) & F.col(f"d.{k2}").eqNullSafe(F.col(f"k.{k2}"))
+    chosen = keyed.join(kept.alias("k"), on, "left_semi")
+    # equal ids and texts differ in other columns at most: of their rows the one of least hash stays
+    whole = F.struct(*quoted(docs.columns))
+    json = F.to_json(whole)
+    ranked = chosen.select(k1, k2, whole.alias(row), F.struct(F.xxhash64(json), F.xxhash64(json, F.lit(1))).alias(turn))
+    least = ranked.groupBy(k1, k2).agg(F.min_by(row, turn).alias(row))
+    return least.select(*[F.col(row).getField(c).alias(c) for c in docs.columns])
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

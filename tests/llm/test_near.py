@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 import xxhash
 
-from ploidyforge.llm import decontamination, simhash
+from pyspark.sql import functions as F
+
+from ploidyforge.llm import decontamination, line_dedup, simhash
 
 from .samples import documents, empty, texts
 
@@ -87,6 +89,31 @@ def test_near_duplicates(spark, crowded, monkeypatch):
     assert kept.columns == docs.columns and kept.count() == len(set(roots))
 
 
+def test_awkward_columns_and_ties(spark):
+    docs = documents(spark, extra=False).withColumnsRenamed({"lang": "meta.url", "n_chars": "__k1"})
+    twice = docs.where("doc_id = 9").withColumn("meta.url", F.lit("another"))
+    both = docs.union(twice)
+    kept = simhash.one_of_each(both)
+    assert kept.columns == both.columns and kept.where("doc_id = 9").count() == 1
+    assert kept.where("doc_id = 9").collect() == simhash.one_of_each(twice.union(docs)).where("doc_id = 9").collect()
+    bench = spark.createDataFrame([(1, texts(1)[0])], "item_id long, text string")
+    clean = decontamination.decontaminated(both, bench)
+    assert clean.columns == both.columns and both.count() > clean.count() > 0
+    assert sorted(map(repr, clean.where("doc_id = 21").collect())) == sorted(map(repr, both.where("doc_id = 21").collect()))
+    plain = line_dedup.drop_boilerplate(both)
+    assert set(plain.columns) == {*both.columns, "n_removed"} and plain.count() == both.count()
+
+
+def test_a_long_text_with_an_item_in_it(spark):
+    item = " ".join(f"bench{k}" for k in range(40))
+    long = " ".join(f"w{k % 9973}" for k in range(700_000))
+    assert len(long) > 4_000_000
+    docs = documents(spark, rows=[(1, f"{long} {item} {long[:1000]}", "en", "s", 1), (2, long, "en", "s", 1), (3, "x" * 5_000_000, "en", "s", 1)])
+    got = decontamination.contained_items(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["n_shared"]) for r in got] == [(1, 7, 36)]
+    assert simhash.near_duplicates(docs).count() == 3
+
+
 def test_near_duplicates_of_nothing(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.one_of_each(empty(spark)).count() == 0
 
@@ -107,8 +134,9 @@ def plain_matches(docs, items):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block", [200, 10**6])
-def test_contained_items(spark, block):
+@pytest.mark.parametrize("bits", [8, 26])
+def test_contained_items(spark, bits, monkeypatch):
+    monkeypatch.setattr(decontamination, "FILTER_BITS", bits)  # a filter that lets nearly all pass changes nothing
     rnd = random.Random(8)
     items = [(k, " ".join(f"w{rnd.randint(0, 400)}" for _ in range(rnd.randint(1, 40)))) for k in range(25)] + [(30, ""), (31, None), (32, "one two"), (3, "again an id")]
     docs = []
@@ -123,7 +151,7 @@ def test_contained_items(spark, block):
     docs += [(100, None, None, None, None), (None, items[5][1], None, None, None), (101, "One two", "", "", 0), docs[3]]
     df = documents(spark, rows=docs)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontamination.contained_items(df, bench, block_chars=block)
+    got = decontamination.contained_items(df, bench)
     expected = plain_matches([(d[0], d[1]) for d in docs], items)
     assert len(expected) > 10
     assert sorted((tuple(r) for r in got.select("doc_id", "item_id", "n_shingles", "n_shared").collect()), key=repr) == expected
