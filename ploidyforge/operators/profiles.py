@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import average_ranks, exact_mean
 
-#: Rows of an Arrow batch of profiles; a profile of 9,000 genes has 72 kB.
-PROFILE_ROWS = "512"
+#: Bytes of the slices of an Arrow batch that a step works on.
+SLICE_BYTES = 8 << 20
 
 
 def vst(x: Column) -> Column:
@@ -62,8 +62,16 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def map_profiles(df: DataFrame, fn, schema: str) -> DataFrame:
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", PROFILE_ROWS)
-    return df.mapInArrow(fn, schema)
+    """mapInArrow; fn gets the batches, which Spark bounds, in slices of SLICE_BYTES or one row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pieces():
+            for batch in batches:
+                step = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, SLICE_BYTES))
+                for at in range(0, batch.num_rows, step):
+                    yield batch.slice(at, step)
+        return fn(pieces())
+
+    return df.mapInArrow(run, schema)
 
 
 def smooth_profiles(counts: DataFrame, n_genes: int | None, obs_var: float = 0.16, state_var: float = 0.001) -> DataFrame:
@@ -92,32 +100,11 @@ def smooth_profiles(counts: DataFrame, n_genes: int | None, obs_var: float = 0.1
     return map_profiles(sparse.select("batch", "cell_idx", "pos", "umi", "n"), run, "batch string, cell_idx int, v array<double>, seen array<int>")
 
 
-def exploded(profiles: DataFrame, value: str = "v") -> DataFrame:
-    """A row per cell and position: pos, x."""
-    return profiles.select(*[c for c in profiles.columns if c != value], F.posexplode(value).alias("pos", "x"))
-
-
 def consensus(long: DataFrame, *keys: str) -> DataFrame:
     """Median by keys and pos (exact, interpolating)."""
     return long.groupBy(*keys, "pos").agg(F.median("x").alias("median"))
 
 
-def baseline_from(long: DataFrame, cells: DataFrame) -> DataFrame:
-    """batch, pos, base: median over the given cells."""
-    return consensus(long.join(cells.select("batch", "cell_idx"), ["batch", "cell_idx"], "left_semi"), "batch").withColumnRenamed("median", "base")
-
-
-def pairwise(long: DataFrame, metric: str = "euclidean") -> DataFrame:
-    """a, b, d for all a < b, in SQL: the plain form of the distance for small sets (cell_idx, pos, x)."""
-    if metric == "spearman":
-        long = ranked(long)
-    left, right = long.select(F.col("cell_idx").alias("a"), "pos", F.col("x").alias("xa")), long.select(F.col("cell_idx").alias("b"), "pos", F.col("x").alias("xb"))
-    pairs = left.join(right, "pos").where("a < b").groupBy("a", "b")
-    if metric == "euclidean":
-        return pairs.agg(F.sqrt(F.sum((F.col("xa") - F.col("xb")) ** 2)).alias("d"))
-    return pairs.agg((1 - F.corr("xa", "xb")).alias("d"))
-
-
 def ranked(long: DataFrame) -> DataFrame:
     """Values by cell replaced by their ranks, ties sharing the mean rank."""
     from pyspark.sql import Window

@@ -16,11 +16,11 @@ def cell_depth(counts: DataFrame) -> DataFrame:
 
 
 def deep_cells(counts: DataFrame, min_genes: int = 200) -> DataFrame:
-    """Cells with min_genes genes or more; if only one cell of a batch is below, it stays as well."""
-    depth = cell_depth(counts)
-    below = Window.partitionBy("batch")
-    return (depth.withColumn("below", F.sum(F.when(F.col("n_genes") < min_genes, 1).otherwise(0)).over(below))
-            .where((F.col("n_genes") >= min_genes) | (F.col("below") <= 1)).drop("below"))
+    """Cells with min_genes genes or more; if only one cell of a batch is below, it stays as well. A batch without any cell
+    of more than min_genes genes has none."""
+    by_batch = Window.partitionBy("batch")
+    marked = cell_depth(counts).withColumns({"below": F.sum(F.when(F.col("n_genes") < min_genes, 1).otherwise(0)).over(by_batch), "deepest": F.max("n_genes").over(by_batch)})
+    return marked.where(((F.col("n_genes") >= min_genes) | (F.col("below") <= 1)) & (F.col("deepest") > min_genes)).drop("below", "deepest")
 
 
 def depth_filter(counts: DataFrame, min_genes: int = 200) -> DataFrame:
@@ -56,23 +56,26 @@ def quality_flag(n_genes: Column, bound: int = 7000) -> Column:
     return F.when(n_genes < bound, "low data quality").otherwise("data quality is ok")
 
 
-def annotate(genes: DataFrame, annotation: DataFrame, key: str = "symbol") -> DataFrame:
-    """gene_idx, gene, chrom, abspos, start, end, pos of the genes that the annotation knows, in genomic order.
+def annotate(genes: DataFrame, annotation: DataFrame, key: str = "symbol", *by: str) -> DataFrame:
+    """by, gene_idx, gene, symbol, chrom, abspos, start, end, pos of the genes that the annotation knows, in genomic order.
 
-    genes (gene_idx, gene): the first gene of a name counts. annotation (src_idx, <key>, chrom, abspos, start, end):
-    the first row of a key counts. The order is abspos, then the genes' own order.
-    """
-    first = Window.partitionBy("gene").orderBy("gene_idx")
+    genes (by, gene_idx, gene): the first gene of a name counts. annotation (src_idx, symbol, <key>, chrom, abspos, start,
+    end): genes are found by key, and of the rows found the first of a symbol counts. The order is abspos, then the genes'
+    own order. All this by the columns by (such as batch), each with its own genes."""
+    first = Window.partitionBy(*by, "gene").orderBy("gene_idx")
     mine = genes.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
-    head = Window.partitionBy(key).orderBy("src_idx")
-    theirs = annotation.withColumn("rn", F.row_number().over(head)).where("rn = 1").select(F.col(key).alias("gene"), "chrom", "abspos", "start", "end")
+    more = [c for c in ("ensembl_gene_id", "band") if c in annotation.columns]
+    theirs = annotation.select("src_idx", F.col(key).alias("gene"), F.col("symbol"), "chrom", "abspos", "start", "end", *more)
     found = mine.join(theirs, "gene")  # annotation tables are a few MB: Spark broadcasts the smaller side by its size
-    return found.withColumn("pos", (F.row_number().over(Window.orderBy("abspos", "gene_idx")) - 1).cast("int"))
+    head = Window.partitionBy(*by, "symbol").orderBy("src_idx", "gene_idx")
+    kept = found.withColumn("rn", F.row_number().over(head)).where("rn = 1").drop("rn", "src_idx")
+    return kept.withColumn("pos", (F.row_number().over(Window.partitionBy(*by).orderBy("abspos", "gene_idx")) - 1).cast("int"))
 
 
-def without_anti(genes: DataFrame, anti: DataFrame, name: str = "gene", pattern: str = "^HLA-") -> DataFrame:
-    """genes without names that match pattern or are listed in anti (one column of the same name)."""
-    return genes.where(~F.col(name).rlike(pattern)).join(anti.select(name), name, "left_anti")
+def without_anti(genes: DataFrame, anti: DataFrame | None, name: str = "gene", pattern: str = "^HLA-") -> DataFrame:
+    """genes without names that match pattern or are listed in anti (one column of the same name; None lists nothing)."""
+    kept = genes.where(~F.coalesce(F.col(name).rlike(pattern), F.lit(False)))
+    return kept if anti is None else kept.join(anti.select(name), name, "left_anti")
 
 
 def chromosome_runs(counts: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import stats
 from ..functions.rstream import RStream, scramble
 from ..operators import calls, clusters, profiles, qc, segments, trees
 from . import fixtures as fx
@@ -283,14 +284,37 @@ def q_lcg_scramble(spark, d):
     return spark.createDataFrame([(k + 1, w) for k, w in enumerate(scramble(1234))], "step int, word long")
 
 
-@query()
+def _uniforms_sql(seed: int, n: int) -> str:
+    """u (k, u): the first n uniforms after a seed, by the recurrence of the generator over its last 624 words."""
+    return f"""lcg as (select 0 as k, ((69069::hugeint * {seed} + 1) % 4294967296)::bigint as w union all select k + 1, ((69069::hugeint * w + 1) % 4294967296)::bigint from lcg where k < 674),
+words as (select list(w order by k) as st from lcg where k >= 51),
+mt as (select 0 as k, st, 0::bigint as y from words union all
+  select k + 1, list_append(st[2:], x), x from (select k, st, xor(st[398], xor(((st[1] & 2147483648) | (st[2] & 2147483647)) >> 1, (st[2] & 1) * 2567483615)) as x from mt where k < {n})),
+t1 as (select k, xor(y, y >> 11) as y from mt where k > 0), t2 as (select k, xor(y, (y << 7) & 2636928640) as y from t1), t3 as (select k, xor(y, (y << 15) & 4022730752) as y from t2),
+u as (select k, greatest(0.5::double * 2.3283064365386963e-10::double, least(1 - 0.5::double * 2.3283064365386963e-10::double, xor(y, y >> 18)::double * 2.3283064365386963e-10::double)) as u from t3)"""
+
+
+def _ratio_sql(table: tuple, x: str) -> str:
+    """A quotient of two polynomials in x, by Horner's rule."""
+    def poly(coefficients):
+        out = "0::double"
+        for c in reversed(coefficients):
+            out = f"({out} * ({x}) + {c!r}::double)"
+        return out
+
+    return f"{poly(table[0])} / {poly(table[1])}"
+
+
+@query(f"with recursive {_uniforms_sql(1234, 1000)} select k::int as k, round(u, 12) as u from u")
 def q_rstream_head(spark, d):
-    return spark.createDataFrame([(k + 1, float(u)) for k, u in enumerate(RStream(1234).uniforms(1000))], "k int, u double")
+    return spark.createDataFrame([(k + 1, float(u)) for k, u in enumerate(RStream(1234).uniforms(1000))], "k int, u double").select("k", F.round("u", 12).alias("u"))
 
 
-@query()
+@query(f"""with recursive {_uniforms_sql(123, 2000)}, p as (select (a.k + 1) // 2 as k, (floor(134217728 * a.u) + b.u) / 134217728 as p from u a join u b on b.k = a.k + 1 where a.k % 2 = 1),
+q as (select k, p - 0.5 as q, sqrt(-ln(least(p, 1 - p))) as r from p)
+select k::int as k, round(case when abs(q) <= 0.425 then q * {_ratio_sql(stats.AS241_CENTRE, '0.180625 - q * q')} else sign(q) * (case when r <= 5 then {_ratio_sql(stats.AS241_NEAR, 'r - 1.6')} else {_ratio_sql(stats.AS241_FAR, 'r - 5.0')} end) end, 9) as z from q""")
 def q_rnorm_head(spark, d):
-    return spark.createDataFrame([(k + 1, float(u)) for k, u in enumerate(RStream(123).normals(1000))], "k int, z double")
+    return spark.createDataFrame([(k + 1, float(u)) for k, u in enumerate(RStream(123).normals(1000))], "k int, z double").select("k", F.round("z", 9).alias("z"))
 
 
 @query()
@@ -532,12 +556,14 @@ ok as (select cell_idx from r group by 1 having sum(n) >= 3 and count(*) >= 20 a
 w as (select gene_idx, x - sum(x) over (partition by cell_idx) / (select count(distinct gene_idx) from k2) as x from v)
 select gene_idx, count(*)::bigint as n, round(median(x), 6) as median, round(stddev_samp(x), 6) as sd from w group by 1""")
 def q_gene_profile(spark, d):
-    deep = qc.depth_filter(fx.counts(spark, d), 100)
-    common = qc.gene_filter(deep, 0.02)
-    n = common.select("gene_idx").distinct().count()
+    from ..session import settled
+
+    counts = settled(fx.counts(spark, d), "counts")  # one scan of lineitem, whatever follows
+    common = settled(qc.gene_filter(qc.depth_filter(counts, 100), 0.02), "common")
+    n = common.select("batch", "gene_idx").distinct().groupBy("batch").agg(F.count("*").alias("n_genes"))
     places = common.join(fx.genes(spark, d).select("gene_idx", "chrom", "pos"), "gene_idx")
     v = places.join(qc.covered_cells(places, fx.N_CHROM, 5).select("batch", "cell_idx"), ["batch", "cell_idx"], "left_semi").withColumn("x", profiles.vst(F.col("umi")))
-    x = v.withColumn("x", F.col("x") - F.sum("x").over(Window.partitionBy("batch", "cell_idx")) / n)
+    x = v.join(n, "batch").withColumn("x", F.col("x") - F.sum("x").over(Window.partitionBy("batch", "cell_idx")) / F.col("n_genes"))
     return x.groupBy("gene_idx").agg(F.count("*").alias("n"), r6(F.median("x")).alias("median"), r6(F.stddev_samp("x")).alias("sd"))
 
 
@@ -557,11 +583,10 @@ def q_pipeline_auto(spark, d):
 @query("with c as (select l_suppkey::int as cell_idx, date_trunc('day', l_shipdate) as start, sum(l_quantity) as umi from lineitem where l_quantity <> 0 group by all) select cell_idx, start, round(umi, 6) as umi from c")
 def q_stream_windows(spark, d):
     """Daily sums by cell, from a stream over the table's file."""
-    import uuid
-
     from ..streaming.depth import drained, windowed_depth
 
     source = fx.stream(spark, d, "lineitem")
     counts = source.select(F.lit("all").alias("batch"), F.col("l_suppkey").cast("int").alias("cell_idx"), F.col("l_shipdate").cast("timestamp").alias("ts"), F.col("l_quantity").alias("umi"))
-    done = drained(spark, windowed_depth(counts, "1 day", "100000 days"), f"depth_{uuid.uuid4().hex}", "complete")
+    # the table's days come in any order: the watermark lets all of them in
+    done = drained(spark, windowed_depth(counts, "1 day", "100000 days"), "batch", "cell_idx", "start")
     return done.select("cell_idx", F.col("start").cast("timestamp_ntz").alias("start"), r6("umi").alias("umi"))

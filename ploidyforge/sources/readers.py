@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
+
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, line (from 0) of a text file. DataFrames have no line numbers, so they come from the RDD's partition sizes."""
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
-    return spark.createDataFrame(lines, "value string, line long")
+    """value, line (from 0) of a text file. A split's lines are numbered as they are read; the lines of the splits before it,
+    by place in the file, are added (a window with a row a split)."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
+    lines = settled(raw, "lines")
+    splits = lines.groupBy("file", "at").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.join(splits.withColumn("before", before), ["file", "at"]).select("value", (F.col("before") + F.col("id") - F.col("first")).alias("line"))
 
 
 def from_triplets(triplets: DataFrame, batch: str = "all") -> DataFrame:
@@ -89,9 +95,9 @@ def read_labelled(spark: SparkSession, path: str, batch: str = "all") -> tuple[D
     """A tab table with a header of cells, a line of published calls, a line that is skipped, then genes; of repeated genes
     the first stays. Also returns (cell_idx, call)."""
     lines = numbered_lines(spark, path).select("line", F.split("value", "\t", -1).alias("f"))
-    cells = lines.where("line = 0").select(F.posexplode(F.slice("f", 2, 1 << 20)).alias("cell_idx", "cell")).select(F.lit(batch).alias("batch"), "cell_idx", "cell")
-    calls = lines.where("line = 1").select(F.posexplode(F.slice("f", 2, 1 << 20)).alias("cell_idx", "call"))
-    body = lines.where("line > 2").select((F.col("line") - 3).cast("int").alias("gene_idx"), F.col("f")[0].alias("gene"), F.slice("f", 2, 1 << 20).alias("v"))
+    cells = lines.where("line = 0").select(F.posexplode(F.slice("f", F.lit(2), F.size("f"))).alias("cell_idx", "cell")).select(F.lit(batch).alias("batch"), "cell_idx", "cell")
+    calls = lines.where("line = 1").select(F.posexplode(F.slice("f", F.lit(2), F.size("f"))).alias("cell_idx", "call"))
+    body = lines.where("line > 2").select((F.col("line") - 3).cast("int").alias("gene_idx"), F.col("f")[0].alias("gene"), F.slice("f", F.lit(2), F.size("f")).alias("v"))
     first = body.groupBy("gene").agg(F.min("gene_idx").alias("gene_idx"))
     kept = body.join(first, ["gene", "gene_idx"], "left_semi")
     counts = kept.select("gene_idx", F.posexplode("v").alias("cell_idx", "umi"))

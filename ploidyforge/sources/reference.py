@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FILES = {"hg20": "hg20_gene_anno.parquet", "mm10": "mm10_gene_anno.parquet"}
@@ -25,18 +25,16 @@ def data_dir(spark: SparkSession, *folders: str) -> str:
 
 
 def annotation(spark: SparkSession, folder: str, genome: str = "hg20") -> DataFrame:
-    """src_idx, symbol, ensembl_gene_id, chrom, abspos, start, end, in the file's order."""
+    """src_idx, symbol, ensembl_gene_id, chrom, abspos, start, end, and band if it is there, in the file's order."""
     if genome not in FILES:
         raise NotImplementedError(f"no annotation for genome {genome!r}")
     raw = spark.read.parquet(f"{folder}/{FILES[genome]}")
-    return raw.select(F.monotonically_increasing_id().alias("src_idx"), F.col(SYMBOL[genome]).alias("symbol"), "ensembl_gene_id", F.col("chromosome_name").cast("int").alias("chrom"),
+    return raw.select((F.row_number().over(Window.orderBy("_metadata.file_path", "_metadata.row_index")) - 1).cast("long").alias("src_idx"), F.col(SYMBOL[genome]).alias("symbol"), "ensembl_gene_id", *(c for c in ("band",) if c in raw.columns), F.col("chromosome_name").cast("int").alias("chrom"),
                       F.col("abspos").cast("long").alias("abspos"), F.col("start_position").cast("long").alias("start"), F.col("end_position").cast("long").alias("end"))
 
 
 def bins(spark: SparkSession, folder: str) -> DataFrame:
     """bin_idx, chrom, chrompos, abspos in order of abspos."""
-    from pyspark.sql import Window
-
     raw = spark.read.parquet(f"{folder}/{BINS}")
     return raw.select((F.row_number().over(Window.orderBy("abspos")) - 1).cast("int").alias("bin_idx"), F.col("chrom").cast("int").alias("chrom"), F.col("chrompos").cast("long").alias("chrompos"), F.col("abspos").cast("long").alias("abspos"))
 

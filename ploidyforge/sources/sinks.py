@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CNA_TYPES, STORAGES = ("float32", "float64"), ("obsm", "layer")
+CNA_TYPES = ("float32", "float64")
 
 
 def to_parquet(result, path: str, cna_dtype: str = "float32") -> None:
@@ -23,19 +21,14 @@ def to_parquet(result, path: str, cna_dtype: str = "float32") -> None:
         result.bins.write.mode("overwrite").parquet(f"{path}/bins")
 
 
-def wide_cna(result, batch: str, most_cells: int = 10_000) -> DataFrame:
-    """chrom, chrompos, abspos and a column per cell of one batch."""
-    named = result.cna.where(F.col("batch") == batch).join(result.prediction.select("batch", "cell_idx", "cell"), ["batch", "cell_idx"])
-    names = [r[0] for r in named.select("cell", "cell_idx").distinct().orderBy("cell_idx").limit(most_cells + 1).collect()]
-    if len(names) > most_cells:
-        raise ValueError(f"a wide table of more than {most_cells} cells is refused; use the Parquet tables")
+def wide_cna(result, batch: str) -> DataFrame:
+    """The positions (chrom, chrompos, abspos of a bin; for genes the seven annotation columns) and a column per cell of one
+    batch. A table as wide as the batch has cells, for small results; large ones stay in the Parquet tables."""
+    named = result.cna.where(F.col("batch") == batch).join(result.cells.select("batch", "cell_idx", "cell"), ["batch", "cell_idx"])
+    names = [r[0] for r in named.select("cell", "cell_idx").distinct().orderBy("cell_idx").collect()]
     wide = named.groupBy("place").pivot("cell", names).agg(F.first("x"))
-    if result.bins is None:
-        return wide.orderBy("place")
-    from pyspark.sql import Window
-
-    kept = result.bins.where("chrom <> 24").withColumn("place", F.row_number().over(Window.orderBy("bin_idx")) - 1)
-    return kept.select("place", "chrom", "chrompos", "abspos").join(wide, "place").orderBy("place").drop("place")
+    places = result.places.where(F.col("batch") == batch).drop("batch") if "batch" in result.places.columns else result.places
+    return places.join(wide, "place").orderBy("place").drop("place")
 
 
 def to_txt(result, batch: str, name: str, folder: str) -> tuple[str, str]:
@@ -48,10 +41,6 @@ def to_txt(result, batch: str, name: str, folder: str) -> tuple[str, str]:
     return paths
 
 
-def meta_json(result) -> str:
-    return json.dumps([r.asDict() for r in result.meta.orderBy("batch").collect()], default=str)
-
-
 def to_h5ad(result, batch: str, path: str) -> None:
     """Cells x bins with obs and var; needs the optional anndata package."""
     try:
@@ -59,7 +48,7 @@ def to_h5ad(result, batch: str, path: str) -> None:
     except ImportError as e:
         raise ImportError("writing h5ad files needs the anndata package") from e
     wide = wide_cna(result, batch).toPandas()
-    cells = [c for c in wide.columns if c not in ("chrom", "chrompos", "abspos", "place")]
+    cells = [r[0] for r in result.cells.where(F.col("batch") == batch).select("cell").collect() if r[0] in wide]
     obs = result.prediction.where(F.col("batch") == batch).toPandas().set_index("cell").reindex(cells)
-    var = wide[[c for c in ("chrom", "chrompos", "abspos") if c in wide]].rename(index=str)
+    var = wide[[c for c in wide if c not in set(cells)]].rename(index=str)
     anndata.AnnData(wide[cells].to_numpy().T, obs=obs, var=var).write_h5ad(path)

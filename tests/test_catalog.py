@@ -49,7 +49,7 @@ def test_whole_run_draws_all_and_hides_no_error(spark, monkeypatch):
     from ploidyforge.plans import pipeline
 
     seen = []
-    monkeypatch.setattr(pipeline, "run", lambda tables, cfg, on_error: seen.append((cfg, on_error)) or pipeline.Result(tables.cells.withColumn("prediction", tables.cells.cell), *[None] * 5))
+    monkeypatch.setattr(pipeline, "run", lambda tables, cfg, on_error: seen.append((cfg, on_error)) or pipeline.Result(tables.cells.withColumn("prediction", tables.cells.cell), *[None] * 6))
     catalog.q_pipeline_auto(spark, DATA)
     (cfg, on_error), = seen
     assert (cfg.mc, cfg.sampler, on_error) == (Config().mc, "exact", "raise") and cfg.mc == 1000

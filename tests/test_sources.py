@@ -144,7 +144,7 @@ def test_missing_batch_labels_are_a_batch(spark):
 def test_depth_stream(spark, tmp_path):
     spark.createDataFrame([("b", g, c, float(g)) for c in range(3) for g in range(c + 2)], "batch string, gene_idx int, cell_idx int, umi double").write.parquet(str(tmp_path / "s"))
     stream = spark.readStream.schema("batch string, gene_idx int, cell_idx int, umi double").parquet(str(tmp_path / "s"))
-    assert rows(depth.drained(spark, depth.depth_stream(stream), "depth_test"), "cell_idx", "n_genes") == [(0, 1), (1, 2), (2, 3)]
+    assert rows(depth.drained(spark, depth.depth_stream(stream), "batch", "cell_idx"), "cell_idx", "n_genes") == [(0, 1), (1, 2), (2, 3)]
 
 
 def test_too_few_genes_is_reported(spark):
