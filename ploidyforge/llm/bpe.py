@@ -14,7 +14,6 @@ import unicodedata
 from array import array
 from sys import byteorder, getsizeof
 
-import ahocorasick
 import numpy as np
 import regex
 
@@ -286,51 +285,185 @@ class LibraryEncoder:
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-class PrefixEncoder:
-    """Ids of words by dynamic programming over prefixes.
+class SuffixAutomaton:
+    """The suffix automaton of a set of tokens, each a tuple of symbol numbers: its states stand for the substrings of all
+    tokens. Read over a text it keeps the longest suffix of what was read that lies in some token; the tokens among
+    that suffix's own suffixes are found along the suffix links.
 
-    An automaton over the proven tokens gives, for each prefix of a word, the tokens that end there. The
-    encoding of a prefix has exactly one last token: the one whose pair with the last token of the
-    remaining shorter prefix is left apart by merging. It is stored for each prefix, and the pointers are
-    followed back from the end. The last symbol of a word carries the word-end mark; it is written as a
-    symbol of its own here (its code point plus SHIFT).
+    length: of each state's longest substring; link: the state of the next shorter suffixes; token: the token that a state's
+    longest substring is, or -1; nearest: the next state along the links that is a token, or 0.
     """
 
+    SYMBOL_BITS = 14
+
+    def __init__(self, tokens: dict[tuple[int, ...], int]) -> None:
+        after: list[dict[int, int]] = [{}]
+        length, link, token = [0], [-1], [-1]
+
+        def state(n: int, moves: dict[int, int], to: int) -> int:
+            after.append(moves), length.append(n), link.append(to), token.append(-1)
+            return len(after) - 1
+
+        def split(p: int, symbol: int, q: int) -> int:
+            """The state of p's substring and the symbol: q, or a part of q that ends there."""
+            if length[p] + 1 == length[q]:
+                return q
+            part = state(length[p] + 1, dict(after[q]), link[q])
+            link[q] = part
+            while p >= 0 and after[p].get(symbol) == q:
+                after[p][symbol] = part
+                p = link[p]
+            return part
+
+        for symbols, number in tokens.items():
+            last = 0
+            for symbol in symbols:
+                if (q := after[last].get(symbol)) is not None:
+                    last = split(last, symbol, q)
+                    continue
+                new, p = state(length[last] + 1, {}, 0), last
+                while p >= 0 and symbol not in after[p]:
+                    after[p][symbol] = new
+                    p = link[p]
+                if p >= 0:
+                    link[new] = split(p, symbol, after[p][symbol])
+                last = new
+            token[last] = number
+        nearest = [0] * len(after)
+        for k in sorted(range(1, len(after)), key=length.__getitem__):
+            up = link[k]
+            nearest[k] = up if token[up] >= 0 else nearest[up]
+        self.length, self.link, self.token, self.nearest = (array("i", x) for x in (length, link, token, nearest))
+        self.moves = {k << self.SYMBOL_BITS | symbol: to for k, found in enumerate(after) for symbol, to in found.items()}
+
+
+class ProvenTokens:
+    """What the driver works out for a PrefixEncoder: the proven tokens' symbols and their suffix automaton. The last symbol
+    of a word carries the word-end mark; it is written as a symbol of its own (its code point plus SHIFT)."""
+
     SHIFT = 0x1000
 
-    def __init__(self, vocabulary: Vocabulary, proven: list[str], most: int = TABLE_BYTES) -> None:
-        self.vocabulary = vocabulary
-        self.automaton = ahocorasick.Automaton()
+    def __init__(self, vocabulary: Vocabulary, proven: list[str]) -> None:
         self.spelled: dict[int, list[str]] = {}
-        mark = vocabulary.word_end
+        keys, mark = {}, vocabulary.word_end
         for token in proven:
             ends = bool(mark) and token.endswith(mark) and token != mark
             core = token[:-len(mark)] if ends else token
-            symbols = [*core[:-1], core[-1] + mark] if ends else list(core)
-            key = core[:-1] + chr(ord(core[-1]) + self.SHIFT) if ends else core
             i = vocabulary.ids[token]
-            self.spelled[i] = symbols
-            self.automaton.add_word(key, (len(core), i))
-        self.automaton.make_automaton()
-        self.pairs, self.chunks = Memo(self._apart, most // 2), Memo(self._chunk, most)
+            self.spelled[i] = [*core[:-1], core[-1] + mark] if ends else list(core)
+            keys[self.key(core, ends)] = i
+        self.automaton = SuffixAutomaton(keys)
+
+    @classmethod
+    def key(cls, core: str, ends: bool) -> tuple[int, ...]:
+        numbers = list(map(ord, core))
+        if ends:
+            numbers[-1] += cls.SHIFT
+        return tuple(numbers)
+
+
+class PrefixEncoder:
+    """Ids of words by dynamic programming over prefixes.
+
+    The suffix automaton of the proven tokens gives, for each prefix of a word, the tokens that end there. The
+    encoding of a prefix has exactly one last token: the one whose pair with the last token of the
+    remaining shorter prefix is left apart by merging. It is stored for each prefix that a longer one asks for, and the
+    pointers are followed back from the end.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, tokens: ProvenTokens, most: int = TABLE_BYTES) -> None:
+        self.vocabulary, self.spelled, self.automaton = vocabulary, tokens.spelled, tokens.automaton
+        self.pairs, self.chunks = Memo(self._apart, most // 2), Memo(self._chunk, 3 * most // 4)
+        self.ending: list[tuple | None] = [None] * len(tokens.automaton.length)
+        self.words, self.jumps, self.sides = Memo(self._word, 3 * most // 4), Memo(self._jump, most // 4), Memo(self._sides, most // 4)
         self.splitter, self.strings = WordSplitter(vocabulary.special), vocabulary.strings
 
+    def _sides(self, token: int) -> tuple[list, list]:
+        """The pieces that lie at the left and at the right end of a token while it is merged, with the ranks at which each
+        is made (-1: a symbol) and merged on (past all ranks: the token itself)."""
+        ranks, parts = self.vocabulary.ranks, list(self.spelled[token])
+        left, right, never = [[parts[0], -1, len(ranks)]], [[parts[-1], -1, len(ranks)]], len(ranks)
+        while len(parts) > 1:
+            at = [ranks.get(pair, never) for pair in zip(parts, parts[1:])]
+            rank = min(at)
+            k = at.index(rank)
+            parts[k:k + 2] = [parts[k] + parts[k + 1]]
+            for side, here, piece in ((left, k == 0, parts[0]), (right, k == len(parts) - 1, parts[-1])):
+                if here:
+                    side[-1][2] = rank
+                    side.append([piece, rank, never])
+        return left, right
+
     def _apart(self, pair: int) -> bool:
-        """Whether merging the two tokens' symbols (left << 32 | right) gives back just these two tokens."""
-        left, right = pair >> 32, pair & 0xFFFFFFFF
-        strings = self.vocabulary.strings
-        return self.vocabulary.merge(self.spelled[left] + self.spelled[right]) == [strings[left], strings[right]]
+        """Whether merging the two tokens' symbols (left << 32 | right) gives back just these two tokens: no piece at the
+        right end of the one is merged with a piece at the left end of the other while both are there. Merges go by rank,
+        and of equal ranks the leftmost goes first. A piece is always made at a lower rank than it is merged on."""
+        ranks = self.vocabulary.ranks
+        for a, made_a, gone_a in self.sides[pair >> 32][1]:
+            for b, made_b, gone_b in self.sides[pair & 0xFFFFFFFF][0]:
+                rank = ranks.get((a, b))
+                if rank is not None and made_a < rank < gone_a and made_b < rank <= gone_b:
+                    return False
+        return True
+
+    def _ending(self, state: int) -> tuple[tuple[int, int], ...]:
+        """(token, length) of the tokens that are suffixes of a state's longest substring, the longest first; kept by state,
+        of which there are as many as the vocabulary makes."""
+        found, at, out = self.automaton, state, []
+        while at:
+            if found.token[at] >= 0:
+                out.append((found.token[at], found.length[at]))
+            at = found.nearest[at]
+        self.ending[state] = tuple(out)
+        return self.ending[state]
+
+    def _jump(self, move: int) -> int:
+        """Where a state without the move goes over its links: the state, and the length that is kept, as state << 16 | length."""
+        found, bits = self.automaton, self.automaton.SYMBOL_BITS
+        state, symbol, to = move >> bits, move & (1 << bits) - 1, None
+        while to is None and state:
+            state = found.link[state]
+            to = found.moves.get(state << bits | symbol)
+        return 0 if to is None else to << 16 | found.length[state] + 1
 
     def _word(self, mapped: str) -> list[int]:
-        n = len(mapped)
-        key = mapped[:-1] + chr(ord(mapped[-1]) + self.SHIFT) if self.vocabulary.word_end else mapped
-        last, size, done, pairs = [-1] * (n + 1), [0] * (n + 1), -1, self.pairs
-        for end, (length, token) in self.automaton.iter(key):
-            if end == done:
-                continue
-            start = end + 1 - length
-            if start == 0 or last[start] >= 0 and pairs[last[start] << 32 | token]:
-                last[end + 1], size[end + 1], done = token, length, end
+        n, pairs, jumps, ending = len(mapped), self.pairs, self.jumps, self.ending
+        moves, bits = self.automaton.moves.get, self.automaton.SYMBOL_BITS
+        symbols = list(map(ord, mapped))
+        if self.vocabulary.word_end:
+            symbols[-1] += ProvenTokens.SHIFT
+        # the longest suffix of each prefix that lies in a token: its state and length
+        state = held = 0
+        states, longest = [0], [0]
+        for symbol in symbols:
+            move = state << bits | symbol
+            if (to := moves(move)) is not None:
+                state, held = to, held + 1
+            else:
+                to = jumps[move]
+                state, held = to >> 16, to & 0xFFFF
+            states.append(state)
+            longest.append(held)
+        last, size, asked = [-2] * (n + 1), [0] * (n + 1), [n]  # last token: -2 not yet known, -1 none
+        while asked:  # from the whole word, only the prefixes that matter are asked for
+            end = asked[-1]
+            room = longest[end]
+            for token, length in ending[states[end]] or self._ending(states[end]):
+                if length > room:
+                    continue
+                if start := end - length:
+                    left = last[start]
+                    if left == -2:
+                        asked.append(start)
+                        break
+                    if left < 0 or not pairs[left << 32 | token]:
+                        continue
+                last[end], size[end] = token, length
+                asked.pop()
+                break
+            else:
+                last[end] = -1
+                asked.pop()
         ids, at = [], n
         while at:
             if not size[at]:
@@ -340,7 +473,8 @@ class PrefixEncoder:
         return ids[::-1]
 
     def _chunk(self, chunk: str) -> bytes:
-        return array("I", self.splitter.encode(chunk, self._word)).tobytes() if byteorder == "little" else np.array(self.splitter.encode(chunk, self._word), "<u4").tobytes()
+        ids = self.splitter.encode(chunk, self.words.__getitem__)
+        return np.array(ids, "<u4").tobytes() if byteorder == "big" else array("I", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers. Spaces and line ends never lie inside a word or a special

@@ -9,23 +9,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import PrefixEncoder, Vocabulary, held, read_vocabulary
+from .bpe import TABLE_BYTES, PrefixEncoder, ProvenTokens, Vocabulary, held, read_vocabulary
 from .common import map_arrow, table, texts_of, tuned
 
 
-def encode_decode(docs: DataFrame, vocabulary_path: str, texts: bool = True) -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary_path: str, texts: bool = True, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit), decoded, n_tokens, ids_sha256, decoded_sha256 per row of docs.
 
     With texts=False the ids and the decoded text are left out, so that only digests leave the Python
     worker. Null text counts as empty (no ids, decoded ''), a null doc_id stays null, repeated rows are
-    encoded each, an empty table gives no rows, other columns are ignored. One narrow pass over the scan.
+    encoded each, an empty table gives no rows, other columns are ignored. One narrow pass over the scan;
+    a worker's tables take some 2.5 table_bytes at most.
     """
     vocabulary = read_vocabulary(vocabulary_path)
-    shipped = docs.sparkSession.sparkContext.broadcast((vocabulary, Vocabulary(vocabulary).proven()))
+    parsed = Vocabulary(vocabulary)
+    shipped = docs.sparkSession.sparkContext.broadcast((vocabulary, ProvenTokens(parsed, parsed.proven())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, proven = shipped.value
-        tokens = held(("codec", hash(text)), lambda: PrefixEncoder(Vocabulary(text), proven))
+        tokens = held(("codec", hash(text)), lambda: PrefixEncoder(Vocabulary(text), proven, table_bytes))
         for batch in batches:
             ids = [tokens.encode(t) for t in texts_of(batch.column(1))]
             decoded = [tokens.decode(x) for x in ids]
@@ -47,4 +49,4 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     tuned(spark)
-    return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), texts=False)
+    return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), texts=False, table_bytes=2 * TABLE_BYTES)

@@ -40,7 +40,7 @@ def byte_counter():
 
 def word_codec(most=bpe.TABLE_BYTES):
     vocabulary = bpe.Vocabulary(bpe.read_vocabulary(WORD))
-    return bpe.PrefixEncoder(vocabulary, vocabulary.proven(), most)
+    return bpe.PrefixEncoder(vocabulary, bpe.ProvenTokens(vocabulary, vocabulary.proven()), most)
 
 
 def test_whole_tokens_are_proven(byte_library):
@@ -101,11 +101,32 @@ def test_tables_stay_within_their_bytes():
 
 def test_words_without_a_cover_are_refused():
     vocabulary = bpe.Vocabulary(bpe.read_vocabulary(WORD))
-    codec = bpe.PrefixEncoder(vocabulary, [t for t in vocabulary.proven() if "q" not in t])
+    codec = bpe.PrefixEncoder(vocabulary, bpe.ProvenTokens(vocabulary, [t for t in vocabulary.proven() if "q" not in t]))
     with pytest.raises(ValueError):
         codec.encode("quiet")
 
 
+def test_suffix_automaton_finds_every_token_that_ends_at_a_place():
+    import random
+
+    rnd = random.Random(6)
+    tokens = {tuple(rnd.choice((1, 2, 3)) for _ in range(rnd.randint(1, 6))): k for k in range(60)}
+    found = bpe.SuffixAutomaton(tokens)
+    text = [rnd.choice((1, 2, 3, 4)) for _ in range(3000)]
+    state = size = 0
+    for end, symbol in enumerate(text, 1):
+        while (to := found.moves.get(state << found.SYMBOL_BITS | symbol)) is None and state:
+            state = found.link[state]
+            size = found.length[state]
+        state, size = (to, size + 1) if to is not None else (0, 0)
+        got, at = [], state if size == found.length[state] and found.token[state] >= 0 else found.nearest[state]
+        while at:
+            got.append(found.token[at])
+            at = found.nearest[at]
+        want = [tokens[t] for n in range(6, 0, -1) if (t := tuple(text[max(0, end - n):end])) in tokens and len(t) == n]
+        assert got == want
+
+
 def test_merge_forms_agree():
     vocabulary = bpe.Vocabulary(bpe.read_vocabulary(BYTE))
     for text in ("thethethe" * 30, "abcdefghij" * 20, "aaaa" * 40):
