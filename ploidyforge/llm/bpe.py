@@ -7,6 +7,7 @@ Merging takes the learned pair of lowest rank again and again. Two faster exact
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import re
@@ -161,6 +162,7 @@ def held(name: tuple, build):
     keeps something, so that a worker never holds the tables of two."""
     if name not in _HELD:
         _HELD.clear()
+        gc.collect()  # encoders and their tables refer to each other
         _HELD[name] = build()
     return _HELD[name]
 
