@@ -24,7 +24,7 @@ SAMPLE_DOCS = 500
 
 
 class Text:
-    """A text and what rules share: words and counts, each worked out once."""
+    """A text and what rules share: its bytes and words, split once, and the counts that rules ask for."""
 
     def __init__(self, text: str) -> None:
         self.text = text
