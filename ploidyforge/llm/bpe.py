@@ -369,8 +369,8 @@ class PrefixEncoder:
 
     The suffix automaton of the proven tokens gives, for each prefix of a word, the tokens that end there. The
     encoding of a prefix has exactly one last token: the one whose pair with the last token of the
-    remaining shorter prefix is left apart by merging. It is stored for each prefix that a longer one asks for, and the
-    pointers are followed back from the end.
+    remaining shorter prefix is left apart by merging. It is stored for every prefix, and the pointers are followed back
+    from the end.
     """
 
     def __init__(self, vocabulary: Vocabulary, tokens: ProvenTokens, most: int = TABLE_BYTES) -> None:
@@ -434,38 +434,26 @@ class PrefixEncoder:
         symbols = list(map(ord, mapped))
         if self.vocabulary.word_end:
             symbols[-1] += ProvenTokens.SHIFT
-        # the longest suffix of each prefix that lies in a token: its state and length
-        state = held = 0
-        states, longest = [0], [0]
+        # state and held: the longest suffix of the prefix read so far that lies in a token, and its length
+        state = held = end = 0
+        last, size = [-1] * (n + 1), [0] * (n + 1)  # the last token of each prefix (-1: it has none), and its length
         for symbol in symbols:
+            end += 1
             move = state << bits | symbol
             if (to := moves(move)) is not None:
                 state, held = to, held + 1
             else:
                 to = jumps[move]
                 state, held = to >> 16, to & 0xFFFF
-            states.append(state)
-            longest.append(held)
-        last, size, asked = [-2] * (n + 1), [0] * (n + 1), [n]  # last token: -2 not yet known, -1 none
-        while asked:  # from the whole word, only the prefixes that matter are asked for
-            end = asked[-1]
-            room = longest[end]
-            for token, length in ending[states[end]] or self._ending(states[end]):
-                if length > room:
-                    continue
-                if start := end - length:
-                    left = last[start]
-                    if left == -2:
-                        asked.append(start)
-                        break
-                    if left < 0 or not pairs[left << 32 | token]:
+            for token, length in ending[state] or self._ending(state):
+                if length < end:
+                    left = last[end - length]
+                    if left < 0 or length > held or not pairs[left << 32 | token]:
                         continue
+                elif length > held:
+                    continue
                 last[end], size[end] = token, length
-                asked.pop()
                 break
-            else:
-                last[end] = -1
-                asked.pop()
         ids, at = [], n
         while at:
             if not size[at]:

@@ -215,3 +215,11 @@ def test_perfect_hash():
     assert (index.find(keys)["records"] == 1).all() and (index.find(keys + 1)["records"] == 0).mean() > 0.999
     with pytest.raises(ValueError):
         token_store.PerfectHash.build(np.array([1, 1]))
+
+
+def test_every_prefix_has_its_last_token_stored(word_library):
+    """The program's answer for a word is that of its prefixes: each prefix, ended as a word, is encoded as the library does."""
+    codec = word_codec()
+    for word in ("unbelievably", "internationalisation", "aaaaabab", "straßenbahn"):
+        for end in range(1, len(word) + 1):
+            assert np.frombuffer(codec.encode(word[:end]), "<u4").tolist() == word_library.encode(word[:end], add_special_tokens=False).ids
