@@ -20,8 +20,9 @@ def _lines() -> Column:
 
 
 def _name(line: Column) -> Column:
-    """128 bits that stand for a line: its hash and that of the line with a mark."""
-    return F.struct(F.xxhash64(line).alias("h"), F.xxhash64(line, F.lit("second")).alias("g"))
+    """128 bits that stand for a line: its hash, and the hash from another seed (what comes first sets the seed of what
+    follows) of the line moved on by a byte, so that what cancels out in a word of the one does not in the other."""
+    return F.struct(F.xxhash64(line).alias("h"), F.xxhash64(F.lit("second"), F.concat(F.lit("."), line)).alias("g"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def _salted(rows: DataFrame) -> DataFrame:
 def _every_salt(lines: DataFrame) -> DataFrame:
     """Each line once for each salt, so that its occurrences are joined in as many parts; never broadcast, as the lines
     grow with the corpus."""
-    return lines.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).hint("shuffle_hash")
+    return lines.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).hint("merge")
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
