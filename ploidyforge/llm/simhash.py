@@ -167,7 +167,7 @@ def links(fps: DataFrame) -> DataFrame:
     searched = map_arrow(fps.select("fp"), _searched, "key long, fp long")
     crowded = staged(filed.groupBy("key").count().where(F.col("count") > most).select("key"), "crowded")
     rare = filed.join(crowded, "key", "left_anti").select("key", F.col("fp").alias("a"))
-    found = (searched.select("key", F.col("fp").alias("b")).join(rare.hint("shuffle_hash"), "key")
+    found = (searched.select("key", F.col("fp").alias("b")).join(rare.hint("merge"), "key")
              .where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)).select("a", "b"))
     members = staged(searched.join(crowded, "key", "left_semi"), "members")
     tiles = members.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("long").alias("tiles"))
@@ -181,26 +181,24 @@ def links(fps: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of the component of each node of edges (a, b), by large-star and small-star
-    rounds (Kiveris et al., 2014). Each half round is written to the shared folder."""
+    rounds (Kiveris et al., 2014), until the edges are stars. Each half round is written to the shared folder. Loops and
+    repeated edges count for nothing; no edges give no rows."""
     def ordered(df):
         return df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    def mark(df):
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003)).first())
+    def stars(df):
+        """Whether every node that has a smaller neighbour has just one, which has none itself: then these are the roots."""
+        two, chained = df.groupBy("a").count().where("count > 1"), df.join(df.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+        return two.isEmpty() and chained.isEmpty()
 
     edges = staged(ordered(edges), "edges")
-    seen = mark(edges)
-    while True:
+    while not stars(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = staged(ordered(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))), "large")
         least = staged(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         edges = staged(ordered(small), "small")
-        now = mark(edges)
-        if now == seen:
-            break
-        seen = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -248,7 +246,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     # equal ids and texts differ in other columns at most: of their rows the one of least hash stays
     whole = F.struct(*quoted(docs.columns))
     json = F.to_json(whole)
-    ranked = chosen.select(k1, k2, whole.alias(row), F.struct(F.xxhash64(json), F.xxhash64(json, F.lit(1))).alias(turn))
+    ranked = chosen.select(k1, k2, whole.alias(row), F.struct(F.xxhash64(json), F.xxhash64(F.lit("second"), F.concat(F.lit("."), json))).alias(turn))
     least = ranked.groupBy(k1, k2).agg(F.min_by(row, turn).alias(row))
     return least.select(*[F.col(row).getField(c).alias(c) for c in docs.columns])
 

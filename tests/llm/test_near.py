@@ -164,3 +164,50 @@ def test_contained_items_of_nothing(spark):
     bench = spark.createDataFrame([(1, texts(1)[0])], "item_id long, text string")
     assert decontamination.contained_items(empty(spark), bench).count() == 0
     assert decontamination.contained_items(documents(spark), bench.where("item_id < 0")).count() == 0
+
+
+def colliding_lines():
+    """Two lines of 64 characters with one XXH64 at seed 42: in a lane, a second word makes up for a change of the first."""
+    mask, p1, p2 = (1 << 64) - 1, 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F
+    turned = lambda x: (x << 31 | x >> 33) & mask
+    lane = (42 + p1 + p2) & mask
+    rnd = random.Random(1)
+    letters = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 .,;:!?-+*/=()[]{}<>%$#@&_~^'\""
+    back = pow(p2, -1, 1 << 64)
+    while True:
+        a, c, b = (int.from_bytes(bytes(rnd.choice(letters) for _ in range(8)), "little") for _ in range(3))
+        after_a, after_c = (turned((lane + x * p2) & mask) * p1 & mask for x in (a, c))
+        d = (b + (after_a - after_c) * back) & mask
+        if all(x in letters for x in d.to_bytes(8, "little")):
+            break
+    rest = b"x" * 24
+    return tuple((x.to_bytes(8, "little") + rest + y.to_bytes(8, "little") + rest).decode() for x, y in ((a, b), (c, d)))
+
+
+def test_lines_that_collide_in_one_hash_differ_in_the_other(spark):
+    one, two = colliding_lines()
+    assert one != two and xxhash.xxh64_intdigest(one.encode(), 42) == xxhash.xxh64_intdigest(two.encode(), 42)
+    rows = spark.createDataFrame([(one,), (two,)], "line string").select(line_dedup._name(F.col("line")).alias("n")).select("n.*").collect()
+    assert rows[0]["h"] == rows[1]["h"] and rows[0]["g"] != rows[1]["g"]
+    # neither line alone is on enough sites; together they would be
+    docs = spark.createDataFrame([(k, f"start {k}\n{one if k % 2 else two}", f"s{k}") for k in range(8)], "doc_id long, text string, source string")
+    assert line_dedup.boilerplate(docs).count() == 0
+
+
+def test_components_of_chains_and_stars(spark):
+    rnd = random.Random(9)
+    edges = [(k, k + 1) for k in range(60)] + [(1000, 1000 + k) for k in range(1, 40)] + [(5000, 5000), (7, 6)]
+    edges += [(rnd.randrange(2000, 2060), rnd.randrange(2000, 2060)) for _ in range(40)]
+    top = {n: n for e in edges for n in e}
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        top[b] = a
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: root(n) for n in top if root(n) != n}
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
