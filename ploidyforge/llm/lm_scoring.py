@@ -33,12 +33,12 @@ END_WORD = "\n"
 HEAD_WORDS, HEAD_BYTES = 200_000, 64
 #: Distinct words that a task counts before it hands them on.
 COUNTED_WORDS = 150_000
-WINDOW, OVERLAP, WIDTH = 32, 8, 8
+WINDOW, OVERLAP, WIDTH = 32, 8, 16
 #: Ids with an embedding and a class table of their own, the first of them with shares of their own, and the ids
 #: whose shares depend on the id before. By frequency; the last place stands for all other ids.
 EMBEDDED, BEFORE, NEXT = 2048, 1024, 4096
 #: Ids that are a class of their own, and bands of the others, by whether they end a word.
-SINGLE, BANDS = 72, 12
+SINGLE, BANDS = 160, 12
 ROUNDS, BATCH, HELD_WINDOWS, RATE = 2, 128, 4096, 0.2
 SMOOTH_CLASS, SMOOTH_SHARE = 5.0, 20.0
 N_CLASSES = SINGLE + 2 * BANDS
