@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 
 def readjusted(long: DataFrame, diploid: DataFrame, share: float = 0.25) -> DataFrame:
     """cell_idx, pos, x: values relative to the diploid cells, small ones set to the cell's mean, recentred.
@@ -96,7 +98,8 @@ def compare_profiles(a: DataFrame, b: DataFrame) -> DataFrame:
 def heatmap_order(cells: DataFrame, prediction: DataFrame) -> DataFrame:
     """cell_idx, cell, prediction, place: by prediction, then name; cells without prediction last."""
     joined = cells.join(prediction.select("cell_idx", "prediction"), "cell_idx", "left")
-    return joined.select("cell_idx", "cell", "prediction", F.row_number().over(Window.orderBy(F.coalesce("prediction", F.lit("zzz")), "cell")).alias("place"))
+    keyed = joined.select("cell_idx", "cell", "prediction", F.coalesce("prediction", F.lit("zzz")).alias("kind"))
+    return ranked(keyed, ["kind", "cell", "cell_idx"]).select("cell_idx", "cell", "prediction", F.col("place").cast("int").alias("place"))
 
 
 def cna_delta(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.rstream import RStream, scramble
-from ..operators import calls, clusters, profiles, qc, segments, trees
+from ..operators import calls, clusters, dendrogram, profiles, qc, segments, trees
+from ..operators.ranks import ranked, ranked_within
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -240,7 +241,8 @@ q as (select t.a, max(case when kind = la.cluster then total / (n - 1) end) as o
   from t join l la on la.id = t.a join z on z.cluster = t.kind group by 1)
 select a as cell_idx, round(case when coalesce(n_own, 1) > 1 then (other - own) / greatest(own, other) else 0 end, 6)::double as s from q""")
 def q_silhouette(spark, d):
-    return clusters.silhouettes(trees.distances(fx.profiles(spark, d)), fx.vector_labels(spark, d)).select("cell_idx", r6("s").alias("s"))
+    labels = fx.vector_labels(spark, d).select(F.lit("all").alias("batch"), "cell_idx", "cluster")
+    return clusters.silhouettes(trees.distance_sums(fx.profiles(spark, d), labels), labels).select("cell_idx", r6("s").alias("s"))
 
 
 @query("with l as (select vec_id::int as cell_idx, min(vec_id) over (partition by label) as lead from embeddings) select cell_idx, dense_rank() over (order by lead)::int as cluster from l")
@@ -248,6 +250,34 @@ def q_cutree_renumber(spark, d):
     return clusters.renumbered(fx.read(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("cell_idx"), F.col("label").alias("raw")))
 
 
+def _comb_merges(e):
+    """Merges of a made-up tree over the vectors: those of a label are joined one by one by vec_id, label after label, and
+    then the labels, each to all before it."""
+    turn = e.select(F.col("vec_id").cast("int").alias("cell_idx"), F.col("label").cast("int").alias("label"))
+    by_cell, by_label = ranked(turn, ["cell_idx"], "leaf"), ranked_within(turn.select("label", "cell_idx"), "label", ["cell_idx"], "nth").select("cell_idx", "nth")
+    sizes = turn.groupBy("label").agg(F.count("*").alias("n")).withColumns({"before": F.coalesce(F.sum(F.col("n") - 1).over(Window.orderBy("label").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "labels_before": F.row_number().over(Window.orderBy("label")) - 1})
+    rows = by_cell.join(by_label, "cell_idx").join(F.broadcast(sizes), "label")  # one row a label
+    inner = rows.where("nth > 1").select("label", F.col("before").alias("base"), "nth", "leaf", (F.col("before") + F.col("nth") - 1).alias("step"))
+    first = rows.where("nth = 1").select("label", F.col("leaf").alias("first_leaf"), "n", "before", "labels_before")
+    joined = inner.join(first.select("label", "first_leaf"), "label")
+    own = joined.select("step", F.when(F.col("nth") == 2, -F.col("first_leaf")).otherwise(-F.col("leaf")).alias("a"), F.when(F.col("nth") == 2, -F.col("leaf")).otherwise(F.col("step") - 1).alias("b"))
+    total = F.sum(F.col("n") - 1).over(Window.partitionBy())
+    tops = first.withColumns({"node": F.when(F.col("n") > 1, F.col("before") + F.col("n") - 1).otherwise(-F.col("first_leaf")), "inner": total})
+    tops = tops.withColumn("previous", F.lag("node").over(Window.orderBy("label"))).where("labels_before > 0")
+    upper = tops.select((F.col("inner") + F.col("labels_before")).alias("step"), F.when(F.col("labels_before") == 1, F.col("previous")).otherwise(F.col("inner") + F.col("labels_before") - 1).alias("a"), F.col("node").alias("b"))
+    one = F.lit(1).cast("long")
+    return own.union(upper).select(F.lit("all").alias("batch"), *[F.col(c).cast("int").alias(c) for c in ("step", "a", "b")], one.alias("n_left"), one.alias("n_right"))
+
+
+@query("""with l as (select vec_id::int as cell_idx, dense_rank() over (order by label) as nth, (select count(distinct label) from embeddings) as labels from embeddings),
+r as (select cell_idx, k, greatest(nth, labels - k + 1) as raw from l, (select unnest([2, 3, 4, 5, 6]) as k)), f as (select *, min(cell_idx) over (partition by k, raw) as lead from r)
+select k::int as k, cell_idx, dense_rank() over (partition by k order by lead)::int as cluster from f""")
+def q_cutree(spark, d):
+    e = fx.read(spark, d, "embeddings")
+    cells = e.select(F.lit("all").alias("batch"), F.col("vec_id").cast("int").alias("cell_idx"))
+    return dendrogram.cuts(_comb_merges(e), cells, [2, 3, 4, 5, 6]).select("k", "cell_idx", "cluster")
+
+
 POST = """squares as (select *, least((x - m1) ** 2, (x - m2) ** 2, (x - m3) ** 2) as low from {0}),
 shares as (select *, w1 * exp(-((x - m1) ** 2 - low) / (2 * s * s)) as p1, w2 * exp(-((x - m2) ** 2 - low) / (2 * s * s)) as p2, w3 * exp(-((x - m3) ** 2 - low) / (2 * s * s)) as p3 from squares),
 post as (select *, p1 / (p1 + p2 + p3) as q1, p2 / (p1 + p2 + p3) as q2, p3 / (p1 + p2 + p3) as q3 from shares)"""

@@ -1,0 +1,127 @@
+"""Trees and cuts as plans against the full search."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+from ploidyforge.operators import dendrogram, ranks, trees
+from ploidyforge.operators.clusters import ward
+from ploidyforge.operators.profiles import distance_matrix
+
+
+def profiles(spark, parts):
+    """parts: {batch: matrix}; cell numbers leave gaps."""
+    rows = [(name, 3 * k + 1, row.tolist()) for name, x in parts.items() for k, row in enumerate(x)]
+    return spark.createDataFrame(rows, "batch string, cell_idx int, v array<double>").repartition(4)
+
+
+def planted(n, seed, width=12):
+    rnd = np.random.default_rng(seed)
+    return rnd.normal(0, 1, (n, width)) + 4 * rnd.normal(0, 1, (5, width))[rnd.integers(0, 5, n)]
+
+
+def check(spark, parts, metric, squared, limit):
+    p = profiles(spark, parts)
+    merges = trees.tree(p, metric, squared, limit)
+    rows = merges.orderBy("batch", "step").collect()
+    order = trees.leaf_order(merges, p.select("batch", "cell_idx")).orderBy("batch", "pos").collect()
+    cut = dendrogram.cuts(merges, p.select("batch", "cell_idx"), [1, 2, 3, 5, 6]).orderBy("batch", "k", "cell_idx").collect()
+    for name, x in parts.items():
+        mine = [r for r in rows if r["batch"] == name]
+        leaves = [(r["cell_idx"] - 1) // 3 for r in order if r["batch"] == name]
+        if len(x) == 1:
+            assert not mine and leaves == [0]
+            continue
+        want = ward(distance_matrix(x, metric), squared)
+        assert [r["step"] for r in mine] == list(range(1, len(x)))
+        assert [(r["a"], r["b"]) for r in mine] == [tuple(p) for p in want.signed().tolist()]
+        assert np.allclose([r["height"] for r in mine], want.heights, rtol=1e-8, atol=1e-6)
+        assert leaves == want.order().tolist()
+        for k in (1, 2, 3, 5, 6):
+            got = [r["cluster"] for r in cut if (r["batch"], r["k"]) == (name, k)]
+            assert got == (want.cut(k).tolist() if k <= len(x) else [])
+
+
+@pytest.mark.parametrize("metric,squared,limit", [("euclidean", True, 8), ("euclidean", False, 8), ("pearson", False, 1024), ("spearman", True, 20)])
+def test_trees_equal_the_full_search(spark, metric, squared, limit):
+    check(spark, {"one": planted(90, 1), "two": planted(33, 2), "few": planted(2, 3), "single": planted(1, 4)}, metric, squared, limit)
+
+
+def test_ties_go_as_in_the_full_search(spark):
+    # whole numbers on a line and a grid: a great many equal distances, and sums that are exact
+    line = np.arange(32.0)[:, None] * np.array([[1.0, 0.0]])
+    grid = np.stack(np.meshgrid(np.arange(4.0), np.arange(4.0)), -1).reshape(-1, 2)
+    pairs = {"line": line, "grid": grid}
+    rows = [(name, a, b, float(((x[a] - x[b]) ** 2).sum())) for name, x in pairs.items() for a in range(len(x)) for b in range(a + 1, len(x))]
+    cells = spark.createDataFrame([(name, k) for name, x in pairs.items() for k in range(len(x))], "batch string, cell_idx int")
+    df = spark.createDataFrame(rows, "batch string, a int, b int, s double")
+    one = dendrogram.ward_merges(df, cells, limit=2).orderBy("batch", "step").collect()
+    all_ = dendrogram.ward_merges(df, cells, limit=1024).orderBy("batch", "step").collect()
+    assert [(r["batch"], r["a"], r["b"]) for r in one] == [(r["batch"], r["a"], r["b"]) for r in all_]
+    for name, x in pairs.items():
+        want = ward(((x[:, None] - x[None]) ** 2).sum(2))
+        mine = [r for r in one if r["batch"] == name]
+        assert np.allclose([r["height"] for r in mine], want.heights)
+        assert [(r["a"], r["b"]) for r in mine] == [tuple(p) for p in want.signed().tolist()]
+
+
+def test_chosen_cuts(spark):
+    x = np.concatenate([planted(25, 5) + 40, planted(25, 6), planted(4, 7) + 90])
+    p = profiles(spark, {"s": x})
+    merges = trees.tree(p, limit=16)
+    cut = dendrogram.cuts(merges, p.select("batch", "cell_idx"), [2, 3, 4, 5, 6])
+    want = ward(distance_matrix(x), True)
+
+    def of(df):
+        return [r["cluster"] for r in df.orderBy("cell_idx").collect()]
+
+    assert of(dendrogram.cut_min_size(cut, 3)) == want.cut_min_size(6, 3).tolist()
+    assert of(dendrogram.cut_min_size(cut, 10)) == want.cut_min_size(6, 10).tolist()
+    assert of(dendrogram.final_cut(cut.where("k <= 4"), 3)) == want.final_cut(4, 3).tolist()
+    assert of(dendrogram.final_cut(cut.where("k <= 4"), 30)) == []
+
+
+def test_no_task_has_more_than_the_pairs_of_the_limit(spark, monkeypatch):
+    real = dendrogram._finished
+
+    def finished(key, k, p):
+        if len(k) > 10 or len(p) > 10 * 9 // 2:
+            raise ValueError("too many")
+        return real(key, k, p)
+
+    monkeypatch.setattr(dendrogram, "_finished", finished)
+    p = profiles(spark, {"s": planted(40, 8)})
+    pairs = trees.pair_sums(p)
+    assert dendrogram.ward_merges(pairs, p.select("batch", "cell_idx"), True, 10).count() == 39
+    with pytest.raises(Exception, match="too many"):
+        dendrogram.ward_merges(pairs, p.select("batch", "cell_idx"), True, 40)
+
+
+def test_ranks_by_ranges(spark):
+    rows = [(k * 7 % 50, "abc"[k % 3], k) for k in range(200)] + [(None, "a", 900), (None, "b", 901)]
+    df = spark.createDataFrame(rows, "x int, g string, id int").repartition(5)
+    got = {r["id"]: r["place"] for r in ranks.ranked(df, ["x", "id"]).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
+    assert got == {r[2]: k + 1 for k, r in enumerate(order)}
+    within = {r["id"]: r["place"] for r in ranks.ranked_within(df, "g", ["x", "id"]).collect()}
+    for g in "abc":
+        assert [within[r[2]] for r in order if r[1] == g] == list(range(1, 1 + sum(r[1] == g for r in rows)))
+    dense = {r["x"]: r["rank"] for r in ranks.dense_ranks(df, "x").collect()}
+    assert [x for x, _ in sorted(dense.items(), key=lambda t: t[1])] == [None, *range(50)]
+    assert ranks.ranked(df.where("id < 0"), ["x"]).count() == 0
+
+
+def test_silhouettes_without_a_pair_table(spark):
+    from ploidyforge.operators.clusters import silhouette_mean, silhouettes
+
+    parts = {"one": planted(60, 11), "two": planted(20, 12)}
+    labels = {name: np.random.default_rng(1).integers(1, 4, len(x)) for name, x in parts.items()}
+    labels["two"][0] = 9  # alone in its cluster
+    p = profiles(spark, parts)
+    known = spark.createDataFrame([(name, 3 * k + 1, int(c)) for name, c in labels.items() for k, c in enumerate(c)], "batch string, cell_idx int, cluster int")
+    sums = trees.distance_sums(p, known, block=16)
+    assert sums.count() == sum(len(x) * len(set(labels[name].tolist())) for name, x in parts.items())
+    got = {r["batch"]: r["avg(s)"] for r in silhouettes(sums, known).groupBy("batch").avg("s").collect()}
+    for name, x in parts.items():
+        assert abs(got[name] - silhouette_mean(distance_matrix(x), labels[name])) < 1e-9
