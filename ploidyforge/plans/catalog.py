@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import stats
+from ..functions import exact, stats
 from ..functions.rstream import RStream, scramble
-from ..operators import calls, clusters, dendrogram, profiles, qc, segments, trees
+from ..operators import calls, clusters, dendrogram, profiles, qc, segments, selection, trees, windows
 from ..operators.ranks import ranked, ranked_within
 from . import fixtures as fx
 
@@ -357,7 +357,9 @@ def q_gamma_calls(spark, d):
 
 @query(f"with n as (select {NP} as n), w as (select unnest(range(1, (n // 25 - 1) * 25 + 1, 25)) as s from n union all select n from n) select row_number() over (order by s)::int as k, s::int as start from w")
 def q_window_grid(spark, d):
-    return spark.createDataFrame([(k + 1, int(s)) for k, s in enumerate(segments.window_grid(fx.n_genes(spark, d)))], "k int, start int")
+    sizes = fx.read(spark, d, "part").agg(F.lit("all").alias("batch"), F.count("*").alias("n"))
+    places = windows.grid(sizes).select(F.explode(F.array("first", "middle", "last")).alias("start")).distinct()
+    return ranked(places, ["start"], "k").select(F.col("k").cast("int").alias("k"), "start")
 
 
 TOTALS = f"{C}, t as (select gene_idx + 1 as pos, sum(umi) as total from c group by 1)"
@@ -368,7 +370,7 @@ p as (select s as a, lead(s) over (order by s) as b, lead(s, 2) over (order by s
 select a::int as first, b::int as middle, round(sum(case when pos <= b then total else 0 end) / (b - a + 1), 6)::double as left_mean, round(sum(case when pos > b then total else 0 end) / (z - b), 6)::double as right_mean
 from p join t on pos between a and z where z is not null group by a, b, z""")
 def q_window_stats(spark, d):
-    pairs = spark.createDataFrame(segments.window_pairs(fx.n_genes(spark, d)), "first int, middle int, last int")
+    pairs = windows.grid(fx.read(spark, d, "part").agg(F.lit("all").alias("batch"), F.count("*").alias("n"))).select("first", "middle", "last")
     totals = fx.counts(spark, d).groupBy((F.col("gene_idx") + 1).alias("pos")).agg(F.sum("umi").alias("total"))
     places = pairs.select("*", F.explode(F.sequence("first", "last")).alias("pos"))
     got = places.join(totals, "pos", "left").fillna(0.0)
@@ -377,6 +379,45 @@ def q_window_stats(spark, d):
     return got.groupBy("first", "middle", "last").agg(r6(left).alias("left_mean"), r6(right).alias("right_mean")).drop("last")
 
 
+def _flag_profiles(spark, d):
+    """batch, cluster, v: quantity by part for each return flag, and the number of parts."""
+    p = fx.read(spark, d, "part").select(F.col("p_partkey").alias("pos"))
+    flags = fx.read(spark, d, "lineitem").groupBy(F.ascii("l_returnflag").alias("cluster"), F.col("l_partkey").alias("pos")).agg(F.sum("l_quantity").alias("x"))
+    every = p.select("pos", F.explode(F.array(*[F.lit(ord(f)) for f in "ANR"])).alias("cluster")).join(flags, ["cluster", "pos"], "left").select("cluster", "pos", F.coalesce("x", F.lit(0.0)).alias("x"))
+    shape = every.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("p"))
+    return shape.select(F.lit("all").alias("batch"), "cluster", F.col("p.x").alias("v")), p.agg(F.lit("all").alias("batch"), F.count("*").alias("n"))
+
+
+@query(f"""with x as (select ascii(l_returnflag)::int as cluster, l_partkey + 1 as pos, sum(l_quantity) as x from lineitem group by all), n as (select {NP} as n), w as (select unnest(range(1, (n // 25 - 1) * 25 + 1, 25)) as s from n union all select n from n),
+p as (select s as a, lead(s) over (order by s) as b, lead(s, 2) over (order by s) as z, row_number() over (order by s) - 1 as k from w), f as (select unnest([65, 78, 82]) as cluster)
+select f.cluster, k::int as window_idx, b::int as middle, coalesce(round(sum(x) filter (pos <= b), 6), 0)::double as left_total, coalesce(round(sum(x) filter (pos > b), 6), 0)::double as right_total
+from p cross join f left join x on x.cluster = f.cluster and pos between a and z where z is not null group by f.cluster, k, b""")
+def q_window_sums(spark, d):
+    shape, sizes = _flag_profiles(spark, d)
+    sums = windows.window_sums(shape, windows.grid(sizes))
+    return sums.select("cluster", F.col("window").alias("window_idx"), "middle", r6("left").alias("left_total"), r6("right").alias("right_total"))
+
+
+@query()
+def q_keyed_breaks(spark, d):
+    shape, sizes = _flag_profiles(spark, d)
+    gaps = windows.window_gaps(windows.window_sums(shape, windows.grid(sizes)), 1234, 1000)
+    return windows.breaks(gaps, sizes, 0.5, 1000, 25).select("batch", F.posexplode("breaks").alias("place", "middle"))
+
+
+@query("select l_suppkey::int as cell_idx, count(*)::bigint as n, round(fsum(l_extendedprice), 2)::double as total, round(favg(l_extendedprice), 6) as mean, round(stddev_samp(l_extendedprice), 5) as sd from lineitem group by 1")
+def q_exact_stats(spark, d):
+    x = fx.read(spark, d, "lineitem").select(F.col("l_suppkey").cast("int").alias("cell_idx"), F.col("l_extendedprice").alias("x"))
+    return exact.exact_stats(x, ["cell_idx"]).select("cell_idx", "n", F.round("total", 2).alias("total"), r6("mean").alias("mean"), F.round("sd", 5).alias("sd"))
+
+
+@query("select l_returnflag as flag, round(median(l_extendedprice), 6) as median from lineitem group by 1")
+def q_group_median(spark, d):
+    """A few groups that hold nearly all rows: medians by counting passes."""
+    x = fx.read(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("x"))
+    return selection.medians(x, ["flag"]).select("flag", r6("median").alias("median"))
+
+
 @query(f"""with {C}, k as (select cell_idx, gene_idx // 25 as segment, sum(umi) as total from c group by 1, 2)
 select cell_idx, segment, round((greatest(total / 25, 0.001) + total) / 26, 6) as level from k""")
 def q_posterior_mean(spark, d):
@@ -597,19 +638,30 @@ def q_gene_profile(spark, d):
     return x.groupBy("gene_idx").agg(F.count("*").alias("n"), r6(F.median("x")).alias("median"), r6(F.stddev_samp("x")).alias("sd"))
 
 
-@query()
-def q_pipeline_auto(spark, d):
-    """The whole run on the counts of lineitem, with settings that its uniform noise passes."""
+def _whole_run(spark, d, sampler):
+    """Predictions for the counts of lineitem, with settings that its uniform noise passes."""
     from ..config import Config
     from .pipeline import Tables, run
 
     g = fx.genes(spark, d).withColumn("gene", F.concat(F.lit("G"), "gene_idx"))
     cells = fx.read(spark, d, "supplier").select(F.lit("all").alias("batch"), F.col("s_suppkey").cast("int").alias("cell_idx"), F.col("s_name").alias("cell"))
     anno = g.select(F.col("gene_idx").cast("long").alias("src_idx"), F.col("gene").alias("symbol"), F.col("gene").alias("ensembl_gene_id"), "chrom", "abspos", "start", "end")
-    cfg = Config(min_gene_per_cell=100, low_dr=0.0, up_dr=0.0, ks_cut=0.05, min_breaks=2, min_cluster=1)
+    cfg = Config(min_gene_per_cell=100, low_dr=0.0, up_dr=0.0, ks_cut=0.05, min_breaks=2, min_cluster=1, sampler=sampler)
     return run(Tables(fx.counts(spark, d), g.select("gene_idx", "gene"), cells, anno, fx.bins(spark, d)), cfg, on_error="raise").prediction.select("cell_idx", "prediction")
 
 
+@query()
+def q_pipeline_auto(spark, d):
+    """The whole run on the counts of lineitem, with draws from one stream."""
+    return _whole_run(spark, d, "exact")
+
+
+@query()
+def q_pipeline_spread(spark, d):
+    """The whole run on the counts of lineitem as plans, with keyed draws."""
+    return _whole_run(spark, d, "keyed")
+
+
 @query("with c as (select l_suppkey::int as cell_idx, date_trunc('day', l_shipdate) as start, sum(l_quantity) as umi from lineitem where l_quantity <> 0 group by all) select cell_idx, start, round(umi, 6) as umi from c")
 def q_stream_windows(spark, d):
     """Daily sums by cell, from a stream over the table's file."""
