@@ -17,6 +17,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 DATE = "2024-01-01T00:00:00Z"
 SALTS = 16
+#: Keys of an index file that a task looks up together.
+HELD_KEYS = 50_000
 CAPTURE = "url_key string, page_id long, file string, offset long, length long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 CAPTURE_NAMES = [x.split()[0] for x in CAPTURE.split(", ")]
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -129,7 +132,7 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, arch
     (page_id, url) becomes a response, once, and all others revisit it; smaller payloads are always
     responses. A null url counts as ''; rows without page_id never are revisited while another row of their
     payload has one, and if none has, all are responses. An empty table gives no archive; other columns are
-    ignored. Winners are found and joined, with salts, on narrow rows (digest, page_id, url); payloads move once,
+    ignored. Winners are found and joined, with salts, on narrow rows (digest, page_id, url); payloads move
     into the sort, where they meet what the narrow rows say.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
@@ -192,22 +195,115 @@ def _at_ranges(blobs: DataFrame, ranges: DataFrame, fn, schema: str) -> DataFram
             for file, content, ranges in zip(*(c.to_pylist() for c in batch.columns)):
                 yield from fn(file, [(r["offset"], r["length"], content[r["offset"]:r["offset"] + r["length"]]) for r in ranges])
 
-    return map_arrow(blobs.join(listed.hint("shuffle_hash"), "file").select("file", "content", "ranges"), run, schema)
+    return map_arrow(blobs.join(listed, "file").select("file", "content", "ranges"), run, schema)
 
 
-def read_captures(spark: SparkSession, archives: str, path: str) -> DataFrame:
-    """A row of CAPTURE for each capture of the index, by its way: the directory gives ranges of the index files, the
-    blocks there give ranges of the archives, and each record is read at its own range. An empty index gives no rows."""
-    def captures(file: str, ranges: list) -> Iterator[pa.RecordBatch]:
-        found = []
-        for offset, length, packed in ranges:
-            ((_, size, content),) = members(packed)
-            if size != length:
-                raise ValueError(f"the range of {file}:{offset} is not a record")
-            found.append(_capture(file, offset, length, content))
-        yield _rows(found)
+class RangeReader:
+    """Ranges of the files in a folder, read inside a task through pyarrow's file systems (local or mounted folders, HDFS,
+    object stores); one file is open at a time. bytes_read counts what was read."""
 
-    return _at_ranges(read_blobs(spark, archives).select("file", "content"), read_index(spark, path).select("file", "offset", "length"), captures, CAPTURE)
+    def __init__(self, folder: str) -> None:
+        self.system, self.folder = FileSystem.from_uri(folder)
+        self.name, self.file, self.bytes_read = None, None, 0
+
+    def read(self, name: str, offset: int, length: int) -> bytes:
+        if name != self.name:
+            self.close()
+            self.name, self.file = name, self.system.open_input_file(f"{self.folder}/{name}")
+        data = self.file.read_at(length, offset)
+        if len(data) != length:
+            raise ValueError(f"{name} ends within the range at {offset}")
+        self.bytes_read += length
+        return data
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+        self.name = self.file = None
+
+
+def around(firsts: list[bytes], key: bytes) -> range:
+    """Places of the sorted parts that may hold the key: the last that begins below it, and those that begin with it."""
+    return range(max(0, bisect_left(firsts, key) - 1), bisect_right(firsts, key))
+
+
+def positions(keys: list[str], directory: list[tuple[bytes, int, int]], name: str, reader: RangeReader) -> Iterator[list[tuple[str, int, int]]]:
+    """(archive, offset, length) of the captures of the sorted keys in one index file, whose directory has (first key, offset,
+    length) of its blocks: blocks and then lines are found by bisection, and a block is read once, if a key needs it."""
+    firsts, held, lines, starts = [d[0] for d in directory], None, [], []
+    for key in keys:
+        wanted = key.encode()
+        for k in around(firsts, wanted):
+            if k != held:
+                ((_, _, block),) = members(reader.read(name, *directory[k][1:]))
+                held, lines = k, index_lines(block)
+                starts = [x[0].encode() for x in lines]
+            found = [(x[2], int(x[3]), int(x[4])) for x in lines[bisect_left(starts, wanted):bisect_right(starts, wanted)]]
+            if found:
+                yield found
+
+
+def look_up(urls: DataFrame, archives: str, path: str) -> DataFrame:
+    """A row of CAPTURE for each capture of the distinct URL keys of urls (url; null counts as '').
+
+    First keys of the index files, one for each INDEX_BYTES of index, are held by all tasks and bisected; a key goes to the
+    task of its file, or files, with that file's part of the directory. There the directory is bisected, one block read and
+    its lines bisected. The record's place goes to a task that reads records, one range each, in the archives' order. Only
+    keys and places move between tasks, no contents. No URLs, or an empty index, give no rows."""
+    spark = urls.sparkSession
+    directory = spark.read.parquet(f"{path}/directory")
+    tops = sorted((r["key"].encode(), r["file"]) for r in directory.groupBy("file").agg(F.min("first_key").alias("key")).collect())
+    firsts, files = [t[0] for t in tops], [t[1] for t in tops]
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [url_key(_field(u or "")) for u in batch.column(0).to_pylist()]
+            out = [(files[k], key) for key in keys for k in around(firsts, key.encode())]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string())], ["file", "key"])
+
+    none = F.lit(None).cast("long")
+    wanted = map_arrow(urls.select(F.col("url").cast("string")), routed, "file string, key string").distinct().select("file", F.lit(1).alias("kind"), "key", none.alias("offset"), none.alias("length"))
+    known = directory.select("file", F.lit(0).alias("kind"), F.col("first_key").alias("key"), "offset", "length")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, file, blocks, keys = RangeReader(f"{path}/blocks"), None, [], []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            for rows in positions(keys, sorted(blocks), file, reader):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64()))], ["file", "offset", "length"])
+
+        for batch in batches:
+            for name, kind, key, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
+                if name != file:
+                    if keys:
+                        yield from found()
+                    file, blocks, keys = name, [], []
+                if kind == 0:
+                    blocks.append((key.encode(), offset, length))
+                else:
+                    keys.append(key)
+                    if len(keys) == HELD_KEYS:
+                        yield from found()
+                        keys = []
+        if keys:
+            yield from found()
+        reader.close()
+
+    dealt = wanted.union(known).repartition(n, "file").sortWithinPartitions("file", "kind", "key")
+    spots = staged(map_arrow(dealt, placed, "file string, offset long, length long"), "places")
+
+    def captured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = RangeReader(archives)
+        for batch in batches:
+            rows = []
+            for name, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
+                ((_, _, content),) = members(reader.read(name, offset, length))
+                rows.append(_capture(name, offset, length, content))
+            yield _rows(rows)
+        reader.close()
+
+    return map_arrow(spots.repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset"), captured, CAPTURE)
 
 
 def write_index(spark: SparkSession, archives: str, path: str, block_lines: int = BLOCK_LINES) -> None:
@@ -271,9 +367,8 @@ class CaptureIndex:
 
     @staticmethod
     def _around(rows: list[tuple], key: bytes) -> list[tuple]:
-        """Rows (sorted by first key) that may hold the key: the last that begins below it, and those that begin with it."""
-        firsts = [r[0] for r in rows]
-        return rows[max(0, bisect_left(firsts, key) - 1):bisect_right(firsts, key)]
+        """Rows (sorted by first key) that may hold the key."""
+        return [rows[k] for k in around([r[0] for r in rows], key)]
 
     def _blocks(self, key: bytes) -> list[tuple]:
         names = [name for _, name in self._around(self.files, key)]
@@ -302,9 +397,10 @@ class CaptureIndex:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     tuned(spark)
     archives, index = fresh_path(spark, "archives"), fresh_path(spark, "captures")
-    write_archives(table(spark, sf_dir, "pages"), archives)
+    pages = table(spark, sf_dir, "pages")
+    write_archives(pages, archives)
     write_index(spark, archives, index)
-    return read_captures(spark, archives, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return look_up(pages, archives, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP5_SQL = """

@@ -9,6 +9,7 @@ import os
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -18,7 +19,7 @@ from tokenizers import Tokenizer
 from ploidyforge.llm import line_dedup, lm_scoring, quality_classifier, quality_rules, warc
 from ploidyforge.llm.common import fresh_path
 
-from .samples import documents, empty, pairs, texts
+from .samples import ODD, documents, empty, pairs, texts
 
 DATA = "/root/testdata/sf0.01"
 
@@ -362,7 +363,7 @@ def test_warc_round_trip(spark, least):
         if r["record_type"] == "response":
             assert r["page_id"] == top[h]
     assert all(seen[h, "response"] == 1 for h in top if len(h.encode()) >= least)
-    by_index = warc.read_captures(spark, archives, index)
+    by_index = warc.look_up(pages, archives, index)
     assert sorted(map(repr, by_index.collect())) == sorted(map(repr, got))
     look = warc.CaptureIndex(spark, archives, index)
     (fields, payload), = look.get("http://host1.example.com/p/1?q=1")
@@ -393,3 +394,57 @@ def test_warc_of_nothing(spark):
     warc.write_archives(pages, archives)
     warc.write_index(spark, archives, index)
     assert warc.read_archives(spark, archives).count() == 0 and warc.read_index(spark, index).count() == 0
+
+
+def test_look_ups_read_one_block_and_one_record(spark):
+    pages = spark.createDataFrame([(k, f"http://h{k % 9}.org/p{k:03d}", f"text {k} " * 20) for k in range(200)] + [(900 + k, "http://h3.org/hot", f"hot {k}") for k in range(60)], "page_id long, url string, html string")
+    archives, index = fresh_path(spark, "archives"), fresh_path(spark, "captures")
+    warc.write_archives(pages, archives, archive_bytes=3000)
+    warc.write_index(spark, archives, index, block_lines=8)
+    rows = spark.read.parquet(f"{index}/directory").collect()
+    for file in {r["file"] for r in rows}:
+        own = sorted((r["first_key"].encode(), r["offset"], r["length"]) for r in rows if r["file"] == file)
+        reader = warc.RangeReader(f"{index}/blocks")
+        key = own[len(own) // 2][0].decode()
+        (found,) = [f for f in warc.positions([key], own, file, reader)][-1:]
+        # the block that begins with the key, and the one before, which may end with it
+        assert reader.bytes_read == sum(own[k][2] for k in warc.around([d[0] for d in own], key.encode())) and found
+        records = warc.RangeReader(archives)
+        for name, offset, length in found:
+            ((_, _, content),) = warc.members(records.read(name, offset, length))
+            assert warc.url_key(warc.parsed(content)[0]["WARC-Target-URI"]) == key
+        assert records.bytes_read == sum(n for _, _, n in found)
+    plan = warc.look_up(pages, archives, index)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan and "Join" not in plan
+    some = spark.createDataFrame([("http://h3.org/hot",), ("https://u@h4.org:80/p004#x",), ("http://none.org/",), (None,)], "url string")
+    got = sorted(r["page_id"] for r in warc.look_up(some, archives, index).collect())
+    assert got == [4, *range(900, 960)]
+    with pytest.raises(ValueError, match="ends within"):
+        warc.RangeReader(archives).read(spark.read.format("binaryFile").load(archives).first()["path"].rsplit("/", 1)[1], 0, 1 << 30)
+
+
+def test_operators_equal_their_sql_with_nulls_and_repeats(spark):
+    """Nulls, revisits, repeated rows and a very long text, through the SQL of op4 and op5."""
+    path = fresh_path(spark, "tables")
+    long = " ".join(f"w{k % 977}" for k in range(300_000))
+    every = [*texts(20), *[t for t in ODD if "\x1c" not in (t or "") and "\x85" not in (t or "")], long]
+    rows = [(k, t, "en", f"s{k % 6}", len(t or "")) for k, t in enumerate(every)] + [(3, every[3], "en", "s3", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(2).write.parquet(f"{path}/documents.parquet")
+    html = ["<a>", "<b>" * 5000, None, ""]
+    spark.createDataFrame([(k, f"http://h{k % 4}.org/{k % 7}" if k % 5 else None, html[k % 4] if k % 3 else f"<p>{k}") for k in range(60)], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "pages"):
+        con.execute(f"create view {name} as select * from '{path.removeprefix('file://')}/{name}.parquet/*.parquet'")
+    for query, sql in ((quality_rules.op4_quality_rules, quality_rules.OP4_SQL), (warc.op5_warc, warc.OP5_SQL)):
+        got = query(spark, path)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(con.execute(f"select {', '.join(got.columns)} from ({sql})").fetchall(), key=repr)
+
+
+def test_very_long_texts_are_scored_whole(spark):
+    long = "good words of a long text " * 40_000
+    docs = documents(spark, rows=[(k, t, "en", "s", 1) for k, t in enumerate(texts(40))] + [(500, long, "en", "s", 1), (501, "\n".join([long] * 2), "en", "t", 1)])
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    weights = quality_classifier.fit(docs, labels)
+    assert 0 <= quality_classifier.score(weights, long) <= 1
+    assert quality_classifier.score(weights, long + " ".join(texts(40)[1:40:2])) != quality_classifier.score(weights, long)
+    assert line_dedup.drop_boilerplate(docs).where("doc_id = 501 and length(text) > 2000000").count() == 1
