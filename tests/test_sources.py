@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -81,7 +83,7 @@ def test_command_line_writes_what_the_function_gives(spark, tmp_path, capsys):
     wide = pd.DataFrame(0, index=[f"G{k}" for k in range(1500)], columns=[r["cell"] for r in tables.cells.orderBy("cell_idx").collect()])
     wide.values[pdf.gene_idx, pdf.cell_idx] = pdf.umi
     wide.to_csv(tmp_path / "x.csv")
-    args = ["run", str(tmp_path / "x.csv"), "--reference", str(tmp_path), "--output-dir", str(tmp_path / "out"), "--sam-name", "S", "--sampler", "expected", "--mc", "100", "--min-breaks", "5", "--ks-cut", "0.3"]
+    args = ["run", str(tmp_path / "x.csv"), "--reference", str(tmp_path), "--output-dir", str(tmp_path / "out"), "--sam-name", "S", "--sampler", "exact", "--mc", "100", "--min-breaks", "5", "--ks-cut", "0.3"]
     assert cli.main(args, spark) == 0
     got = spark.read.csv(str(tmp_path / "out/S_prediction.txt"), sep="\t", header=True)
     assert got.count() == 120 and set(got.columns) == {"cell.names", "call"}
@@ -151,3 +153,31 @@ def test_too_few_genes_is_reported(spark):
     tables = planted(spark, normal=20, tumour=20, genes=60)
     meta = pipeline.run(tables, Config(min_gene_per_cell=10, ngene_chr=1, sampler="expected"), on_error="skip").meta.first()
     assert meta["status"] == "error" and meta["note"]
+
+
+def test_wide_files_of_many_cells(spark, tmp_path):
+    """20,000 cells: one file, a line a bin, written without a plan as wide as the cells."""
+    from types import SimpleNamespace
+
+    n, bins = 20_000, 12
+    cells = spark.range(n).select(F.lit("s").alias("batch"), F.col("id").cast("int").alias("cell_idx"), F.when(F.col("id") == 7, "odd\tname").otherwise(F.concat(F.lit("c"), F.col("id"))).alias("cell"))
+    cna = spark.range(n * bins).select(F.lit("s").alias("batch"), (F.col("id") % n).cast("int").alias("cell_idx"), F.floor(F.col("id") / n).cast("int").alias("place"), (F.col("id") / 7.0).alias("x"))
+    places = spark.range(bins).select(F.col("id").cast("int").alias("place"), (F.col("id") + 1).alias("chrom"), (F.col("id") * 10).alias("chrompos"), (F.col("id") * 100).alias("abspos"))
+    result = SimpleNamespace(cna=cna.repartition(5), cells=cells.where("cell_idx <> 9999999"), places=places, prediction=cells.withColumn("prediction", F.lit("diploid")))
+    for _ in range(2):  # a file that is there is replaced
+        paths = sinks.to_txt(result, "s", "S", str(tmp_path))
+    assert all(os.path.isfile(p) for p in paths) and sorted(p for p in os.listdir(tmp_path) if not p.startswith(".")) == ["S_CNA_results.txt", "S_prediction.txt"]
+    with open(paths[1], newline="\n") as f:
+        lines = f.read().split("\n")
+    assert len(lines) == bins + 2 and lines[-1] == ""
+    assert lines[0].startswith("chrom\tchrompos\tabspos\tc0\tc1\t") and '\t"odd\tname"\t' in lines[0]
+    for k in range(bins):
+        row = lines[k + 1].split("\t")
+        assert row[:3] == [str(k + 1), str(10 * k), str(100 * k)] and len(row) == n + 3
+        assert float(row[3]) == k * n / 7.0 and float(row[-1]) == (k * n + n - 1) / 7.0
+    with open(paths[0]) as f:
+        said = f.read().split("\n")
+    assert said[:2] == ["cell.names\tcall", "c0\tdiploid"] and len(said) == n + 2
+    result.cna = cna.where("not (cell_idx = 5 and place = 3)")
+    with pytest.raises(Exception, match="no value of some cell"):
+        sinks.to_txt(result, "s", "T", str(tmp_path))
