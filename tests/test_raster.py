@@ -1,0 +1,110 @@
+"""Heatmap files against a plain form of their pixels."""
+
+from __future__ import annotations
+
+import struct
+import zlib
+from types import SimpleNamespace
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ploidyforge.operators import raster
+
+BINS = [(1, 10), (1, 20), (1, 30), (2, 10), (2, 20), (3, 10), (3, 20)]
+
+
+def decoded(path):
+    """Pixels of an RGB file; every checksum is compared."""
+    data, at, packed, size = open(path, "rb").read(), 8, b"", None
+    assert data[:8] == b"\x89PNG\r\n\x1a\n"
+    kinds = []
+    while at < len(data):
+        n, kind = struct.unpack(">I", data[at:at + 4])[0], data[at + 4:at + 8]
+        body = data[at + 8:at + 8 + n]
+        assert zlib.crc32(kind + body) == struct.unpack(">I", data[at + 8 + n:at + 12 + n])[0]
+        kinds.append(kind)
+        if kind == b"IHDR":
+            size = struct.unpack(">IIBBBBB", body)
+        packed += body if kind == b"IDAT" else b""
+        at += 12 + n
+    assert kinds[0] == b"IHDR" and kinds[-1] == b"IEND" and size[2:] == (8, 2, 0, 0, 0)
+    lines = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(size[1], 1 + 3 * size[0])  # zlib compares the stream's checksum
+    assert not lines[:, 0].any()
+    return lines[:, 1:].reshape(size[1], size[0], 3), kinds.count(b"IDAT")
+
+
+def result(spark, x, names, calls):
+    rows = [("s", 2 * i, k, float(v)) for i, row in enumerate(x) for k, v in enumerate(row)]
+    cells = spark.createDataFrame([("s", 2 * i, n) for i, n in enumerate(names)], "batch string, cell_idx int, cell string")
+    said = spark.createDataFrame([("s", 2 * i, n, c) for i, (n, c) in enumerate(zip(names, calls))], "batch string, cell_idx int, cell string, prediction string")
+    places = spark.createDataFrame([(k, c, p) for k, (c, p) in enumerate(BINS)], "place int, chrom int, chrompos int")
+    return SimpleNamespace(cna=spark.createDataFrame(rows, "batch string, cell_idx int, place int, x double").repartition(4), cells=cells, prediction=said, places=places)
+
+
+def pixel(v, limit):
+    t = max(-1.0, min(1.0, v / limit))
+    fade = int(255 * (1 - abs(t)) + 0.5)
+    return (255, fade, fade) if t > 0 else (fade, fade, 255) if t < 0 else (255, 255, 255)
+
+
+def plain(panels, limit):
+    """panels: list of (rows of values) already in order."""
+    dark = [0, 0, 0, 1, 1, 0, 0]
+    grey = [raster.GREY] * raster.GAP
+    top = [raster.STRIP[d] for d in dark]
+    lines = [sum([(grey if k else []) + top for k in range(len(panels))], [])] * raster.STRIP_ROWS
+    for rows in zip(*panels):
+        lines.append(sum([(grey if k else []) + [pixel(v, limit) for v in row] for k, row in enumerate(rows)], []))
+    return np.array(lines, np.uint8)
+
+
+@pytest.fixture(scope="module")
+def two(spark):
+    rnd = np.random.default_rng(3)
+    names = [f"n{k * 7 % 23:02d}" for k in range(23)]
+    x, y = rnd.normal(0, 0.3, (23, 7)), rnd.normal(0, 0.3, (20, 7))
+    x[4] = 0.0
+    calls = ["diploid" if k % 3 else "aneuploid" for k in range(22)] + [None]
+    a, b = result(spark, x, names, calls), result(spark, y, names[3:], calls[::-1][3:])
+    return x, y, names, calls, a, b
+
+
+@pytest.mark.parametrize("band", [1, 200, 4 << 20])
+def test_single_heatmap(spark, two, tmp_path, monkeypatch, band):
+    monkeypatch.setattr(raster, "BAND_BYTES", band)
+    x, _, names, calls, a, _ = two
+    assert raster.plot(a, "s", str(tmp_path / "a.png"), 0.5) == (7, 23 + raster.STRIP_ROWS)
+    got, pieces = decoded(tmp_path / "a.png")
+    order = sorted(range(23), key=lambda i: (calls[i] or "zzz", names[i]))
+    assert (got == plain([x[order]], 0.5)).all() and pieces >= (25 if band == 1 else 3)
+
+
+@pytest.mark.parametrize("sort_by", ["first", "second"])
+def test_compared_heatmap(spark, two, tmp_path, sort_by):
+    x, y, names, calls, a, b = two
+    raster.plot_compared(a, b, "s", str(tmp_path / "c.png"), sort_by, 0.4)
+    got, _ = decoded(tmp_path / "c.png")
+    said = calls[3:] if sort_by == "first" else calls[::-1][3:]
+    order = sorted(range(20), key=lambda i: (said[i] or "zzz", names[3:][i]))
+    assert (got == plain([x[3:][order], y[order]], 0.4)).all()
+    with pytest.raises(ValueError, match="sort_by"):
+        raster.plot_compared(a, b, "s", str(tmp_path / "d.png"), "third")
+
+
+def test_delta_and_index_check(spark, two, tmp_path):
+    x, y, names, _, a, b = two
+    raster.plot_delta(a, b, "s", str(tmp_path / "d.png"), 0.25)
+    got, _ = decoded(tmp_path / "d.png")
+    order = sorted(range(20), key=lambda i: names[3:][i])
+    assert (got == plain([(x[3:] - y)[order]], 0.25)).all()
+    moved = SimpleNamespace(**{**vars(b), "places": b.places.withColumn("chrompos", F.col("chrompos") + 1)})
+    with pytest.raises(ValueError, match="different bins"):
+        raster.plot_delta(a, moved, "s", str(tmp_path / "e.png"))
+
+
+def test_checksums_of_pieces():
+    one, two = bytes(range(256)) * 300, b"\xff" * 70_001
+    assert raster.joined_adler(zlib.adler32(one), zlib.adler32(two), len(two)) == zlib.adler32(one + two)
+    assert (raster.colours(np.array([np.nan, 9.0, -9.0, 0.0]), 1.0) == [raster.GREY, (255, 0, 0), (0, 0, 255), (255, 255, 255)]).all()
