@@ -86,7 +86,7 @@ def test_rules_against_plain_counts(spark):
 
 
 def test_order_follows_rejections_per_cost():
-    plan = quality_rules.plan([" ".join(["word***"] * 60)] * 20)
+    plan = quality_rules.plan(quality_rules.measured([" ".join(["word***"] * 60)] * 20))
     rates = [share / cost for _, cost, share in plan]
     assert rates == sorted(rates, reverse=True) and {n for n, *_ in plan} == set(quality_rules.RULES)
 
