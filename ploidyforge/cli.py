@@ -1,4 +1,4 @@
-"""Command line: version, run (one sample), run-batches (many)."""
+"""Command line: version, run (one sample), run-batches and run-h5ad (many)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import sys
 
 from . import __version__
 from .config import DISTANCES, GENOMES, SAMPLERS, Config
+from .sources import cohort
 
 
 def parser() -> argparse.ArgumentParser:
@@ -32,8 +33,17 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--output-h5ad", action=argparse.BooleanOptionalAction, default=False)
     many = kinds.add_parser("run-batches", parents=[shared], help="all batches of Parquet tables counts, genes and cells")
     many.add_argument("tables", help="folder with counts.parquet, genes.parquet, cells.parquet")
-    many.add_argument("--min-cells-per-batch", type=int, default=100)
-    many.add_argument("--on-error", choices=("skip", "raise"), default="skip")
+    annotated = kinds.add_parser("run-h5ad", parents=[shared], help="all batches of an annotated matrix, into one container")
+    annotated.add_argument("--adata", required=True, help="the .h5ad file, where all executors can open it")
+    annotated.add_argument("--batch-key", required=True, help="the column of obs that holds the batch labels")
+    annotated.add_argument("--layer", default=None, help="the layer with raw counts; X if none is given")
+    annotated.add_argument("--output", required=True, help="folder of the container")
+    annotated.add_argument("--cna-storage", choices=cohort.STORAGES, default="obsm")
+    annotated.add_argument("--cna-dtype", choices=cohort.CNA_TYPES, default="float32")
+    annotated.add_argument("--prefix", default="", help="of the columns that obs gains")
+    for kind in (many, annotated):
+        kind.add_argument("--min-cells-per-batch", type=int, default=100)
+        kind.add_argument("--on-error", choices=("skip", "raise"), default="skip")
     return top
 
 
@@ -69,6 +79,11 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         if cfg.output_h5ad:
             sinks.to_h5ad(result, "all", f"{cfg.output_dir}/{cfg.sam_name or 'sample'}.h5ad")
         return 0
+    if args.command == "run-h5ad":
+        read = readers.read_h5ad(spark, args.adata, args.batch_key, args.layer, obs=True)
+        result = run_batches(Tables(*read, anno, bins, anti), cfg, args.min_cells_per_batch, args.on_error)
+        cohort.write_cohort(result, args.output, args.cna_storage, args.cna_dtype, args.prefix)
+        return 0
     tables = [spark.read.parquet(f"{args.tables}/{x}.parquet") for x in ("counts", "genes", "cells")]
     sinks.to_parquet(run_batches(Tables(*tables, anno, bins, anti), cfg, args.min_cells_per_batch, args.on_error), args.output_dir)
     return 0

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 _OWN_FOLDERS: dict[str, str] = {}
@@ -45,3 +45,12 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     path = f"{own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def observed(df: DataFrame, name: str, **facts: Column) -> tuple[DataFrame, dict]:
+    """settled, with aggregates over the rows taken in the pass that writes them: no scan of their own.
+
+    They are observed on top of the plan, in the tasks that write, each of which counts once however often it is retried."""
+    seen = Observation()
+    done = settled(df.observe(seen, *[fact.alias(k) for k, fact in facts.items()]), name)
+    return done, seen.get

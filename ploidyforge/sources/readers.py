@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import settled
+from .h5ad import read_h5ad  # noqa: F401 - one of the readers
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -102,20 +103,3 @@ def read_labelled(spark: SparkSession, path: str, batch: str = "all") -> tuple[D
     kept = body.join(first, ["gene", "gene_idx"], "left_semi")
     counts = kept.select("gene_idx", F.posexplode("v").alias("cell_idx", "umi"))
     return from_triplets(counts, batch), kept.select("gene_idx", "gene"), cells, calls
-
-
-def read_h5ad(spark: SparkSession, path: str, batch_key: str | None = None, layer: str | None = None):
-    """Annotated cells from an h5ad file, by batch if batch_key is given; needs the optional anndata package."""
-    try:
-        import anndata
-    except ImportError as e:
-        raise ImportError("reading h5ad files needs the anndata package") from e
-    data = anndata.read_h5ad(path)
-    if batch_key is not None and batch_key not in data.obs:
-        raise KeyError(batch_key)
-    values = data.X if layer is None else data.layers[layer]
-    counts, genes, cells = from_matrix(spark, values.T, list(map(str, data.var_names)), list(map(str, data.obs_names)))
-    if batch_key is None:
-        return counts, genes, cells
-    of = spark.createDataFrame([(k, str(b)) for k, b in enumerate(data.obs[batch_key])], "cell_idx int, batch string")
-    return counts.drop("batch").join(of, "cell_idx"), genes, cells.drop("batch").join(of, "cell_idx")

@@ -1,0 +1,159 @@
+"""Annotated matrices read by ranges, and the container of a cohort's results."""
+
+from __future__ import annotations
+
+import math
+from types import SimpleNamespace
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ploidyforge import cli
+from ploidyforge.config import Config
+from ploidyforge.plans import pipeline
+from ploidyforge.session import observed
+from ploidyforge.sources import cohort, h5ad
+
+from . import h5nodes as h5
+from .planted import planted
+
+LABELS = ["s1", None, "s2", "s1", "s2", "s1", None]
+
+
+@pytest.fixture(scope="module")
+def matrix():
+    m = np.random.default_rng(1).poisson(0.6, (7, 5)).astype(float)
+    m[3] = 0  # a cell without counts
+    return m
+
+
+@pytest.fixture(scope="module")
+def stored(matrix, tmp_path_factory):
+    obs = {"sample": h5.categorical(LABELS), "cell": h5.Array(np.arange(7)), "depth": h5.Group({"encoding-type": "nullable-integer"}, values=h5.Array(np.arange(7)), mask=h5.Array(np.arange(7) == 2))}
+    layers = {"csr": h5.compressed(matrix, False), "csc": h5.compressed(matrix, True), "twice": h5.compressed(matrix * 2, False, repeat=True), "by_gene_twice": h5.compressed(matrix, True, repeat=True)}
+    return h5.save(h5.container(h5.Array(matrix), layers, [f"c{k}" for k in range(7)], [f"G{k}" for k in range(5)], obs), tmp_path_factory.mktemp("h5") / "a.h5ad")
+
+
+@pytest.mark.parametrize("layer", [None, "csr", "csc", "twice", "by_gene_twice"])
+@pytest.mark.parametrize("rows", [1, 3, 100])
+def test_stored_forms_read_alike(spark, matrix, stored, layer, rows):
+    counts, genes, cells = h5ad.read_h5ad(spark, stored, "sample", layer, opener=h5.load, rows=rows)
+    want = {(LABELS[c], g, c, matrix[c, g] * (2 if layer == "twice" else 1)) for c, g in zip(*np.nonzero(matrix))}
+    got = [tuple(r) for r in counts.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert sorted(tuple(r) for r in genes.collect()) == [(k, f"G{k}") for k in range(5)]
+    assert {r["cell_idx"]: (r["batch"], r["cell"]) for r in cells.collect()} == {k: (LABELS[k], f"c{k}") for k in range(7)}
+
+
+def test_columns_of_cells_and_missing_parts(spark, stored):
+    counts, _, cells = h5ad.read_h5ad(spark, stored, opener=h5.load, obs=True)
+    assert cells.columns == ["batch", "cell_idx", "cell", "sample", "obs_cell", "depth"]
+    assert [tuple(r) for r in cells.orderBy("cell_idx").collect()][2] == ("all", 2, "c2", "s2", "2", None)
+    assert {r["batch"] for r in counts.collect()} == {"all"}
+    for bad in ({"batch_key": "none"}, {"layer": "none"}):
+        with pytest.raises(KeyError):
+            h5ad.read_h5ad(spark, stored, opener=h5.load, **bad)
+
+
+def test_a_range_reads_its_own_entries(matrix):
+    node = h5.compressed(matrix, False)
+    row, other, value = h5ad.entries(node, 1, 3, 5)
+    assert node["data"].read == node["indices"].read == np.count_nonzero(matrix[1:3]) and node["indptr"].read == 3
+    assert set(zip(row, other, value)) == {(r, g, matrix[r, g]) for r in (1, 2) for g in range(5) if matrix[r, g]}
+
+
+def test_an_empty_matrix(spark, tmp_path):
+    path = h5.save(h5.container(h5.Array(np.zeros((0, 4))), {}, [], list("abcd"), {"s": h5.categorical([])}), tmp_path / "e.h5ad")
+    counts, genes, cells = h5ad.read_h5ad(spark, path, "s", opener=h5.load)
+    assert (counts.count(), genes.count(), cells.count()) == (0, 4, 0)
+
+
+def test_facts_observed_in_the_writing_pass(spark):
+    df = spark.range(1000, numPartitions=7)
+    done, seen = observed(df, "facts", n=F.count("*"), low=F.min("id"), odd=F.count_if(F.col("id") % 2 == 1), first=F.min(F.when(F.col("id") > 5, F.struct("id"))))
+    assert done.count() == 1000 and (seen["n"], seen["low"], seen["odd"], seen["first"]["id"]) == (1000, 0, 500, 6)
+    _, none = observed(df.where("id < 0"), "facts", n=F.count("*"), low=F.min("id"))
+    assert not none.get("n") and none.get("low") is None
+
+
+@pytest.fixture(scope="module")
+def result(spark):
+    a, b, c = planted(spark), planted(spark, "s2", 3, 2, offset=500), planted(spark, "s3", 6, 6, offset=900, seed=9)
+    cells = a.cells.union(b.cells).union(c.cells).withColumn("donor", F.concat(F.lit("d"), "batch"))
+    both = pipeline.Tables(a.counts.union(b.counts).union(c.counts), a.genes, cells, a.annotation, a.bins)
+    return pipeline.run_batches(both, Config(mc=100, min_breaks=5, ks_cut=0.3), min_cells_per_batch=10)
+
+
+def test_container_of_a_cohort(spark, result, tmp_path):
+    n_bins = result.bins.where("chrom <> 24").count()
+    for dtype, kind in (("float64", "double"), ("float32", "float")):  # the second one goes over the first
+        made = cohort.write_cohort(result, str(tmp_path / "c"), cna_dtype=dtype, prefix="x_")
+        back = cohort.read_cohort(spark, str(tmp_path / "c"))
+        assert back.summary == made == {"batch_column": "x_batch", "n_cells": 137, "n_called": 120, "n_profiles": 120, "n_places": n_bins}
+        assert back.cna.schema["cna"].dataType.elementType.simpleString() == kind
+    assert set(back.obs.columns) == {"cell_idx", "cell", "donor", "x_pred", "x_batch", "x_warnings"}
+    rows = {r["cell_idx"]: r for r in back.matrix().collect()}
+    assert len(rows) == 137 and {r["donor"] for r in rows.values()} == {"ds1", "ds2", "ds3"}
+    assert {r["x_pred"] for k, r in rows.items() if k >= 500} == {"not.defined"} and all(math.isnan(x) for r in rows.values() if r["cell_idx"] >= 500 for x in r["cna"])
+    want = {(r["cell_idx"], r["place"]): r["x"] for r in result.cna.collect()}
+    assert all(abs(x - want[k, p]) < 1e-5 for k, r in rows.items() if k < 500 for p, x in enumerate(r["cna"])) and len(want) == 120 * n_bins
+    assert all(len(r["cna"]) == n_bins for r in rows.values())
+    assert {r["x_warnings"] for k, r in rows.items() if k < 500} == {"low data quality"} and {r["x_warnings"] for k, r in rows.items() if k >= 500} == {""}
+    assert [tuple(r) for r in back.bins.orderBy("place").collect()] == [tuple(r) for r in result.places.orderBy("place").collect()]
+
+
+def test_samples_of_a_container(spark, result, tmp_path):
+    made = cohort.write_cohort(result, str(tmp_path / "c"))
+    cohort.write_cohort(result, str(tmp_path / "c"), cna_storage="none")
+    back = cohort.read_cohort(spark, str(tmp_path / "c"))
+    assert back.cna is None and back.bins is None and back.summary == made | {"n_profiles": 0, "n_places": 0}
+    with pytest.raises(ValueError):
+        back.matrix()
+    meta = {r["batch"]: r for r in back.per_batch.collect()}
+    assert {k: (r["status"], r["n_cells_in"], r["n_cells_out"]) for k, r in meta.items()} == {"s1": ("ok", 120, 120), "s2": ("skipped_too_small", 5, None), "s3": ("error", 12, None)}
+    assert meta["s2"]["reason"] == "5 cells are fewer than 10" and meta["s2"]["error"] is None and meta["s3"]["error"] and meta["s3"]["reason"] is None
+    assert meta["s1"]["warnings"] == ["low data quality"]
+
+
+def test_containers_that_are_refused(spark, tmp_path):
+    cells = spark.createDataFrame([("s", 0, "a"), (None, 1, "b")], "batch string, cell_idx int, cell string")
+    meta = spark.createDataFrame([("s", 1, 1, "ok", None, None, ["w", "v"])], "batch string, n_cells long, n_cells_out long, status string, note string, seconds double, warnings array<string>")
+    places = spark.createDataFrame([(0, 1), (1, 1)], "place int, chrom int")
+    bare = SimpleNamespace(cells=cells, meta=meta, places=places, called=spark.createDataFrame([("s", 0, "diploid")], "batch string, cell_idx int, prediction string"),
+                           profiles=spark.createDataFrame([("s", 0, [1.0])], "batch string, cell_idx int, cna array<double>"))
+    for bad in ({"cna_storage": "x"}, {"cna_dtype": "int8"}):
+        with pytest.raises(ValueError):
+            cohort.write_cohort(bare, str(tmp_path / "r"), **bad)
+    with pytest.raises(ValueError, match="1 to 1 places, the bins 2"):
+        cohort.write_cohort(bare, str(tmp_path / "r"))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):  # not whole
+        cohort.read_cohort(spark, str(tmp_path / "r"))
+    bare.places = places.withColumn("batch", F.lit("s"))
+    with pytest.raises(ValueError, match="no common places"):
+        cohort.write_cohort(bare, str(tmp_path / "r"))
+    cohort.write_cohort(bare, str(tmp_path / "r"), "none")
+    got = cohort.read_cohort(spark, str(tmp_path / "r")).obs.orderBy("cell_idx").collect()
+    assert [(r["batch"], r["pred"], r["warnings"]) for r in got] == [("s", "diploid", "w, v"), ("None", "not.defined", "")]
+    bare.profiles, bare.called, bare.cells, bare.places = (x.where("false") for x in (bare.profiles, bare.called, cells, places))
+    assert cohort.write_cohort(bare, str(tmp_path / "none"))["n_cells"] == 0
+
+
+def test_command_for_annotated_matrices(spark, monkeypatch, tmp_path):
+    args = cli.parser().parse_args(["run-h5ad", "--adata", "a.h5ad", "--batch-key", "sample", "--output", "o", "--reference", "r", "--cna-storage", "none"])
+    assert (args.layer, args.cna_storage, args.min_cells_per_batch, args.on_error) == (None, "none", 100, "skip")
+    with pytest.raises(SystemExit):
+        cli.parser().parse_args(["run-h5ad", "--adata", "a.h5ad", "--output", "o", "--reference", "r"])
+
+
+def test_an_annotated_matrix_through_the_run(spark, tmp_path):
+    t = planted(spark)
+    x = np.zeros((120, 3000))
+    for r in t.counts.collect():
+        x[r["cell_idx"], r["gene_idx"]] = r["umi"]
+    names = {r["cell_idx"]: r["cell"] for r in t.cells.collect()}
+    path = h5.save(h5.container(h5.compressed(x, False), {}, [names[k] for k in range(120)], [f"G{k}" for k in range(3000)], {"sample": h5.categorical(["s1"] * 120)}), tmp_path / "p.h5ad")
+    cfg = Config(mc=100, min_breaks=5, ks_cut=0.3)
+    got = pipeline.run_batches(pipeline.Tables(*h5ad.read_h5ad(spark, path, "sample", opener=h5.load), t.annotation, t.bins), cfg)
+    want = pipeline.run_batches(t, cfg)
+    assert {tuple(r) for r in got.prediction.select("cell", "prediction").collect()} == {tuple(r) for r in want.prediction.select("cell", "prediction").collect()}
