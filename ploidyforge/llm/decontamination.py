@@ -6,14 +6,17 @@ them. Each partition keeps for its items a bottom-k MinHash sketch of just that
 without any sketch value can be no match, and no match is missed at any document length. Documents with
 fewer shingles than an item's need can't hold it.
 
-One pass over the documents finds those that may have a sketch value: a filter of fixed size tells, however large
-the benchmark is. Their values are joined with the sketches, and the candidates are verified on exact shingles.
+A pass over the documents finds those that may have a sketch value: a filter tells, whose size follows from the number of
+values and which one document in thousands passes for nothing. A benchmark with more values than the largest filter takes
+is gone through in rounds of items, each with a pass of its own. The values found are joined with the sketches, and the
+candidates are verified on exact shingles, a document with a block of items at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,13 @@ from .token_store import mixed
 
 SHINGLE, THRESHOLD = 5, 0.8
 WORDS = r"[\p{L}\p{N}]+"
-#: log2 of the bits of the filter of sketch values: 8 MB, whatever the benchmark. Two bits stand for a value.
-FILTER_BITS = 26
+#: log2 of the bits of the largest filter of sketch values: 8 MB. PROBES bits stand for a value, of VALUE_BITS there are for it:
+#: of values that are no sketch's, some 10 in a billion pass.
+FILTER_BITS, VALUE_BITS, PROBES = 26, 128, 6
+#: Sketch values in a round: as many as the largest filter takes.
+ROUND_VALUES = 1 << 19
+#: Bytes of item texts in a block: what a document is verified against at a time.
+BLOCK_BYTES = 1 << 20
 SALTS = 16
 FOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,26 +103,30 @@ def sketches(items: DataFrame, threshold: float, size: int) -> DataFrame:
     return map_arrow(items.select("item", "item2", "text"), run, "value long, length int, need long, item long, item2 long")
 
 
-def filter_bits(found: DataFrame) -> np.ndarray:
-    """The filter: a bit array in which two bits of each value are set. Spark collects whole words of it."""
-    low = F.col("value").bitwiseAND((1 << FILTER_BITS) - 1)
-    high = F.shiftrightunsigned("value", 64 - FILTER_BITS)
-    bits = found.select(F.explode(F.array(low, high)).alias("bit"))
+def filter_bits(found: DataFrame, size: int) -> np.ndarray:
+    """The filter: an array of 2**size bits in which PROBES bits of each value are set. Spark collects whole words of it."""
+    low, high = F.col("value").bitwiseAND((1 << 32) - 1), F.shiftrightunsigned("value", 32).bitwiseOR(1)
+    bits = found.select(F.explode(F.array(*[(low + high * k).bitwiseAND((1 << size) - 1) for k in range(PROBES)])).alias("bit"))
     rows = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out = np.zeros(1 << (size - 6), np.int64)
     out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
     return out.view(np.uint8)
 
 
-def passing(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The distinct values whose bits are set."""
-    size = len(bits).bit_length() + 2  # log2 of the number of bits
+def filter_size(n_values: int) -> int:
+    """log2 of the bits of a filter of n_values."""
+    return max(6, min(FILTER_BITS, (n_values * VALUE_BITS).bit_length()))
 
-    def has(at):
-        return bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1
 
-    some = values[has(values & np.uint64((1 << size) - 1)).astype(bool)]
-    return np.unique(some[has(some >> np.uint64(64 - size)).astype(bool)])
+def passing(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The distinct values whose bits are set."""
+    mask = np.uint64(len(bits) * 8 - 1)
+    for k in range(PROBES):
+        at = (values & np.uint64(0xFFFFFFFF)) + ((values >> np.uint64(32)) | np.uint64(1)) * np.uint64(k) & mask
+        values = values[(bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+        if not values.size:
+            break
+    return np.unique(values)
 
 
 def exact_matches(text: str, items: list[tuple], threshold: float, size: int) -> list[tuple]:
@@ -142,14 +154,26 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     n_shared / n_shingles >= threshold. Null or wordless texts and items match nothing; repeated rows match
     each; null ids stay null; empty tables give no rows; other columns are ignored.
 
-    The documents are read once. What is broadcast is the filter, of a fixed size; the sketches and items are joined,
-    by value and item, with salts, so that a passage that a great many documents hold is dealt out.
+    The documents are read once for each ROUND_VALUES sketch values of the benchmark. What is broadcast is the
+    filter, of 8 MB at most; the sketches and items are joined, by value and item, with salts, so that a passage that a great
+    many documents hold is dealt out. A document's candidates are verified in blocks of items, so no row gathers more than
+    about BLOCK_BYTES of their texts, however many a document has.
     """
-    spark = docs.sparkSession
     items = staged(distinct_items(benchmark), "items")
     found = staged(sketches(items, threshold, size), "sketches")
+    n_values = found.count()
+    n_bytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rounds, blocks = max(1, -(-n_values // ROUND_VALUES)), max(1, -(-n_bytes // BLOCK_BYTES))
+    turn = F.pmod("item", F.lit(rounds))
+    parts = [_round(docs, items.where(turn == k), found.where(turn == k), filter_size(n_values), blocks, threshold, size) for k in range(rounds)]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _round(docs: DataFrame, items: DataFrame, found: DataFrame, bits: int, blocks: int, threshold: float, size: int) -> DataFrame:
+    """contained_items of the given items, whose sketches fit one filter; block of an item by its second hash."""
+    spark = docs.sparkSession
     lengths = {r["length"]: r["need"] for r in found.groupBy("length").agg(F.min("need").alias("need")).collect()}  # size rows at most
-    shipped = spark.sparkContext.broadcast((filter_bits(found), lengths))
+    shipped = spark.sparkContext.broadcast((filter_bits(found, bits), lengths))
 
     def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, lengths = shipped.value
@@ -177,7 +201,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     hits = one.select("doc", "doc2", salt.alias("salt"), F.explode("hits").alias("value"))
     pairs = staged(hits.join(found.select("value", "item", "item2", salts), ["value", "salt"]).select("doc", "doc2", "salt", "item", "item2").distinct(), "pairs")
     held_items = items.select("item", "item2", F.struct("item_id", "text", "times").alias("x"), salts)
-    listed = pairs.join(held_items, ["item", "item2", "salt"]).groupBy("doc", "doc2").agg(F.collect_list("x").alias("items"))
+    listed = pairs.join(held_items, ["item", "item2", "salt"]).groupBy("doc", "doc2", F.pmod("item2", F.lit(blocks)).alias("block")).agg(F.collect_list("x").alias("items"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -166,6 +166,29 @@ def test_contained_items_of_nothing(spark):
     assert decontamination.contained_items(documents(spark), bench.where("item_id < 0")).count() == 0
 
 
+def test_rounds_and_blocks_of_items(spark, monkeypatch):
+    """Many small filters and blocks of items find what one filter and one block do, each match once."""
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(3 + 3 * k))) for k in range(12)]
+    docs = [(1, " ".join(t for _, t in items), "en", "s", 1), (2, items[4][1] + " " + items[9][1], "en", "s", 1), (3, "nothing of it", "en", "s", 1)]
+    df = documents(spark, rows=docs + docs[1:2])
+    monkeypatch.setattr(decontamination, "ROUND_VALUES", 20)
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 100)
+    got = decontamination.contained_items(df, spark.createDataFrame(items, "item_id long, text string"))
+    want = plain_matches([(d[0], d[1]) for d in docs + docs[1:2]], items)
+    assert sorted(tuple(r) for r in got.select("doc_id", "item_id", "n_shingles", "n_shared").collect()) == want and len(want) == 16
+
+
+def test_the_filter_has_all_values_and_hardly_any_other(spark):
+    rnd = np.random.default_rng(2)
+    values = rnd.integers(0, 1 << 64, 20_000, np.uint64)
+    found = spark.createDataFrame([(v,) for v in values.view(np.int64).tolist()], "value long")
+    size = decontamination.filter_size(len(values))
+    assert size == 22 and decontamination.filter_size(10**9) == 26 and decontamination.filter_size(0) == 6
+    bits = decontamination.filter_bits(found, size)
+    assert set(decontamination.passing(bits, values)) == set(values)
+    assert len(decontamination.passing(bits, rnd.integers(0, 1 << 64, 3_000_000, np.uint64))) < 5
+
+
 def colliding_lines():
     """Two lines of 64 characters with one XXH64 at seed 42: in a lane, a second word makes up for a change of the first."""
     mask, p1, p2 = (1 << 64) - 1, 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F
