@@ -69,17 +69,9 @@ class Ftrl:
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA * w
         self.n[at] = n + g * g
 
-
-def train(rows: list[tuple[np.ndarray, int]]) -> np.ndarray:
-    """Weights from (places, label) in the given order."""
-    model, docs = Ftrl(), []
-    for places, y in rows:
-        at, times = np.unique(places, return_counts=True)
-        docs.append((np.append(at, 1 << BITS).astype(np.int64), np.append(times * (SCALE / max(1, len(places))), 1.0), y))
-    for _ in range(EPOCHS):
-        for at, x, y in docs:
-            model.learn(at, x, y)
-    return model.weights(slice(None))
+    def see(self, at: np.ndarray, times: np.ndarray, y: int) -> None:
+        """One step on a document whose distinct places at occur times each."""
+        self.learn(np.append(at, 1 << BITS).astype(np.int64), np.append(times * (SCALE / max(1, int(times.sum()))), 1.0), y)
 
 
 def score(weights: np.ndarray, text: str) -> float:
@@ -89,7 +81,8 @@ def score(weights: np.ndarray, text: str) -> float:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """turn, text_hash, y, places (packed) of the labelled texts that train the model, train_docs rows at most.
+    """turn, text_hash, y, places and times (distinct places and how often each occurs, packed) of the labelled texts that
+    train the model, train_docs rows at most; a row has 2^BITS places at most, however long its text is.
 
     Distinct (doc_id, text) pairs are ranked by hash of the id, then of the text, on narrow columns; the texts of the
     chosen ones only are read again for their features."""
@@ -103,10 +96,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DO
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([features(t).astype("<u4").tobytes() for t in texts_of(batch.column(3))], pa.binary())], ["turn", "text_hash", "y", "places"])
+            found = [np.unique(features(t), return_counts=True) for t in texts_of(batch.column(3))]
+            packed = [pa.array([x[k].astype("<u4").tobytes() for x in found], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *packed], ["turn", "text_hash", "y", "places", "times"])
 
     texts = known.join(chosen, ["doc_id", "text_hash"], "left_semi").select("turn", "text_hash", "y", "text")
-    return staged(map_arrow(texts, places, "turn long, text_hash long, y int, places binary").dropDuplicates(["turn", "text_hash"]), "features")
+    return staged(map_arrow(texts, places, "turn long, text_hash long, y int, places binary, times binary").dropDuplicates(["turn", "text_hash"]), "features")
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> np.ndarray:
@@ -114,17 +109,29 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> np.
 
     Labels other than 0 and 1 are ignored, as are ids with labels of both kinds and null ids; a repeated doc_id
     trains with each of its texts, a repeated row once; a null text is one without features. Without any label, or
-    on an empty table, all weights are 0. The features (not the texts) of the chosen rows, whose number is bounded,
-    meet in one task, which learns in an order set by hashes of id and text.
+    on an empty table, all weights are 0. An epoch is one task, since a step follows from the one before: it reads the
+    features (not the texts) of the chosen rows, whose number is bounded, in an order set by hashes of id and text, and
+    holds one batch of them beside the model; Spark sorts, and spills if need be. The driver has the model only, from
+    which the next epoch starts.
     """
-    featured = training_rows(docs, labels, train_docs)
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
-        yield pa.RecordBatch.from_arrays([pa.array([train([(np.frombuffer(p, "<u4"), y) for _, _, y, p in rows]).astype("<f8").tobytes()], pa.binary())], ["weights"])
-
-    made = map_arrow(featured.coalesce(1), learn, "weights binary").collect()
-    return np.frombuffer(made[0][0], "<f8") if made else np.zeros((1 << BITS) + 1)
+    featured = training_rows(docs, labels, train_docs).coalesce(1).sortWithinPartitions("turn", "text_hash")
+    model = Ftrl()
+    for _ in range(EPOCHS):
+        shipped = docs.sparkSession.sparkContext.broadcast((model.z, model.n))
+
+        def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = Ftrl()
+            model.z, model.n = (x.copy() for x in shipped.value)
+            for batch in batches:
+                for y, at, times in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+                    model.see(np.frombuffer(at, "<u4"), np.frombuffer(times, "<u4"), y)
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f8").tobytes()], pa.binary()) for x in (model.z, model.n)], ["z", "n"])
+
+        made = map_arrow(featured, learn, "z binary, n binary").collect()
+        if not made:
+            break
+        model.z, model.n = (np.frombuffer(x, "<f8") for x in made[0])
+    return model.weights(slice(None))
 
 
 def classify(docs: DataFrame, weights: np.ndarray, accept: float = ACCEPT) -> DataFrame:

@@ -156,6 +156,20 @@ def test_training_rows_are_bounded(spark):
     assert quality_classifier.training_rows(many, labels, 12).count() == 12
 
 
+def test_training_streams_rows_of_bounded_size(spark):
+    docs = documents(spark, rows=[(k, text, "en", "s", 0) for k, text in [(0, "one two " * 200_000), (1, " ".join(f"w{k}" for k in range(300_000))), (2, None)]] + [(k, f"short text {k} of its own", "en", "s", 0) for k in range(3, 400)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, quality int")
+    rows = quality_classifier.training_rows(docs, labels).collect()
+    assert max(len(r["places"]) for r in rows) <= 4 << quality_classifier.BITS and all(len(r["places"]) == len(r["times"]) for r in rows)
+    weights = quality_classifier.fit(docs, labels)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert (quality_classifier.fit(docs.repartition(5, "text"), labels) == weights).all()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_classifier_odd_rows(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([(0, 1), (3, 1), (6, 0), (6, 1), (9, None), (None, 0), (45, 0), (45, 0), (3000, 1)], "doc_id long, quality int")
