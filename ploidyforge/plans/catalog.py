@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exact, stats
-from ..functions.rstream import RStream, scramble
-from ..operators import calls, clusters, dendrogram, profiles, qc, segments, selection, trees, windows
+from ..operators import calls, clusters, dendrogram, draws, profiles, qc, segments, selection, trees, windows
 from ..operators.ranks import ranked, ranked_within
 from . import fixtures as fx
 
@@ -309,19 +308,22 @@ def q_gmm_baseline(spark, d):
 
 # --- random stream
 
-@query("with recursive s as (select 1 as step, ((69069::ubigint * 1234 + 1) % 4294967296)::bigint as word union all select step + 1, ((69069::hugeint * word + 1) % 4294967296)::bigint from s where step < 50) select step, word from s")
-def q_lcg_scramble(spark, d):
-    return spark.createDataFrame([(k + 1, w) for k, w in enumerate(scramble(1234))], "step int, word long")
+def _seeds(spark, d, table="customer", key="c_custkey"):
+    return fx.read(spark, d, table).select(F.col(key).alias("seed"))
+
+
+#: lcg (seed, k, w): words of the seeding generator for each customer's key, step by step.
+LCG = """lcg as (select c_custkey as seed, 0 as k, ((69069::hugeint * c_custkey + 1) % 4294967296)::bigint as w from customer
+union all select seed, k + 1, ((69069::hugeint * w + 1) % 4294967296)::bigint from lcg where k < {0})"""
 
 
-def _uniforms_sql(seed: int, n: int) -> str:
-    """u (k, u): the first n uniforms after a seed, by the recurrence of the generator over its last 624 words."""
-    return f"""lcg as (select 0 as k, ((69069::hugeint * {seed} + 1) % 4294967296)::bigint as w union all select k + 1, ((69069::hugeint * w + 1) % 4294967296)::bigint from lcg where k < 674),
-words as (select list(w order by k) as st from lcg where k >= 51),
-mt as (select 0 as k, st, 0::bigint as y from words union all
-  select k + 1, list_append(st[2:], x), x from (select k, st, xor(st[398], xor(((st[1] & 2147483648) | (st[2] & 2147483647)) >> 1, (st[2] & 1) * 2567483615)) as x from mt where k < {n})),
-t1 as (select k, xor(y, y >> 11) as y from mt where k > 0), t2 as (select k, xor(y, (y << 7) & 2636928640) as y from t1), t3 as (select k, xor(y, (y << 15) & 4022730752) as y from t2),
-u as (select k, greatest(0.5::double * 2.3283064365386963e-10::double, least(1 - 0.5::double * 2.3283064365386963e-10::double, xor(y, y >> 18)::double * 2.3283064365386963e-10::double)) as u from t3)"""
+def _uniforms_sql(n: int) -> str:
+    """u (seed, k, u): the first n uniforms of each seed, by the recurrence of the generator over the seeded words."""
+    return f"""{LCG.format(51 + 397 + n)}, st as (select seed, k - 51 as k, w from lcg where k >= 51),
+raw as (select a.seed, a.k + 1 as k, xor(c.w, xor(((a.w & 2147483648) | (b.w & 2147483647)) >> 1, (b.w & 1) * 2567483615)) as y
+  from st a join st b on b.seed = a.seed and b.k = a.k + 1 join st c on c.seed = a.seed and c.k = a.k + 397 where a.k < {n}),
+t1 as (select seed, k, xor(y, y >> 11) as y from raw), t2 as (select seed, k, xor(y, (y << 7) & 2636928640) as y from t1), t3 as (select seed, k, xor(y, (y << 15) & 4022730752) as y from t2),
+u as (select seed, k, greatest(0.5::double * 2.3283064365386963e-10::double, least(1 - 0.5::double * 2.3283064365386963e-10::double, xor(y, y >> 18)::double * 2.3283064365386963e-10::double)) as u from t3)"""
 
 
 def _ratio_sql(table: tuple, x: str) -> str:
@@ -335,22 +337,32 @@ def _ratio_sql(table: tuple, x: str) -> str:
     return f"{poly(table[0])} / {poly(table[1])}"
 
 
-@query(f"with recursive {_uniforms_sql(1234, 1000)} select k::int as k, round(u, 12) as u from u")
+@query(f"with recursive {LCG.format(49)} select seed, (k + 1)::int as step, w as word from lcg")
+def q_lcg_scramble(spark, d):
+    """The 50 words that each customer's key gives as a seed."""
+    return draws.words(_seeds(spark, d), 50).select("seed", F.col("k").alias("step"), "word")
+
+
+@query(f"with recursive {_uniforms_sql(20)} select seed, k::int as k, round(u, 12) as u from u")
 def q_rstream_head(spark, d):
-    return spark.createDataFrame([(k + 1, float(u)) for k, u in enumerate(RStream(1234).uniforms(1000))], "k int, u double").select("k", F.round("u", 12).alias("u"))
+    """The first 20 uniforms of the stream of each customer's key."""
+    return draws.uniforms(_seeds(spark, d), 20).select("seed", "k", F.round("u", 12).alias("u"))
 
 
-@query(f"""with recursive {_uniforms_sql(123, 2000)}, p as (select (a.k + 1) // 2 as k, (floor(134217728 * a.u) + b.u) / 134217728 as p from u a join u b on b.k = a.k + 1 where a.k % 2 = 1),
-q as (select k, p - 0.5 as q, sqrt(-ln(least(p, 1 - p))) as r from p)
-select k::int as k, round(case when abs(q) <= 0.425 then q * {_ratio_sql(stats.AS241_CENTRE, '0.180625 - q * q')} else sign(q) * (case when r <= 5 then {_ratio_sql(stats.AS241_NEAR, 'r - 1.6')} else {_ratio_sql(stats.AS241_FAR, 'r - 5.0')} end) end, 9) as z from q""")
+@query(f"""with recursive {_uniforms_sql(20)}, p as (select a.seed, (a.k + 1) // 2 as k, (floor(134217728 * a.u) + b.u) / 134217728 as p from u a join u b on b.seed = a.seed and b.k = a.k + 1 where a.k % 2 = 1),
+q as (select seed, k, p - 0.5 as q, sqrt(-ln(least(p, 1 - p))) as r from p)
+select seed, k::int as k, round(case when abs(q) <= 0.425 then q * {_ratio_sql(stats.AS241_CENTRE, '0.180625 - q * q')} else sign(q) * (case when r <= 5 then {_ratio_sql(stats.AS241_NEAR, 'r - 1.6')} else {_ratio_sql(stats.AS241_FAR, 'r - 5.0')} end) end, 9) as z from q""")
 def q_rnorm_head(spark, d):
-    return spark.createDataFrame([(k + 1, float(u)) for k, u in enumerate(RStream(123).normals(1000))], "k int, z double").select("k", F.round("z", 9).alias("z"))
+    """The first 10 normal draws of the stream of each customer's key."""
+    return draws.normals(_seeds(spark, d), 10).select("seed", "k", F.round("z", 9).alias("z"))
 
 
 @query()
 def q_gamma_calls(spark, d):
-    shapes = [(0.5 + 7.3 * k, 1.0 + k % 9) for k in range(50)]
-    return spark.createDataFrame([(s, r, float(m)) for (s, r), m in zip(shapes, RStream(1234).gamma_means(1000, shapes))], "shape double, rate double, mean double")
+    """Means of 1,000 gamma draws for each supplier's mean quantity by line number, from the stream of the supplier's key."""
+    shape = fx.read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("seed"), "l_linenumber").agg(F.avg("l_quantity").alias("shape"))
+    rows = shape.groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "shape"))).alias("x"))
+    return draws.gamma_means(rows.select("seed", F.col("x.shape").alias("shapes")), 1000)
 
 
 # --- windows, segments, bins
