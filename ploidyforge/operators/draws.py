@@ -116,11 +116,14 @@ def normals(seeds: DataFrame, n: int) -> DataFrame:
 
 def gamma_means(rows: DataFrame, n: int) -> DataFrame:
     """seed, means (an array): for each row (seed, shapes), means of n draws of each shape and rate 1 in order, from the
-    stream of the row's seed. Rows are bounded by their shapes, and one is drawn at a time. A null seed or shapes gives null
-    means, no shapes none; shapes must be above 0."""
+    stream of the row's seed. Rows are dealt out evenly whatever their bytes, since the draws are the work, and one is drawn at
+    a time. A null seed or shapes gives null means, no shapes none; shapes must be above 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             means = [None if s is None or shapes is None else RStream(s).gamma_means(n, [(x, 1.0) for x in shapes]).tolist() for s, shapes in zip(*(c.to_pylist() for c in batch.columns))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(means, pa.list_(pa.float64()))], ["seed", "means"])
 
-    return rows.select(F.col("seed").cast("long").alias("seed"), F.col("shapes").cast("array<double>").alias("shapes")).mapInArrow(run, "seed long, means array<double>")
+    spark = rows.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.select(F.col("seed").cast("long").alias("seed"), F.col("shapes").cast("array<double>").alias("shapes")).repartition(parts)
+    return dealt.mapInArrow(run, "seed long, means array<double>")
