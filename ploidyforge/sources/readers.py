@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import settled
+from . import npz
 from .h5ad import read_h5ad  # noqa: F401 - one of the readers
 
 
@@ -82,14 +83,9 @@ def read_mtx(spark: SparkSession, matrix: str, genes: str, cells: str, batch: st
 
 
 def read_npz(spark: SparkSession, path: str, batch: str = "all") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Compressed columns (data, indices, indptr, shape) with genes and cells; read by the driver."""
-    import numpy as np
-    import pandas as pd
-
-    with np.load(path, allow_pickle=False) as z:
-        cell = np.repeat(np.arange(len(z["indptr"]) - 1), np.diff(z["indptr"]))
-        counts = spark.createDataFrame(pd.DataFrame({"gene_idx": z["indices"].astype("int32"), "cell_idx": cell.astype("int32"), "umi": z["data"].astype(float)}))
-        return from_triplets(counts, batch), axis(spark, z["genes"], "gene"), axis(spark, z["cells"], "cell", batch)
+    """Compressed columns (data, indices, indptr) with genes and cells, read by tasks; the driver sees the directory only."""
+    counts, genes, cells = npz.triplets(spark, path), npz.names(spark, path, "genes", "gene"), npz.names(spark, path, "cells", "cell")
+    return from_triplets(counts, batch), genes, cells.select(F.lit(batch).alias("batch"), "cell_idx", "cell")
 
 
 def read_labelled(spark: SparkSession, path: str, batch: str = "all") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
