@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import statistics
 from fractions import Fraction
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pytest
@@ -120,6 +122,20 @@ def test_breaks_equal_a_plain_loop_for_any_partitioning(spark):
     assert seen[0] == seen[1] and len(seen[0]) == 4 * len(segments.window_pairs(300))
 
 
+def test_window_sums_hold_no_profile_beside_a_window(spark):
+    sizes = spark.createDataFrame([("s1", 300), ("s2", 300)], "batch string, n long")
+    profiles, rows = sample(spark, 3)
+    sums = windows.window_sums(profiles, windows.grid(sizes))
+    got = {(r["batch"], r["cluster"], r["middle"]): (r["left"], r["n_left"], r["right"], r["n_right"]) for r in sums.collect()}
+    for b, c, v in rows:
+        for first, middle, last in segments.window_pairs(300):
+            assert got[b, c, middle] == (reduce(add, v[first - 1:middle], 0.0), middle - first + 1, reduce(add, v[middle:last], 0.0), last - middle)
+    # a row of the join of profiles and windows has one place of a profile, not its array
+    plan = sums._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join" in line)
+    assert "place#" in join and "slice(" not in plan
+
+
 def plain_breaks(spark, rows, cut, least):
     names = {(r["b"], r["c"], r["w"]): r["h"] for r in spark.createDataFrame([(b, c, w) for b, c, _ in rows for w in range(len(segments.window_pairs(300)))], "b string, c int, w int").withColumn("h", F.xxhash64("b", "c", "w")).collect()}
     for share in (1.0, 0.5, 0.25):
