@@ -46,6 +46,28 @@ def test_bin_medians_of_large_groups(spark, monkeypatch):
     assert sorted(tuple(r) for r in segments.bin_medians(long, members).collect()) == want
 
 
+def test_genes_meet_only_bins_near_them(spark):
+    rnd = np.random.default_rng(9)
+    tops = {c: np.cumsum(np.concatenate([rnd.integers(1, 40, 60), [3000], rnd.integers(0, 3, 40)])).tolist() for c in (1, 2, 23)}
+    bins = [(k, c, top) for k, (c, top) in enumerate((c, top) for c, own in tops.items() for top in own)]
+    genes = [(k, (1, 2, 23, 25)[k % 4], int(a), int(a + w)) for k, (a, w) in enumerate(zip(rnd.integers(0, 4500, 800), rnd.integers(0, 30, 800)))] + [(900, 1, bins[3][2], bins[3][2]), (901, 1, 0, 0), (902, 1, None, 4), (903, None, 1, 4)]
+    edges = segments.bin_edges(spark.createDataFrame(bins, "bin_idx int, chrom int, chrompos int"))
+    found = segments.genes_in_bins(spark.createDataFrame(genes, "gene_idx int, chrom int, start int, end int"), edges)
+    want = {(b["bin_idx"], g) for b in edges.collect() for g, c, start, end in genes if start is not None and c == b["chrom"] and b["low"] <= (start + end) / 2 <= b["high"]}
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want) and len(want) > 400
+    # the rows that the range is tested on are those of one stretch
+    assert "_own" in next(line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line and "_stretch" in line)
+
+
+def test_nearest_bins_without_a_frame_to_the_end(spark):
+    edges = spark.createDataFrame([(k,) for k in range(40)], "bin_idx int")
+    members = spark.createDataFrame([(k, 1) for k in (3, 4, 11, 30)], "bin_idx int, gene_idx int")
+    filled = segments.nearest_filled(edges, members)
+    assert {r["bin_idx"]: r["source"] for r in filled.collect()} == {k: min((3, 4, 11, 30), key=lambda h: (abs(h - k), h)) for k in range(40)}
+    assert "unboundedfollowing" not in filled._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert {r["source"] for r in segments.nearest_filled(edges, members.where("bin_idx < 0")).collect()} == {None}
+
+
 # --- exact sums
 
 def plain_stats(x):
