@@ -125,3 +125,30 @@ def test_silhouettes_without_a_pair_table(spark):
     got = {r["batch"]: r["avg(s)"] for r in silhouettes(sums, known).groupBy("batch").avg("s").collect()}
     for name, x in parts.items():
         assert abs(got[name] - silhouette_mean(distance_matrix(x), labels[name])) < 1e-9
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "pearson", "spearman"])
+def test_distances_by_blocks_and_parts(spark, monkeypatch, metric):
+    monkeypatch.setattr(trees, "SIDE", 7)
+    x = planted(50, 13)
+    for block in (16, None):
+        got = trees.distances(profiles(spark, {"s": x}), metric, block).collect()
+        want = distance_matrix(x, metric)
+        assert len(got) == len({(r["a"], r["b"]) for r in got}) == 50 * 49 // 2 and all(r["batch"] == "s" and r["a"] < r["b"] for r in got)
+        assert np.allclose([r["d"] for r in got], [want[r["a"] // 3, r["b"] // 3] for r in got], atol=1e-9)
+
+
+def test_a_cell_goes_to_as_many_tasks_however_many_cells(spark):
+    from pyspark.sql import functions as F
+
+    for n in (9000, 18000):
+        p = spark.range(n).select(F.lit("s").alias("batch"), F.col("id").cast("int").alias("cell_idx"), F.array(F.lit(1.0)).alias("v"))
+        assert trees._tiles(p).count() == 16 * n
+
+
+def test_ranks_are_made_once_a_cell(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+    real = trees.standardised
+    monkeypatch.setattr(trees, "standardised", lambda x, metric: made.add(len(x)) or real(x, metric))
+    assert trees.distances(profiles(spark, {"s": planted(64, 14)}), "spearman", block=8).count() == 64 * 63 // 2
+    assert made.value == 64
