@@ -152,3 +152,15 @@ def test_ranks_are_made_once_a_cell(spark, monkeypatch):
     monkeypatch.setattr(trees, "standardised", lambda x, metric: made.add(len(x)) or real(x, metric))
     assert trees.distances(profiles(spark, {"s": planted(64, 14)}), "spearman", block=8).count() == 64 * 63 // 2
     assert made.value == 64
+
+
+def test_tree_of_many_copies_takes_few_rounds_and_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(trees, "pair_sums", None)
+    rounds, real = [], trees._nearest
+    monkeypatch.setattr(trees, "_nearest", lambda c: rounds.append(1) or real(c))
+    # whole numbers with mean 0: distances of copies are exactly 0 in the full search too
+    x = np.random.default_rng(15).integers(-64, 65, (12, 6)).astype(float)
+    x[2], x[11] = -x[:2].sum(0), -x[3:11].sum(0)
+    every = np.concatenate([x] * 9 + [x[:3]] * 30)
+    check(spark, {"s": every[np.random.default_rng(16).permutation(len(every))]}, "euclidean", True, 5)
+    assert len(rounds) <= 6
