@@ -208,3 +208,21 @@ def test_no_more_cells_are_fitted_than_the_prefix(spark, monkeypatch):
     assert {b: sorted(c) for b, c in got.items()} == {"early": [1, 3, 5, 7, 9], "late": [37, 38, 39, 40, 41]}
     assert sum(f.get("early", 0) for f in fitted) == 16 and sum(f.get("late", 0) for f in fitted) == 64 and sum(f.get("none", 0) for f in fitted) == 30
     assert trees.gmm_diploid(profiles.where("batch = 'x'")).count() == 0
+
+
+# --- smoothing
+
+def test_smoothing_holds_a_slice_of_dense_profiles(spark, monkeypatch):
+    from ploidyforge.operators import profiles
+
+    counts = spark.createDataFrame([("s", c, p, float(1 + (c * p) % 5)) for c in range(40) for p in (c, 50 + c, 99)], "batch string, cell_idx int, pos int, umi double").coalesce(1)
+    want = {r["cell_idx"]: (r["v"], r["seen"]) for r in profiles.smooth_profiles(counts, 100).collect()}
+    real = profiles.kalman_smooth
+
+    def smooth(x, *rest):
+        assert x.nbytes <= 4000, "too many dense rows"
+        return real(x, *rest)
+
+    monkeypatch.setattr(profiles, "SLICE_BYTES", 4000)  # 40 sparse rows are less, 40 dense ones more
+    monkeypatch.setattr(profiles, "kalman_smooth", smooth)
+    assert {r["cell_idx"]: (r["v"], r["seen"]) for r in profiles.smooth_profiles(counts, 100).collect()} == want and len(want) == 40
