@@ -66,6 +66,24 @@ def test_ties_go_as_in_the_full_search(spark):
         assert [(r["a"], r["b"]) for r in mine] == [tuple(p) for p in want.signed().tolist()]
 
 
+def test_cuts_join_pointers_once_and_past_the_driver(spark, monkeypatch):
+    p = profiles(spark, {"one": planted(60, 8), "two": planted(3, 9)})
+    cells, merges = p.select("batch", "cell_idx"), trees.tree(p, limit=16)
+    seen, plain = [], dendrogram.settled
+
+    def spied(df, name):
+        if name == "pointers":
+            seen.append((df.count(), df._jdf.queryExecution().executedPlan().toString()))
+        return plain(df, name)
+
+    monkeypatch.setattr(dendrogram, "settled", spied)
+    monkeypatch.setattr(dendrogram, "with_leaves", lambda cells, found=dendrogram.with_leaves(cells): found)
+    dendrogram.cuts(merges, cells, [2, 3, 4, 5, 6])
+    # no row for each cell and k: the steps of the finest cut, and for each k the few ends above it
+    assert seen and max(n for n, _ in seen) < 63
+    assert not any("BroadcastHashJoin" in plan for _, plan in seen)
+
+
 def test_chosen_cuts(spark):
     x = np.concatenate([planted(25, 5) + 40, planted(25, 6), planted(4, 7) + 90])
     p = profiles(spark, {"s": x})
