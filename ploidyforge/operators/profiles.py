@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import average_ranks, exact_mean
@@ -109,10 +109,17 @@ def consensus(long: DataFrame, *keys: str) -> DataFrame:
     return long.groupBy(*keys, "pos").agg(F.median("x").alias("median"))
 
 
+def gene_spread(long: DataFrame) -> DataFrame:
+    """gene_idx, n, median (exact, interpolating), sd of the values x of each gene. Values are dealt by gene once and sorted
+    there: the median's two middle values are found by place, so no table of values is kept for a gene."""
+    by_gene = Window.partitionBy("gene_idx")
+    placed = long.select("gene_idx", "x").withColumns({"nth": F.row_number().over(by_gene.orderBy("x")), "n": F.count("*").over(by_gene)})
+    middle = (F.col("nth") == F.floor((F.col("n") + 1) / 2)) | (F.col("nth") == F.ceil((F.col("n") + 1) / 2))
+    return placed.groupBy("gene_idx").agg(F.count("*").alias("n"), F.avg(F.when(middle, F.col("x"))).alias("median"), F.stddev_samp("x").alias("sd"))
+
+
 def ranked(long: DataFrame) -> DataFrame:
     """Values by cell replaced by their ranks, ties sharing the mean rank."""
-    from pyspark.sql import Window
-
     order, ties = Window.partitionBy("cell_idx").orderBy("x"), Window.partitionBy("cell_idx", "x")
     return long.withColumn("x", F.rank().over(order) + (F.count("*").over(ties) - 1) / 2.0)
 

@@ -36,11 +36,11 @@ def gene_rates(counts: DataFrame, n_cells: DataFrame | None = None) -> DataFrame
     return found.join(n_cells, "batch").select("batch", "gene_idx", (F.col("n") / F.col("n_cells")).alias("rate"))
 
 
-def common_genes(counts: DataFrame, low_dr: float = 0.05) -> DataFrame:
-    """Genes with a rate above low_dr; all genes of a batch where none is."""
-    rates = gene_rates(counts)
-    some = Window.partitionBy("batch")
-    return rates.withColumn("any", F.max((F.col("rate") > low_dr).cast("int")).over(some)).where((F.col("rate") > low_dr) | (F.col("any") == 0)).drop("any")
+def common_genes(counts: DataFrame, low_dr: float = 0.05, n_cells: DataFrame | None = None) -> DataFrame:
+    """Genes with a rate above low_dr; all genes of a batch where none is. n_cells (batch, n_cells): as for gene_rates."""
+    rates = gene_rates(counts, n_cells)
+    some = rates.groupBy("batch").agg(F.max((F.col("rate") > low_dr).cast("int")).alias("any"))
+    return rates.join(some, "batch").where((F.col("rate") > low_dr) | (F.col("any") == 0)).drop("any")
 
 
 def frequent_genes(counts: DataFrame, up_dr: float = 0.1) -> DataFrame:
