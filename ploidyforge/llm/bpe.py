@@ -377,7 +377,7 @@ class PrefixEncoder:
         self.vocabulary, self.spelled, self.automaton = vocabulary, tokens.spelled, tokens.automaton
         self.pairs, self.chunks = Memo(self._apart, most // 2), Memo(self._chunk, 3 * most // 4)
         self.ending: list[tuple | None] = [None] * len(tokens.automaton.length)
-        self.words, self.jumps, self.sides = Memo(self._word, 3 * most // 4), Memo(self._jump, most // 4), Memo(self._sides, most // 4)
+        self.words, self.jumps, self.sides = Memo(lambda word: self._packed(self._word(word)), 3 * most // 4), Memo(self._jump, most // 4), Memo(self._sides, most // 4)
         self.splitter, self.strings = WordSplitter(vocabulary.special), vocabulary.strings
 
     def _sides(self, token: int) -> tuple[list, list]:
@@ -462,10 +462,19 @@ class PrefixEncoder:
             at -= size[at]
         return ids[::-1]
 
-    def _chunk(self, chunk: str) -> bytes:
-        ids = self.splitter.encode(chunk, self.words.__getitem__)
+    def _packed(self, ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes() if byteorder == "big" else array("I", ids).tobytes()
 
+    def _chunk(self, chunk: str) -> bytes:
+        found = self.splitter.plain(chunk) if self.splitter.quick else None
+        if found:
+            word, signs = found.groups()
+            word = word.lower()
+            packed = self.words[word if word.isascii() else stand_ins(word)]
+            return packed + self.words[signs] if signs else packed
+        words = self.words
+        return self._packed(self.splitter.encode(chunk, lambda word: np.frombuffer(words[word], "<u4").tolist()))
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers. Spaces and line ends never lie inside a word or a special
         string, so the stretches between them are encoded on their own and kept in a table of bounded size."""

@@ -223,3 +223,12 @@ def test_every_prefix_has_its_last_token_stored(word_library):
     for word in ("unbelievably", "internationalisation", "aaaaabab", "straßenbahn"):
         for end in range(1, len(word) + 1):
             assert np.frombuffer(codec.encode(word[:end]), "<u4").tolist() == word_library.encode(word[:end], add_special_tokens=False).ids
+
+
+def test_word_table_holds_packed_ids():
+    vocabulary = bpe.Vocabulary(bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json")))
+    codec = bpe.PrefixEncoder(vocabulary, bpe.ProvenTokens(vocabulary, vocabulary.proven()))
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for text in ("Étude, plain (words) it's 42", "a--b ß... ", ""):
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert codec.words and all(isinstance(x, bytes) for x in codec.words.values())
