@@ -16,6 +16,8 @@ from array import array
 from sys import byteorder, getsizeof
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Fixed patterns of the two public vocabularies.
@@ -287,6 +289,16 @@ class LibraryEncoder:
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+def spread(flat: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of n texts back to back, and where each text's begin and the last one's end. flat has the ids of distinct stretches, sizes of
+    them each; numbers are the stretches of all texts in order, owner the text of each."""
+    given = sizes[numbers]
+    ends = np.cumsum(given)
+    at = np.repeat((np.cumsum(sizes) - sizes)[numbers] - ends + given, given)
+    at += np.arange(at.size)
+    return flat.take(at), np.concatenate([[0], np.cumsum(np.bincount(owner, given, n).astype(np.int64))])
+
+
 class SuffixAutomaton:
     """The suffix automaton of a set of tokens, each a tuple of symbol numbers: its states stand for the substrings of all
     tokens. Read over a text it keeps the longest suffix of what was read that lies in some token; the tokens among
@@ -364,6 +376,165 @@ class ProvenTokens:
         return tuple(numbers)
 
 
+class Hashed:
+    """A fixed map of non-negative 64-bit keys to numbers, looked up for many keys at once: open addressing in numpy."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        at = self.place(keys)
+        left = np.arange(len(keys))
+        while left.size:
+            here = at[left]
+            free = self.keys[here] < 0
+            self.keys[here[free]] = keys[left[free]]  # of several for a place one stays
+            stays = self.keys[here] == keys[left]
+            self.values[here[stays]] = values[left[stays]]
+            left = left[~stays]
+            at[left] = at[left] + 1 & len(self.keys) - 1
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray, none: int = -1) -> np.ndarray:
+        at = self.place(keys)
+        here = self.keys.take(at)
+        out = np.where(here == keys, self.values.take(at), none)
+        left = np.flatnonzero((here != keys) & (here >= 0))
+        while left.size:
+            at[left] = at[left] + 1 & len(self.keys) - 1
+            here = self.keys[at[left]]
+            hit = here == keys[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (here >= 0)]
+        return out
+
+
+class PrefixSteps:
+    """PrefixEncoder's program over many words at once: a step reads one more symbol of every word that has one. States,
+    candidates and pair tests are looked up in arrays; verdicts of pairs are kept in a table of fixed size."""
+
+    KEPT_BITS = 20
+
+    def __init__(self, encoder: PrefixEncoder) -> None:
+        found, vocabulary = encoder.automaton, encoder.vocabulary
+        self.encoder, self.never, self.ids = encoder, len(vocabulary.ranks), vocabulary.ids
+        self.moves = Hashed(np.fromiter(found.moves.keys(), np.int64, len(found.moves)), np.fromiter(found.moves.values(), np.int32, len(found.moves)))
+        self.link, self.length, self.token, self.nearest = (np.array(x, np.int32) for x in (found.link, found.length, found.token, found.nearest))
+        self.first = np.where(self.token >= 0, np.arange(len(self.token), dtype=np.int32), self.nearest)
+        self.first[0] = 0
+        ranks = [(self.ids[a] << 32 | self.ids[b], k) for (a, b), k in vocabulary.ranks.items() if a in self.ids and b in self.ids]
+        self.ranks = Hashed(*np.array(ranks, np.int64).reshape(-1, 2).T)
+        self.kept = np.full(1 << self.KEPT_BITS, -1, np.int64)
+        # pieces at the left (0) and right (1) ends of the tokens met so far: where a token's begin, how many, and the pieces
+        top = max(self.ids.values()) + 1
+        self.begin, self.count = np.full((2, top), -1, np.int64), np.zeros((2, top), np.int64)
+        self.pieces = [array("q"), array("q")]
+
+    def _meet(self, tokens: np.ndarray) -> None:
+        for token in np.unique(tokens[self.begin[0][tokens] < 0]).tolist():
+            for side, flat, pieces in zip((0, 1), self.pieces, self.encoder._sides(token)):
+                self.begin[side, token], self.count[side, token] = len(flat) // 3, len(pieces)
+                for piece, made, gone in pieces:
+                    flat.extend((self.ids[piece], made, gone))
+
+    def _work(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """PrefixEncoder._apart for many pairs: every piece at the right end of the one with every piece at the left end of the other."""
+        self._meet(left), self._meet(right)
+        n, m = self.count[1][left], self.count[0][right]
+        pair = np.repeat(np.arange(left.size), n * m)
+        k = np.arange(pair.size) - np.repeat(np.cumsum(n * m) - n * m, n * m)
+        i, j = np.divmod(k, m[pair])
+        a, made_a, gone_a = np.array(self.pieces[1]).reshape(-1, 3)[self.begin[1][left][pair] + i].T
+        b, made_b, gone_b = np.array(self.pieces[0]).reshape(-1, 3)[self.begin[0][right][pair] + j].T
+        rank = self.ranks.get(a << 32 | b)
+        joined = (rank >= 0) & (made_a < rank) & (rank < gone_a) & (made_b < rank) & (rank <= gone_b)
+        out = np.ones(left.size, bool)
+        out[pair[joined]] = False
+        return out
+
+    def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(np.int64) << 32 | right
+        at = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.KEPT_BITS)).astype(np.int64)
+        kept = self.kept.take(at)
+        out = (kept & 1).astype(bool)
+        new = np.flatnonzero(kept >> 1 != keys)
+        if new.size:
+            fresh, back = np.unique(keys[new], return_inverse=True)
+            out[new] = self._work(fresh >> 32, fresh & 0xFFFFFFFF)[back]
+            self.kept[at[new]] = keys[new] << 1 | out[new]
+        return out
+
+    def words(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, none empty, whose symbols lie back to back: all ids in one array, and how many each word has."""
+        n, symbols = len(lengths), symbols.astype(np.int64)
+        ends = np.cumsum(lengths)
+        if self.encoder.vocabulary.word_end:
+            symbols[ends - 1] += ProvenTokens.SHIFT
+        order = np.argsort(-lengths, kind="stable")  # those that have one more symbol come first
+        base = ends - lengths + np.arange(n)  # prefixes of a word: of 0 symbols, 1, and so on
+        last, size = np.full(symbols.size + n, -1, np.int32), np.zeros(symbols.size + n, np.int32)
+        starts, base, lengths = (ends - lengths)[order], base[order], lengths[order]
+        state, held = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        bits = SuffixAutomaton.SYMBOL_BITS
+        longer = n - np.searchsorted(lengths[::-1], np.arange(1, int(lengths[0]) + 1)) if n else []
+        for end, m in enumerate(map(int, longer), 1):
+            symbol = symbols[starts[:m] + end - 1]
+            to = self.moves.get(state[:m] << bits | symbol)
+            held[:m] += 1
+            lost = np.flatnonzero(to < 0)
+            while lost.size:
+                root = state[lost] == 0
+                to[lost[root]], held[lost[root]] = 0, 0
+                lost = lost[~root]
+                state[lost] = self.link[state[lost]]
+                held[lost] = self.length[state[lost]] + 1
+                to[lost] = self.moves.get(state[lost] << bits | symbol[lost])
+                lost = lost[to[lost] < 0]
+            state[:m] = to
+            at = self.first.take(to)
+            open_ = np.flatnonzero(at)
+            at = at[open_]
+            while open_.size:
+                length, token = self.length.take(at), self.token.take(at)
+                fits = length <= held[open_]
+                left = last[base[open_] + end - np.where(fits, length, 0)]
+                done = fits & (length == end)
+                asked = np.flatnonzero(fits & ~done & (left >= 0))
+                done[asked] = self.apart(left[asked], token[asked])
+                here = base[open_[done]] + end
+                last[here], size[here] = token[done], length[done]
+                open_, at = open_[~done], self.nearest.take(at[~done])
+                open_, at = open_[at > 0], at[at > 0]
+        rounds, counts, at, open_ = [], np.zeros(n, np.int64), lengths.copy(), np.arange(n)
+        while open_.size:
+            here = base[open_] + at[open_]
+            if not size[here].all():
+                k = open_[size[here] == 0][0]
+                word = "".join(chr(x % ProvenTokens.SHIFT) for x in symbols[starts[k]:starts[k] + lengths[k]].tolist())
+                raise ValueError(f"the vocabulary has no encoding of {word!r}")
+            rounds.append((open_, last[here]))
+            counts[open_] += 1
+            at[open_] -= size[here]
+            open_ = open_[at[open_] > 0]
+        given = np.empty_like(counts)  # in the order of the words that were given
+        given[order] = counts
+        ends, ids = np.cumsum(given), np.empty(int(given.sum()), np.int64)
+        for k, (who, token) in enumerate(rounds):
+            ids[ends[order[who]] - 1 - k] = token
+        return ids, given
+
+
+#: Bytes of the longest stretch that PrefixEncoder works out together with others.
+LONG_WORD = 64
+#: Symbols of bytes; what a byte is in a plain stretch: of a letter (0xC3 begins those of Latin-1), a sign, or neither.
+SYMBOLS = np.array([ord(STAND_IN[b]) for b in range(256)], np.int64)
+LETTER, SIGN = 1, 2
+BYTE_KIND = np.zeros(256, np.uint8)
+BYTE_KIND[[0xC3, *range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+BYTE_KIND[[b for b in range(0x21, 0x7F) if b != 0x27 and not chr(b).isalnum()]] = SIGN
+
+
 class PrefixEncoder:
     """Ids of words by dynamic programming over prefixes.
 
@@ -379,6 +550,7 @@ class PrefixEncoder:
         self.ending: list[tuple | None] = [None] * len(tokens.automaton.length)
         self.words, self.jumps, self.sides = Memo(lambda word: self._packed(self._word(word)), 3 * most // 4), Memo(self._jump, most // 4), Memo(self._sides, most // 4)
         self.splitter, self.strings = WordSplitter(vocabulary.special), vocabulary.strings
+        self.steps = PrefixSteps(self)
 
     def _sides(self, token: int) -> tuple[list, list]:
         """The pieces that lie at the left and at the right end of a token while it is merged, with the ranks at which each
@@ -475,11 +647,54 @@ class PrefixEncoder:
         words = self.words
         return self._packed(self.splitter.encode(chunk, lambda word: np.frombuffer(words[word], "<u4").tolist()))
 
+    def stretches(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of stretches without spaces and line ends: all ids in one array, and how many each stretch has. Plain stretches
+        (WordSplitter.plain) are told by their bytes and worked out together, the others one by one as by encode."""
+        n, texts = len(texts), texts.cast(pa.string())
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+        starts, lengths = offsets[:-1] - offsets[0], np.diff(offsets)
+        some = lengths > 0
+        kind, second = BYTE_KIND[raw], np.zeros(raw.size, bool)
+        second[1:] = raw[:-1] == 0xC3
+        kind[second & (raw != 0x97) & (raw != 0xB7)] = LETTER  # but the signs for times and divided
+        begins, sign = np.zeros(raw.size, bool), kind == SIGN
+        begins[starts[some]] = True
+        after = np.zeros(raw.size, bool)
+        after[1:] = sign[:-1]
+        odd = (kind == 0) | np.where(begins, sign, after & ~sign)
+        plain = some & (lengths <= LONG_WORD) & self.splitter.quick
+        plain[np.flatnonzero(some)[np.logical_or.reduceat(odd, starts[some])] if raw.size else []] = False
+        lower = raw + ((raw >= 65) & (raw <= 90) | second & (raw <= 0x9E)) * np.uint8(32)
+        kept = np.repeat(plain, lengths)
+        first = np.flatnonzero((begins | sign & ~after)[kept])
+        ids, counts = self.steps.words(SYMBOLS[lower[kept]], np.diff(first, append=int(kept.sum())))
+        total = np.bincount(np.repeat(np.arange(n), lengths)[kept][first], counts, n).astype(np.int64)
+        rest = {k: np.frombuffer(self.chunks[texts[k].as_py()], "<u4") for k in np.flatnonzero(some & ~plain).tolist()}
+        if not rest:
+            return ids, total
+        joined = total.copy()
+        joined[list(rest)] = list(map(len, rest.values()))
+        ends, out = np.cumsum(joined), np.empty(int(joined.sum()), np.int64)
+        out[np.repeat(plain, joined)] = ids
+        for k, found in rest.items():
+            out[ends[k] - len(found):ends[k]] = found
+        return out, joined
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of texts as by encode, null as of an empty one; a stretch that many of them share is worked out once."""
+        parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        found = parts.flatten().dictionary_encode()
+        flat, sizes = self.stretches(found.dictionary)
+        owner = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
+        ids, at = spread(flat.astype("<u4"), sizes, found.indices.to_numpy(), owner, len(texts))
+        return [ids[lo:hi] for lo, hi in zip(at[:-1].tolist(), at[1:].tolist())]
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers. Spaces and line ends never lie inside a word or a special
         string, so the stretches between them are encoded on their own and kept in a table of bounded size."""
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
-    def decode(self, packed: bytes) -> str:
+    def decode(self, packed: bytes | np.ndarray) -> str:
         """The vocabulary strings of the ids, with a space between (the files define no other decoder)."""
         return " ".join(map(self.strings.__getitem__, np.frombuffer(packed, "<u4").tolist()))

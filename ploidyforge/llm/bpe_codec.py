@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import TABLE_BYTES, PrefixEncoder, ProvenTokens, Vocabulary, held, read_vocabulary
-from .common import map_arrow, table, texts_of, tuned
+from .common import gathered, map_arrow, table, tuned
 
 
 def encode_decode(docs: DataFrame, vocabulary_path: str, texts: bool = True, table_bytes: int = TABLE_BYTES) -> DataFrame:
@@ -28,17 +28,17 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, texts: bool = True, tab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, proven = shipped.value
         tokens = held(("codec", hash(text)), lambda: PrefixEncoder(Vocabulary(text), proven, table_bytes))
-        for batch in batches:
-            ids = [tokens.encode(t) for t in texts_of(batch.column(1))]
+        for batch in gathered(batches):
+            ids = tokens.encode_all(batch.column(1))
             decoded = [tokens.decode(x) for x in ids]
             out = {
                 "doc_id": batch.column(0).cast(pa.int64()),
-                "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
+                "n_tokens": pa.array(list(map(len, ids)), pa.int64()),
                 "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
                 "decoded_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string()),
             }
             if texts:
-                out |= {"ids": pa.array(ids, pa.binary()), "decoded": pa.array(decoded, pa.string())}
+                out |= {"ids": pa.array([x.tobytes() for x in ids], pa.binary()), "decoded": pa.array(decoded, pa.string())}
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded string" if texts else "")

@@ -89,6 +89,28 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, step)
 
 
+#: Bytes of the batches that are worked on at once where many texts share their words.
+CHUNK_BYTES = 8 << 20
+
+
+def gathered(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches joined up to most bytes, so that a word is worked on once for many texts."""
+    waiting, n = [], 0
+    for batch in batches:
+        if waiting and n + batch.nbytes > most:
+            yield as_one(waiting)
+            waiting, n = [], 0
+        waiting.append(batch)
+        n += batch.nbytes
+    if waiting:
+        yield as_one(waiting)
+
+
+def as_one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    whole = pa.Table.from_batches(batches)
+    return pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks == 1 else pa.concat_arrays(c.chunks) for c in whole.columns], names=whole.column_names)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Texts of a batch; null counts as empty."""
     return [x or "" for x in column.to_pylist()]

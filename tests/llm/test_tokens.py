@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -232,3 +233,28 @@ def test_word_table_holds_packed_ids():
     for text in ("Étude, plain (words) it's 42", "a--b ß... ", ""):
         assert np.frombuffer(codec.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
     assert codec.words and all(isinstance(x, bytes) for x in codec.words.values())
+
+
+def test_words_of_many_texts_are_worked_out_together(word_library):
+    codec = word_codec()
+    same = lambda texts_: [x.tolist() for x in codec.encode_all(pa.array(texts_, pa.string()))] == [word_library.encode(t or "", add_special_tokens=False).ids for t in texts_]
+
+    @settings(max_examples=100, deadline=None)
+    @given(st.lists(ALPHABET, max_size=5))
+    def every(texts_):
+        assert same(texts_)
+
+    every()
+    assert same([*ODD, *EVERY, "q" * 63, "q" * 64, "q" * 65, "é" * 40, "Ünïted×÷ÀÖØÞßÿ, (no) a,b 'tis", "x" * 200_000, None])
+    assert same([]) and same([None, ""])
+    before = len(codec.words) + len(codec.pairs)
+    assert same([a + b + c for a in ("Straße", "over", "naïve") for b in ("zu", "Qé") for c in (",", "!?", "")])
+    assert len(codec.words) + len(codec.pairs) == before  # nothing was worked out word by word
+
+
+def test_pair_verdicts_are_those_of_merging():
+    codec = word_codec()
+    rnd = np.random.default_rng(2)
+    left, right = rnd.integers(0, 49_000, 3000), rnd.integers(0, 49_000, 3000)
+    got = codec.steps._work(left, right)
+    assert got.tolist() == [codec._apart(int(a) << 32 | int(b)) for a, b in zip(left, right)] and not got.all() and got.any()
