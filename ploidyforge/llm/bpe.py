@@ -294,8 +294,9 @@ def spread(flat: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, owner: np.n
     them each; numbers are the stretches of all texts in order, owner the text of each."""
     given = sizes[numbers]
     ends = np.cumsum(given)
-    at = np.repeat((np.cumsum(sizes) - sizes)[numbers] - ends + given, given)
-    at += np.arange(at.size)
+    kind = np.int32 if given.sum() < 1 << 31 else np.int64
+    at = np.repeat(((np.cumsum(sizes) - sizes)[numbers] - ends + given).astype(kind), given)
+    at += np.arange(at.size, dtype=kind)
     return flat.take(at), np.concatenate([[0], np.cumsum(np.bincount(owner, given, n).astype(np.int64))])
 
 

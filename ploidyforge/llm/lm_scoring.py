@@ -6,9 +6,9 @@ over a context window adds to the classes' logits what the words before tell; so
 the id's share, is the probability of the next id. Windows overlap: each scores the ids that the windows before
 it did not, so that every id is scored once, with context.
 
-Texts are encoded once; all later passes read the ids. The attention weights learn from every id of the training
-text once: each round takes its part of the windows of all texts, every partition of the ids learns on its own from common
-weights, and Spark averages the weights. Partitions, and so learners, grow with the text.
+Texts are encoded once, the distinct words of many texts together; all later passes read the ids. The attention weights
+learn from every id of the training text once: each round takes its part of the windows of all texts, every partition of
+the ids learns on its own from common weights, and Spark averages the weights. Partitions, and so learners, grow with the text.
 """
 
 from __future__ import annotations
@@ -16,23 +16,25 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import LibraryEncoder, Vocabulary, held, read_vocabulary
-from .common import crc32_remainder, lowered, map_arrow, staged, table, texts_of, tuned
+from .bpe import PrefixEncoder, ProvenTokens, Vocabulary, held, read_vocabulary, spread
+from .common import crc32_remainder, gathered, map_arrow, staged, table, tuned
 
 FOLDS, HELD_OUT = 7, 2
 END_WORD = "\n"
 #: Frequent words whose counts are broadcast; words of more bytes stand there by a hash. The others are joined.
 HEAD_WORDS, HEAD_BYTES = 200_000, 64
-#: Distinct words that a task counts before it hands them on.
-COUNTED_WORDS = 150_000
+#: Distinct words that a task counts, and bytes of them, before it hands them on.
+COUNTED_WORDS, COUNTED_BYTES = 400_000, 32 << 20
+#: Bytes of ids that are scored at once.
+SCORED_BYTES = 512 << 10
 WINDOW, OVERLAP, WIDTH = 32, 8, 8
 #: Ids with an embedding and a class table of their own, the first of them with shares of their own, and the ids
 #: whose shares depend on the id before. By frequency; the last place stands for all other ids.
@@ -42,6 +44,8 @@ SINGLE, BANDS = 72, 12
 ROUNDS, BATCH, HELD_WINDOWS, RATE = 2, 128, 4096, 0.2
 SMOOTH_CLASS, SMOOTH_SHARE = 5.0, 20.0
 N_CLASSES = SINGLE + 2 * BANDS
+#: Rows of class probabilities that are held at once.
+ROWS = 2048
 
 
 def fold(doc_id: int | None) -> int:
@@ -108,7 +112,7 @@ class Prior:
     def log_share(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Log share of each id in its class after the id before."""
         at = self.codes.next[ids]
-        return np.where(at < NEXT - 1, self.shares[self.codes.before[before], at], self.plain[ids])
+        return np.where(at < NEXT - 1, self.shares.reshape(-1).take(self.codes.before[before] * np.int64(NEXT) + at), self.plain[ids])
 
 
 def fresh_weights(seed: int = 7) -> dict[str, np.ndarray]:
@@ -143,37 +147,75 @@ def class_log_probs(w: dict[str, np.ndarray], prior: np.ndarray, h: np.ndarray,
     return chosen - np.log(np.exp(logits).sum(-1))
 
 
+def summed(fill, total, mask: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """exp of what fill() gives and, by total, its sums over each row (the last column of total's result); where plain exponentials would
+    leave float32, the largest of each row (but for what the mask hides) is taken off first. Ratios within a row are the same."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        found = fill()
+        np.exp(found, out=found)
+        sums = total(found)
+    if not (sums[..., -1].min() > 1e-30 and sums[..., -1].max() < 1e30):
+        found = fill()
+        found += mask
+        found -= found.max(-1, keepdims=True)
+        np.exp(found, out=found)
+        sums = total(found)
+    return found, sums
+
+
 def gradients(w: dict[str, np.ndarray], prior: np.ndarray, places: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Gradient of the weighted mean cross-entropy of the target classes, that of the embeddings for the used ones only."""
-    x, q, k, v, a, z, h = forward(w, places)
+    """Gradient of the weighted mean cross-entropy of the target classes, that of the embeddings for the used ones only.
+
+    Biases and row sums ride in the matrix products as one more column of ones, and rows are scaled where they are
+    narrow, so that the wide arrays (classes, attention) are passed over as rarely as can be."""
     n, t = places.shape
-    flat = lambda m: m.reshape(-1, m.shape[-1])
-    at = places.reshape(-1)
-    d = flat(h) @ w["u"]  # one array from the logits to their gradient
-    d += w["b"]
-    d += prior[at]
-    d -= d.max(-1, keepdims=True)
-    np.exp(d, out=d)
-    scale = weight.reshape(-1) / max(1.0, float(weight.sum()))
-    d *= (scale / d.sum(-1))[:, None]
-    d[np.arange(n * t), target.reshape(-1)] -= scale
-    g = {"u": flat(h).T @ d, "b": d.sum(0)}
-    dh = (d @ w["u"].T).reshape(h.shape)
-    g["o"] = flat(z).T @ flat(dh)
-    dz = dh @ w["o"].T
-    da, dv = dz @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dz
-    da -= (dz * z).sum(2, keepdims=True)
+    d, kind, scaled = WIDTH, w["u"].dtype, w["u"].dtype.type(WIDTH ** -0.5)
+    flat = lambda m: m.reshape(n * t, -1)
+    one = lambda m, last: np.hstack([m, np.full((len(m), 1), last, kind)])
+    turned = lambda m: m.transpose(0, 2, 1)
+    at, aim = places.reshape(-1), target.reshape(-1)
+    x = one(w["e"], 1).take(places, axis=0)
+    x += one(w["p"][:t], 0)
+    wide = np.zeros((d + 1, 3 * d + 1), kind)  # to scaled queries, keys, values and a one
+    wide[:d, :3 * d], wide[d, 3 * d] = w["qkv"], 1
+    wide[:, :d] *= scaled
+    qkv = (flat(x) @ wide).reshape(n, t, -1)
+    q, k, v = qkv[..., :d], qkv[..., d:2 * d], qkv[..., 2 * d:]
+
+    def seen(a: np.ndarray) -> np.ndarray:
+        a *= TRIANGLE[:t, :t]
+        return a @ v
+
+    a, z = summed(lambda: q @ turned(k), seen, MASK[:t, :t])
+    inverse = 1 / z[..., d:]
+    z = z[..., :d] * inverse
+    h = flat(x) + flat(z) @ one(w["o"], 0)
+    u, back, ones = np.vstack([w["u"], w["b"]]), np.ascontiguousarray(w["u"].T), np.ones((N_CLASSES, 1), kind)
+    scale = (weight.reshape(-1) / max(1.0, float(weight.sum()))).astype(kind)
+    dh, found = np.empty((n * t, d), kind), np.zeros_like(u.T)
+    for lo in range(0, n * t, ROWS):
+        to = slice(lo, lo + ROWS)
+        likely, sums = summed(lambda to=to: (h[to] @ u).__iadd__(prior.take(at[to], axis=0)), lambda e: e @ ones)
+        likely.reshape(-1)[np.arange(0, likely.size, N_CLASSES) + aim[to]] -= sums[:, 0]
+        part = scale[to, None] / sums
+        found += likely.T @ (h[to] * part)
+        np.multiply(likely @ back, part, out=dh[to])
+    g = {"u": found[:, :d].T, "b": found[:, d], "o": flat(z).T @ dh}
+    dz = np.empty((n, t, d + 1), kind)
+    dz[..., :d] = (dh @ w["o"].T).reshape(n, t, d) * inverse
+    np.negative(np.einsum("ijk,ijk->ij", dz[..., :d], z), out=dz[..., d])
+    da = dz @ turned(v)
     da *= a
-    da *= np.float32(WIDTH ** -0.5)
-    dqkv = np.concatenate([da @ k, da.transpose(0, 2, 1) @ q, dv], 2)
-    g["qkv"] = flat(x).T @ flat(dqkv)
-    dx = dh + dqkv @ w["qkv"].T
+    dqkv = np.concatenate([da @ k * scaled, turned(da) @ q, turned(a) @ dz[..., :d]], 2)
+    g["qkv"] = flat(x)[:, :d].T @ flat(dqkv)
+    dx = dh + flat(dqkv) @ w["qkv"].T
     g["p"] = np.zeros_like(w["p"])
-    g["p"][:t] = dx.sum(0)
-    order = np.argsort(at, kind="stable")
-    used, first = np.unique(at[order], return_index=True)
-    g["e"] = np.add.reduceat(flat(dx)[order], first, axis=0)
-    return g, used
+    g["p"][:t] = dx.reshape(n, t, d).sum(0)
+    order = np.argsort(at.astype(np.uint16), kind="stable")  # sixteen bits are sorted by counting
+    used = at[order]
+    first = np.concatenate([[0], np.flatnonzero(np.diff(used)) + 1])
+    g["e"] = np.add.reduceat(dx[order], first, axis=0)
+    return g, used[first]
 
 
 def learn(w: dict[str, np.ndarray], prior: np.ndarray, places: np.ndarray, target: np.ndarray, weight: np.ndarray, speed: dict[str, np.ndarray]) -> None:
@@ -223,40 +265,45 @@ class Stream:
 
 class Scorer:
     """The forward pass for scoring only, with few passes over memory: attention and classes are summed as plain
-    exponentials (weights are small; should one overflow, the batch is done again in the careful form)."""
+    exponentials (weights are small; should one overflow, the batch is done again in the careful form). Only positions
+    that a window scores ask, and a block of them looks no further than to its own end."""
 
     def __init__(self, w: dict[str, np.ndarray], prior: Prior) -> None:
         self.w, self.prior = w, prior
-        self.qkv = w["qkv"].copy()
-        self.qkv[:, :WIDTH] *= np.float32(WIDTH ** -0.5)
-        # what a place adds to queries, keys and values, with the embedding itself before it, and the same by position
-        self.by_place = np.hstack([w["e"], w["e"] @ self.qkv]).astype(np.float32)
-        self.by_position = np.hstack([w["p"], w["p"] @ self.qkv]).astype(np.float32)
+        qkv = w["qkv"].copy()
+        qkv[:, :WIDTH] *= np.float32(WIDTH ** -0.5)
+        # what a place adds to queries, keys and values, with the embedding itself before it and a one behind, and the same by position
+        self.by_place = np.hstack([w["e"], w["e"] @ qkv, np.ones((EMBEDDED, 1))]).astype(np.float32)
+        self.by_position = np.hstack([w["p"], w["p"] @ qkv, np.zeros((WINDOW, 1))]).astype(np.float32)
         self.after = prior.classes + w["b"]
         self.ones = np.ones(w["u"].shape[1], np.float32)
 
-    def states(self, places: np.ndarray) -> np.ndarray:
-        x = self.by_place[places]
+    def states(self, places: np.ndarray, begin: int) -> np.ndarray:
+        """States of the positions from begin on."""
+        x = self.by_place.take(places, axis=0)
         x += self.by_position
-        d = WIDTH
-        a = x[:, :, d:2 * d] @ x[:, :, 2 * d:3 * d].transpose(0, 2, 1)
-        np.exp(a, out=a)
-        a *= TRIANGLE
-        z = a @ x[:, :, 3 * d:]
-        z /= a.sum(2, keepdims=True)
-        return x[:, :, :d] + z @ self.w["o"]
-
-    def __call__(self, places: np.ndarray, scored: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Log probability of the target class at the scored positions."""
+        d, half = WIDTH, (begin + WINDOW) // 2
+        out = x[:, begin:, :d].copy()
+        for lo, hi in ((begin, half), (half, WINDOW)):
+            a = x[:, lo:hi, d:2 * d] @ x[:, :hi, 2 * d:3 * d].transpose(0, 2, 1)
+            np.exp(a, out=a)
+            a *= TRIANGLE[lo:hi, :hi]
+            z = a @ x[:, :hi, 3 * d:]
+            out[:, lo - begin:hi - begin] += ((z[..., :d] / z[..., d:]).reshape(-1, d) @ self.w["o"]).reshape(-1, hi - lo, d)
+        return out
+
+    def __call__(self, places: np.ndarray, begin: int, scored: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log probability of the target class at the scored positions, numbered among those from begin on."""
+        asked = places[:, begin:].reshape(-1).take(scored)
         with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-            logits = self.states(places)[scored] @ self.w["u"]
-            logits += self.after[places[scored]]
+            logits = self.states(places, begin).reshape(-1, WIDTH).take(scored, axis=0) @ self.w["u"]
+            logits += self.after.take(asked, axis=0)
             chosen = logits[np.arange(len(target)), target]
             np.exp(logits, out=logits)
             out = chosen - np.log(logits @ self.ones)
         if np.isfinite(out).all():
             return out
-        return class_log_probs(self.w, self.prior.classes, forward(self.w, places)[-1][scored], places[scored], target)
+        return class_log_probs(self.w, self.prior.classes, forward(self.w, places)[-1][:, begin:].reshape(-1, WIDTH)[scored], asked, target)
 
     def texts(self, texts: list[np.ndarray], at_once: int = 80) -> np.ndarray:
         """log10 probability of each id sequence with its end, by batches of overlapping windows."""
@@ -265,17 +312,42 @@ class Scorer:
         owner, turn, first = stream.windows(WINDOW - OVERLAP, WINDOW)
         total = np.zeros(len(texts))
         source, target, share = codes.place[stream.before], codes.of[stream.ids], self.prior.log_share(stream.before, stream.ids)
-        for lo in range(0, owner.size, at_once):
-            hi = min(lo + at_once, owner.size)
-            at = first[lo:hi, None] + np.arange(WINDOW)
-            scored = (at < stream.ends[owner[lo:hi], None]) & ((np.arange(WINDOW) >= OVERLAP) | (turn[lo:hi, None] == 0))
-            at = np.minimum(at, stream.ids.size - 1)
-            chosen = at[scored]
-            logs = self(source[at], scored, target[chosen]) + share[chosen]
-            total += np.bincount(np.repeat(owner[lo:hi], scored.sum(1)), logs, len(texts))
+        for begin, every in ((0, np.flatnonzero(turn == 0)), (OVERLAP, np.flatnonzero(turn))):
+            for lo in range(0, every.size, at_once):
+                now = every[lo:lo + at_once]
+                at = first[now, None] + np.arange(WINDOW)
+                scored = np.flatnonzero(at[:, begin:] < stream.ends[owner[now], None])
+                chosen = at[:, begin:].reshape(-1).take(scored)
+                logs = self(source.take(at, mode="clip"), begin, scored, target.take(chosen)) + share.take(chosen)
+                total += np.bincount(owner[now].repeat(WINDOW - begin).take(scored), logs, len(texts))
         return total / math.log(10)
 
 
+class Words:
+    """The words of texts, A-Z in lower case: each as the number of a distinct word, with the number of its text."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        found = parts.flatten().dictionary_encode()
+        self.distinct = found.dictionary
+        self.numbers = found.indices.to_numpy()
+        self.owner = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
+        nothing = pc.index(self.distinct, "").as_py()  # before the first space and behind the last
+        if nothing >= 0:
+            some = self.numbers != nothing
+            self.numbers, self.owner = self.numbers[some], self.owner[some]
+
+
+def few_ids(packs: pa.Array) -> Iterator[pa.Array]:
+    """Runs of packed texts of SCORED_BYTES or one text: the arrays of windows take many times the ids."""
+    ends = np.cumsum(pc.binary_length(packs).to_numpy())
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SCORED_BYTES, "right")))
+        yield packs.slice(lo, hi - lo)
+        lo = hi
+
+
 def encoded(docs: DataFrame, shipped, kind: str, n_ids: int) -> DataFrame:
     """One pass over docs (doc_id, text): a row for each with doc_id, text_hash, text, train and ids (packed subword ids of
     its lower-cased words); and, from training rows, partial counts: word with c, and id with c."""
@@ -284,29 +356,36 @@ def encoded(docs: DataFrame, shipped, kind: str, n_ids: int) -> DataFrame:
     def rows(n: int, **given) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([given.get(k, pa.nulls(n, t)) for k, t in columns.items()], list(columns))
 
-    def counted(words: Counter) -> pa.RecordBatch:
-        return rows(len(words), word=pa.array(list(words), pa.binary()).cast(pa.string()), c=pa.array(list(words.values()), pa.int64()))
+    def summed_up(waiting: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(waiting).group_by("word").aggregate([("c", "sum")]).rename_columns(["word", "c"]).combine_chunks()
+
+    def counted(words: pa.Table) -> Iterator[pa.RecordBatch]:
+        return (rows(x.num_rows, word=x.column(0), c=x.column(1)) for x in words.to_batches(max_chunksize=20_000))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text = shipped.value
-        encode = held(("library", hash(text), kind), lambda: LibraryEncoder(text, int(kind[-1]))).chunks.__getitem__
-        words, total = Counter(), np.zeros(n_ids, np.int64)
-        for batch in batches:
-            packs = []
-            for train, text in zip(batch.column(3).to_pylist(), texts_of(batch.column(2))):
-                parts = lowered(text).split()
-                packs.append(b"".join([encode(x.decode()) for x in parts]))
-                if train:
-                    words.update(parts)
-                    words[END_WORD.encode()] += 1
-                    total += np.bincount(np.frombuffer(packs[-1], kind), minlength=n_ids)
-                    total[-1] += 1
-                if len(words) > COUNTED_WORDS:
-                    yield counted(words)
-                    words = Counter()
-            yield rows(len(packs), doc_id=batch.column(0), text_hash=batch.column(1), text=batch.column(2), train=batch.column(3), ids=pa.array(packs, pa.binary()))
-        if words:
-            yield counted(words)
+        text, proven = shipped.value
+        encoder = held(("codec", hash(text)), lambda: PrefixEncoder(Vocabulary(text), proven))
+        waiting, total = [], np.zeros(n_ids, np.int64)
+        for batch in gathered(batches):
+            words = Words(batch.column(2))
+            flat, sizes = encoder.stretches(words.distinct)
+            every, offsets = spread(flat.astype(kind), sizes, words.numbers, words.owner, batch.num_rows)
+            ids = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((offsets * every.itemsize).astype(np.int32)), pa.py_buffer(every)])
+            train = batch.column(3).to_numpy(zero_copy_only=False)
+            times = np.bincount(words.numbers[train[words.owner]], minlength=len(sizes))
+            total += np.bincount(flat, np.repeat(times, sizes), n_ids).astype(np.int64)
+            total[-1] += train.sum()
+            used = np.flatnonzero(times)
+            waiting.append(pa.table({"word": words.distinct.take(pa.array(used)), "c": times[used]}))
+            if train.any():
+                waiting.append(pa.table({"word": [END_WORD], "c": [int(train.sum())]}))
+            if sum(w.num_rows for w in waiting) > 2 * COUNTED_WORDS or sum(w.nbytes for w in waiting) > COUNTED_BYTES:
+                waiting = [summed_up(waiting)]
+                if waiting[0].num_rows > COUNTED_WORDS or 2 * waiting[0].nbytes > COUNTED_BYTES:
+                    yield from counted(waiting.pop())
+            yield rows(batch.num_rows, doc_id=batch.column(0), text_hash=batch.column(1), text=batch.column(2), train=batch.column(3), ids=ids)
+        if sum(w.num_rows for w in waiting):
+            yield from counted(summed_up(waiting))
         used = np.nonzero(total)[0]
         yield rows(len(used), id=pa.array(used, pa.int64()), c=pa.array(total[used], pa.int64()))
 
@@ -418,7 +497,7 @@ class Fitted:
             raise ValueError("the language model needs a vocabulary whose tokens mark the ends of words")
         n_ids = max(vocabulary.strings) + 2  # the last id is the end of a text
         self.kind = narrow_ids(n_ids)
-        self.rows = encoded(docs, spark.sparkContext.broadcast(text), self.kind, n_ids)
+        self.rows = encoded(docs, spark.sparkContext.broadcast((text, ProvenTokens(vocabulary, vocabulary.proven()))), self.kind, n_ids)
         self.words = staged(self.rows.where("word is not null").groupBy("word").agg(F.sum("c").alias("c")), "words")
         self.n, self.v = self.words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
         counts, ends = np.zeros(n_ids, np.int64), np.zeros(n_ids, np.int8)
@@ -451,30 +530,36 @@ def scored(fitted: Fitted) -> DataFrame:
     """The scores of the texts that fitted holds."""
     words, n, v, kind = fitted.words, fitted.n, fitted.v, fitted.kind
     below = math.log10(n + v + 1)
-    head = head_words(words).toArrow()
-    known = dict(zip(map(bytes, head.column(0).to_pylist()), (np.log10(head.column(1).to_numpy() + 1.0) - below).tolist()))
-    model = words.sparkSession.sparkContext.broadcast((fitted.weights, fitted.prior, known))
+    head = head_words(words).toArrow().combine_chunks()
+    names = pa.concat_arrays([pa.array([], pa.binary()), *(c.cast(pa.binary()) for c in head.column(0).chunks)])
+    model = words.sparkSession.sparkContext.broadcast((fitted.weights, fitted.prior, names, np.log10(head.column(1).to_numpy() + 1.0) - below))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, prior, head = model.value
+        weights, prior, head, logs = model.value
         scorer = Scorer(weights, prior)
-        for batch in batches:
-            rows = []
-            for text in texts_of(batch.column(2)):
-                parts = lowered(text).split()
-                logs = list(map(head.get, parts))
-                rare = {}
-                if None in logs:
-                    logs = [head.get(head_key(p)) if x is None and len(p) > HEAD_BYTES else x for p, x in zip(parts, logs)]
-                    rare = Counter(p for p, x in zip(parts, logs) if x is None)
-                    logs = [x for x in logs if x is not None]
-                rows.append((len(parts) + 1, len(logs), math.fsum(logs), list(map(bytes.decode, rare)), list(rare.values())))
-            cols = list(zip(*rows)) or [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64())]
-            ids = [np.frombuffer(x, kind) for x in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds)), pa.array(scorer.texts(ids), pa.float64())],
-                ["doc_id", "text_hash", "n_tokens", "head_known", "head_score", "rare", "times", "score"])
+        for batch in gathered(batches):
+            words, n = Words(batch.column(2)), batch.num_rows
+            keys = words.distinct.cast(pa.binary())
+            long = pc.greater(pc.binary_length(keys), HEAD_BYTES)
+            if pc.any(long).as_py():
+                keys = pc.replace_with_mask(keys, long, pa.array([head_key(x) for x in keys.filter(long).to_pylist()], pa.binary()))
+            at = pc.fill_null(pc.index_in(keys, value_set=head), -1).to_numpy()[words.numbers]
+            known = at >= 0
+            # (text, word) of the words that are not in the head, each pair once
+            pairs, times = np.unique(words.owner[~known] * max(1, len(keys)) + words.numbers[~known], return_counts=True)
+            owner, number = np.divmod(pairs, max(1, len(keys)))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]), pa.int32())
+            cols = {
+                "doc_id": batch.column(0), "text_hash": batch.column(1),
+                "n_tokens": pa.array(np.bincount(words.owner, minlength=n) + 1, pa.int64()),
+                "head_known": pa.array(np.bincount(words.owner[known], minlength=n), pa.int64()),
+                "head_score": pa.array(np.bincount(words.owner[known], logs[at[known]], n), pa.float64()),
+                "rare": pa.ListArray.from_arrays(offsets, words.distinct.take(pa.array(number))),
+                "times": pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64())),
+            }
+            del words, keys, at, known, pairs, owner, number
+            cols["score"] = pa.array(np.concatenate([scorer.texts([np.frombuffer(x, kind) for x in ids.to_pylist()]) for ids in few_ids(batch.column(3))]), pa.float64())
+            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
     kept = staged(map_arrow(fitted.texts.select("doc_id", "text_hash", "text", "ids"), run, "doc_id long, text_hash long, n_tokens long, head_known long, head_score double, rare array<string>, times array<long>, score double"), "scored")
     pairs = kept.select("doc_id", "text_hash", "rare", "times").where(F.size("rare") > 0).dropDuplicates(["doc_id", "text_hash"])

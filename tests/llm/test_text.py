@@ -12,6 +12,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -332,6 +333,27 @@ def test_each_id_of_the_training_texts_is_learned_once(spark, monkeypatch):
     assert sum(r["c"] for r in fitted.rows.where("id is not null").collect()) == count.sum()
 
 
+def test_words_are_told_apart_once_for_many_texts():
+    every = [*ODD, *texts(10), "A b\x0b\x0cC\r\td  ", "\x1cQ\xa0r\x85 \u2003x", None]
+    words = lm_scoring.Words(pa.array(every, pa.string()))
+    assert len(set(words.distinct.to_pylist())) == len(words.distinct)
+    got = [[] for _ in every]
+    for text, number in zip(words.owner.tolist(), words.numbers.tolist()):
+        got[text].append(words.distinct[number].as_py())
+    assert got == [[x.decode() for x in (t or "").encode().lower().split()] for t in every]
+
+
+def test_gradients_hold_where_plain_exponentials_would_not():
+    w, prior = model()
+    rnd = np.random.default_rng(4)
+    places, target, weight = rnd.integers(0, 50, (3, 9)), rnd.integers(0, lm_scoring.N_CLASSES, (3, 9)), np.ones((3, 9), np.float32)
+    plain, used = lm_scoring.gradients(w, prior.classes, places, target, weight)
+    moved, _ = lm_scoring.gradients({**w, "b": w["b"] + np.float32(200)}, prior.classes, places, target, weight)  # the softmax is the same
+    assert all(np.abs(plain[k] - moved[k]).max() < 1e-4 for k in plain)
+    steep = {**w, "qkv": w["qkv"] * np.float32(300)}  # attention to single places
+    assert all(np.isfinite(x).all() for x in lm_scoring.gradients(steep, prior.classes, places, target, weight)[0].values())
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_attention_helps_on_held_out_text(spark):
     fitted = lm_scoring.Fitted(spark.read.parquet(f"{DATA}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
