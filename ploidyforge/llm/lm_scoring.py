@@ -33,6 +33,10 @@ END_WORD = "\n"
 HEAD_WORDS, HEAD_BYTES = 200_000, 64
 #: Distinct words that a task counts, and bytes of them, before it hands them on.
 COUNTED_WORDS, COUNTED_BYTES = 400_000, 32 << 20
+#: Bytes of counted words, with 64 beside each, that a partition of the join with rare words may have on average as a hash table.
+HASHED_BYTES = 64 << 20
+#: Bytes of the words whose ids a task keeps for its next texts.
+KNOWN_BYTES = 8 << 20
 #: Bytes of ids that are scored at once.
 SCORED_BYTES = 512 << 10
 WINDOW, OVERLAP, WIDTH = 32, 8, 8
@@ -45,7 +49,7 @@ ROUNDS, BATCH, HELD_WINDOWS, RATE = 2, 128, 4096, 0.2
 SMOOTH_CLASS, SMOOTH_SHARE = 5.0, 20.0
 N_CLASSES = SINGLE + 2 * BANDS
 #: Rows of class probabilities that are held at once.
-ROWS = 2048
+ROWS = 1024
 
 
 def fold(doc_id: int | None) -> int:
@@ -206,25 +210,33 @@ def gradients(w: dict[str, np.ndarray], prior: np.ndarray, places: np.ndarray, t
     np.negative(np.einsum("ijk,ijk->ij", dz[..., :d], z), out=dz[..., d])
     da = dz @ turned(v)
     da *= a
-    dqkv = np.concatenate([da @ k * scaled, turned(da) @ q, turned(a) @ dz[..., :d]], 2)
-    g["qkv"] = flat(x)[:, :d].T @ flat(dqkv)
-    dx = dh + flat(dqkv) @ w["qkv"].T
+    dx = dh
+    for to, left, right in ((0, da, k), (d, turned(da), q), (2 * d, turned(a), dz[..., :d])):  # scaled queries, keys, values
+        part = flat(left @ right)
+        wide[:d, to:to + d], back = flat(x)[:, :d].T @ part, wide[:d, to:to + d].T.copy()
+        dx += part @ back
+    g["qkv"] = wide[:d, :3 * d]
+    g["qkv"][:, :d] *= scaled
     g["p"] = np.zeros_like(w["p"])
     g["p"][:t] = dx.reshape(n, t, d).sum(0)
     order = np.argsort(at.astype(np.uint16), kind="stable")  # sixteen bits are sorted by counting
-    used = at[order]
-    first = np.concatenate([[0], np.flatnonzero(np.diff(used)) + 1])
-    g["e"] = np.add.reduceat(dx[order], first, axis=0)
-    return g, used[first]
+    used = at.take(order)
+    first = np.concatenate([[0], np.flatnonzero(used[1:] != used[:-1]) + 1])
+    g["e"] = np.add.reduceat(dx.take(order, axis=0), first, axis=0)
+    return g, used.take(first)
 
 
 def learn(w: dict[str, np.ndarray], prior: np.ndarray, places: np.ndarray, target: np.ndarray, weight: np.ndarray, speed: dict[str, np.ndarray]) -> None:
     """One AdaGrad step in place."""
     found, used = gradients(w, prior, places, target, weight)
     for name, g in found.items():
-        at = used if name == "e" else slice(None)
-        speed[name][at] += g * g
-        w[name][at] -= np.float32(RATE) * g / np.sqrt(speed[name][at] + np.float32(1e-8))
+        if name != "e":
+            speed[name] += g * g
+            w[name] -= np.float32(RATE) * g / np.sqrt(speed[name] + np.float32(1e-8))
+            continue
+        so_far = speed[name].take(used, axis=0) + g * g
+        speed[name][used] = so_far
+        w[name][used] = w[name].take(used, axis=0) - np.float32(RATE) * g / np.sqrt(so_far + np.float32(1e-8))
 
 
 def packed(w: dict[str, np.ndarray]) -> np.ndarray:
@@ -338,6 +350,37 @@ class Words:
             self.numbers, self.owner = self.numbers[some], self.owner[some]
 
 
+class KnownIds:
+    """Ids of distinct words by the encoder, each worked out once for many chunks of texts: those of the chunks before are kept up to
+    KNOWN_BYTES of words, then those of the last chunk only."""
+
+    def __init__(self, encoder: PrefixEncoder, kind: str) -> None:
+        self.encoder = encoder
+        self.words, self.flat, self.sizes = pa.array([], pa.string()), np.zeros(0, kind), np.zeros(0, np.int64)
+
+    def stretches(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in one array, and how many each word has."""
+        at = pc.fill_null(pc.index_in(distinct, value_set=self.words), -1).to_numpy().copy()
+        new = np.flatnonzero(at < 0)
+        at[new] = len(self.words) + np.arange(len(new))
+        fresh = distinct.take(pa.array(new))
+        flat, sizes = self.encoder.stretches(fresh)
+        self.words, self.flat, self.sizes = pa.concat_arrays([self.words, fresh]), np.concatenate([self.flat, flat.astype(self.flat.dtype)]), np.concatenate([self.sizes, sizes])
+        found, given = spread(self.flat, self.sizes, at, np.zeros(len(at), np.int64), 1)[0], self.sizes.take(at)
+        if self.words.nbytes > KNOWN_BYTES:
+            self.words, self.flat, self.sizes = distinct, found, given
+        return found, given
+
+
+WORD_COUNT = pa.struct([("word", pa.string()), ("n", pa.int64())])
+
+
+def runs(sizes: np.ndarray, most: int = 64 << 10) -> np.ndarray:
+    """Where runs of items begin, and where the last one ends: the items of a run begin within most bytes."""
+    number = (np.cumsum(sizes) - sizes) // most
+    return np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1, [len(sizes)]])
+
+
 def few_ids(packs: pa.Array) -> Iterator[pa.Array]:
     """Runs of packed texts of SCORED_BYTES or one text: the arrays of windows take many times the ids."""
     ends = np.cumsum(pc.binary_length(packs).to_numpy())
@@ -349,9 +392,9 @@ def few_ids(packs: pa.Array) -> Iterator[pa.Array]:
 
 
 def encoded(docs: DataFrame, shipped, kind: str, n_ids: int) -> DataFrame:
-    """One pass over docs (doc_id, text): a row for each with doc_id, text_hash, text, train and ids (packed subword ids of
-    its lower-cased words); and, from training rows, partial counts: word with c, and id with c."""
-    columns = {"doc_id": pa.int64(), "text_hash": pa.int64(), "text": pa.string(), "train": pa.bool_(), "ids": pa.binary(), "word": pa.string(), "id": pa.int64(), "c": pa.int64()}
+    """One pass over docs (doc_id, text): a row for each with its number, doc_id, text, train and ids (packed subword ids of
+    its lower-cased words); and, from training rows, partial counts: words (lists of word and n), and id with c."""
+    columns = {"row": pa.int64(), "doc_id": pa.int64(), "text": pa.string(), "train": pa.bool_(), "ids": pa.binary(), "words": pa.list_(WORD_COUNT), "id": pa.int64(), "c": pa.int64()}
 
     def rows(n: int, **given) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([given.get(k, pa.nulls(n, t)) for k, t in columns.items()], list(columns))
@@ -360,16 +403,18 @@ def encoded(docs: DataFrame, shipped, kind: str, n_ids: int) -> DataFrame:
         return pa.concat_tables(waiting).group_by("word").aggregate([("c", "sum")]).rename_columns(["word", "c"]).combine_chunks()
 
     def counted(words: pa.Table) -> Iterator[pa.RecordBatch]:
-        return (rows(x.num_rows, word=x.column(0), c=x.column(1)) for x in words.to_batches(max_chunksize=20_000))
+        for x in words.to_batches(max_chunksize=20_000):
+            lists = runs(pc.binary_length(x.column(0)).to_numpy() + 16)
+            yield rows(len(lists) - 1, words=pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.StructArray.from_arrays(x.columns, fields=list(WORD_COUNT))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, proven = shipped.value
-        encoder = held(("codec", hash(text)), lambda: PrefixEncoder(Vocabulary(text), proven))
+        encoder = KnownIds(held(("codec", hash(text)), lambda: PrefixEncoder(Vocabulary(text), proven)), kind)
         waiting, total = [], np.zeros(n_ids, np.int64)
         for batch in gathered(batches):
             words = Words(batch.column(2))
             flat, sizes = encoder.stretches(words.distinct)
-            every, offsets = spread(flat.astype(kind), sizes, words.numbers, words.owner, batch.num_rows)
+            every, offsets = spread(flat, sizes, words.numbers, words.owner, batch.num_rows)
             ids = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((offsets * every.itemsize).astype(np.int32)), pa.py_buffer(every)])
             train = batch.column(3).to_numpy(zero_copy_only=False)
             times = np.bincount(words.numbers[train[words.owner]], minlength=len(sizes))
@@ -383,15 +428,15 @@ def encoded(docs: DataFrame, shipped, kind: str, n_ids: int) -> DataFrame:
                 waiting = [summed_up(waiting)]
                 if waiting[0].num_rows > COUNTED_WORDS or 2 * waiting[0].nbytes > COUNTED_BYTES:
                     yield from counted(waiting.pop())
-            yield rows(batch.num_rows, doc_id=batch.column(0), text_hash=batch.column(1), text=batch.column(2), train=batch.column(3), ids=ids)
+            yield rows(batch.num_rows, row=batch.column(0), doc_id=batch.column(1), text=batch.column(2), train=batch.column(3), ids=ids)
         if sum(w.num_rows for w in waiting):
             yield from counted(summed_up(waiting))
         used = np.nonzero(total)[0]
         yield rows(len(used), id=pa.array(used, pa.int64()), c=pa.array(total[used], pa.int64()))
 
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    keyed = narrow.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", (crc32_remainder("doc_id", FOLDS) != HELD_OUT).alias("train"))
-    return staged(map_arrow(keyed, run, "doc_id long, text_hash long, text string, train boolean, ids binary, word string, id long, c long"), "encoded", compression="zstd")
+    keyed = narrow.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", (crc32_remainder("doc_id", FOLDS) != HELD_OUT).alias("train"))
+    return staged(map_arrow(keyed, run, "row long, doc_id long, text string, train boolean, ids binary, words array<struct<word: string, n: long>>, id long, c long"), "encoded", compression="zstd")
 
 
 def cell_counts(ids: DataFrame, codes: Codes, kind: str) -> np.ndarray:
@@ -438,7 +483,7 @@ def trained(ids: DataFrame, prior: Prior, kind: str, rounds: int = ROUNDS) -> di
                 order = rnd.permutation(len(places))
                 for lo in range(0, len(order), BATCH):
                     at = order[lo:lo + BATCH]
-                    learn(w, classes, places[at], target[at], weight[at], speed)
+                    learn(w, classes, *(x.take(at, axis=0) for x in (places, target, weight)), speed)
                 return len(places)
 
             for batch in batches:
@@ -448,7 +493,7 @@ def trained(ids: DataFrame, prior: Prior, kind: str, rounds: int = ROUNDS) -> di
                 at = first[mine, None] + np.arange(WINDOW)
                 weight = (at < stream.ends[owner[mine], None]).astype(np.float32)
                 at = np.minimum(at, stream.ids.size - 1)
-                waiting.append((codes.place[stream.before][at], codes.of[stream.ids][at], weight))
+                waiting.append((codes.place.take(stream.before.take(at)), codes.of.take(stream.ids.take(at)), weight))
                 n += len(at)
                 if n >= HELD_WINDOWS:
                     seen += take(waiting)
@@ -498,8 +543,8 @@ class Fitted:
         n_ids = max(vocabulary.strings) + 2  # the last id is the end of a text
         self.kind = narrow_ids(n_ids)
         self.rows = encoded(docs, spark.sparkContext.broadcast((text, ProvenTokens(vocabulary, vocabulary.proven()))), self.kind, n_ids)
-        self.words = staged(self.rows.where("word is not null").groupBy("word").agg(F.sum("c").alias("c")), "words")
-        self.n, self.v = self.words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+        self.words = staged(self.rows.where("words is not null").select(F.inline("words")).groupBy("word").agg(F.sum("n").alias("c")), "words")
+        self.n, self.v, self.word_bytes = self.words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.octet_length("word") + 64), F.lit(0))).first()
         counts, ends = np.zeros(n_ids, np.int64), np.zeros(n_ids, np.int8)
         for i, c in self.rows.where("id is not null").groupBy("id").agg(F.sum("c")).collect():  # a row per vocabulary id
             counts[i] = c
@@ -550,30 +595,27 @@ def scored(fitted: Fitted) -> DataFrame:
             owner, number = np.divmod(pairs, max(1, len(keys)))
             offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]), pa.int32())
             cols = {
-                "doc_id": batch.column(0), "text_hash": batch.column(1),
+                "row": batch.column(0), "doc_id": batch.column(1),
                 "n_tokens": pa.array(np.bincount(words.owner, minlength=n) + 1, pa.int64()),
                 "head_known": pa.array(np.bincount(words.owner[known], minlength=n), pa.int64()),
                 "head_score": pa.array(np.bincount(words.owner[known], logs[at[known]], n), pa.float64()),
-                "rare": pa.ListArray.from_arrays(offsets, words.distinct.take(pa.array(number))),
-                "times": pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64())),
+                "rare": pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([words.distinct.take(pa.array(number)), pa.array(times, pa.int64())], fields=list(WORD_COUNT))),
             }
             del words, keys, at, known, pairs, owner, number
             cols["score"] = pa.array(np.concatenate([scorer.texts([np.frombuffer(x, kind) for x in ids.to_pylist()]) for ids in few_ids(batch.column(3))]), pa.float64())
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-    kept = staged(map_arrow(fitted.texts.select("doc_id", "text_hash", "text", "ids"), run, "doc_id long, text_hash long, n_tokens long, head_known long, head_score double, rare array<string>, times array<long>, score double"), "scored")
-    pairs = kept.select("doc_id", "text_hash", "rare", "times").where(F.size("rare") > 0).dropDuplicates(["doc_id", "text_hash"])
-    pairs = pairs.select("doc_id", "text_hash", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("doc_id", "text_hash", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    kept = staged(map_arrow(fitted.texts.select("row", "doc_id", "text", "ids"), run, "row long, doc_id long, n_tokens long, head_known long, head_score double, rare array<struct<word: string, n: long>>, score double"), "scored")
+    # where a partition's counts fit a hash table, nothing is sorted for the join
+    fits = fitted.word_bytes <= HASHED_BYTES * int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     c = F.coalesce("c", F.lit(0))
-    rest = (pairs.join(words, "word", "left").groupBy("doc_id", "text_hash")
-            .agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"), F.sum(F.col("times") * (F.log10(c + 1) - F.lit(below))).alias("rare_score")))
-    rest = staged(rest, "rest").alias("r")
-    s = kept.alias("s")
-    joined = s.join(rest, F.col("s.doc_id").eqNullSafe(F.col("r.doc_id")) & F.col("s.text_hash").eqNullSafe(F.col("r.text_hash")), "left")
+    rest = (kept.select("row", F.inline("rare")).join(words.hint("shuffle_hash") if fits else words, "word", "left").groupBy("row")
+            .agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"), F.sum(F.col("n") * (F.log10(c + 1) - F.lit(below))).alias("rare_score")))
+    joined = kept.join(staged(rest, "rest"), "row", "left")
     end_c = words.where(F.col("word") == END_WORD).select("c").first()
     end_c = end_c[0] if end_c else 0
     return joined.select(
-        F.col("s.doc_id").alias("doc_id"), (crc32_remainder("s.doc_id", FOLDS) == HELD_OUT).alias("held_out"), "n_tokens",
+        "doc_id", (crc32_remainder("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "n_tokens",
         (F.col("head_known") + F.coalesce("rare_known", F.lit(0)) + F.lit(int(end_c > 0))).cast("long").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
         (F.col("head_score") + F.coalesce("rare_score", F.lit(0.0)) + F.lit(math.log10(end_c + 1) - below)).alias("base_score"), "score")
 

@@ -343,6 +343,50 @@ def test_words_are_told_apart_once_for_many_texts():
     assert got == [[x.decode() for x in (t or "").encode().lower().split()] for t in every]
 
 
+def test_ids_of_known_words_are_kept_within_bounds(monkeypatch):
+    class Counting:
+        asked = []
+
+        def stretches(self, words):
+            self.asked += words.to_pylist()
+            sizes = np.array([len(x) for x in words.to_pylist()], np.int64)
+            return np.array([ord(c) for x in words.to_pylist() for c in x], np.int64), sizes
+
+    chunks = [["ab", "", "c"], ["c", "ab", "def"], [], ["def", "ab", "x"]]
+    for bound, asked in ((lm_scoring.KNOWN_BYTES, ["ab", "", "c", "def", "x"]), (0, ["ab", "", "c", "def", "def", "ab", "x"])):
+        monkeypatch.setattr(lm_scoring, "KNOWN_BYTES", bound)
+        Counting.asked = []
+        known = lm_scoring.KnownIds(Counting(), "<u2")
+        for words in chunks:
+            flat, sizes = known.stretches(pa.array(words, pa.string()))
+            assert flat.tolist() == [ord(c) for x in words for c in x] and sizes.tolist() == [len(x) for x in words]
+        assert Counting.asked == asked
+        assert bound or known.words.to_pylist() == chunks[-1]
+
+
+def test_counts_travel_as_lists_and_texts_are_told_by_row(spark):
+    rows = [(7, "same rare words here"), (7, "same rare words here"), (None, "same rare words here"), (None, None), (3, " ".join(f"w{k}" for k in range(30_000)))]
+    fitted = lm_scoring.Fitted(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json"))
+    lists = [len(r["words"]) for r in fitted.rows.where("words is not null").select("words").collect()]
+    assert len(lists) < 30 and sum(lists) >= 30_000  # not a row a word
+    numbers = [r["row"] for r in fitted.texts.select("row").collect()]
+    assert len(set(numbers)) == len(numbers) == len(rows)
+    assert lm_scoring.runs(np.array([40, 40, 10, 500, 1]), 64).tolist() == [0, 2, 4, 5]
+
+
+def test_rare_words_join_the_same_with_and_without_a_hash_table(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "HEAD_WORDS", 5)
+    fitted = lm_scoring.Fitted(documents(spark), public_tokenizers.path("word_bpe_49k.json"))
+    found, plans = [], []
+    real = lm_scoring.staged
+    monkeypatch.setattr(lm_scoring, "staged", lambda df, name, **k: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or real(df, name, **k))
+    for most in (lm_scoring.HASHED_BYTES, -1):
+        monkeypatch.setattr(lm_scoring, "HASHED_BYTES", most)
+        found.append(sorted((str(r["doc_id"]), r["n_known"], round(r["base_score"], 6)) for r in lm_scoring.scored(fitted).collect()))
+    assert found[0] == found[1]
+    assert [("shuffle_hash" in p) for name, p in plans if name == "rest"] == [True, False]
+
+
 def test_gradients_hold_where_plain_exponentials_would_not():
     w, prior = model()
     rnd = np.random.default_rng(4)
