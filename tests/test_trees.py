@@ -182,3 +182,33 @@ def test_tree_of_many_copies_takes_few_rounds_and_no_pairs(spark, monkeypatch):
     every = np.concatenate([x] * 9 + [x[:3]] * 30)
     check(spark, {"s": every[np.random.default_rng(16).permutation(len(every))]}, "euclidean", True, 5)
     assert len(rounds) <= 6
+
+
+def test_tiles_of_a_batch_go_to_many_tasks_without_a_small_table_to_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        got = trees.distances(profiles(spark, {"s": planted(60, 17)}), block=10)
+        assert got.select(F.spark_partition_id().alias("task")).distinct().count() > 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("limit", [None, 150])
+def test_points_left_are_merged_from_their_centres(spark, monkeypatch, limit):
+    monkeypatch.setattr(trees, "LIMIT", 20)
+    monkeypatch.setattr(trees, "SIDE", 32)
+    rounds, real = [], trees._nearest
+    monkeypatch.setattr(trees, "_nearest", lambda c: rounds.append(1) or real(c))
+    x = planted(200, 18)
+    p = profiles(spark, {"s": x})
+    rows = trees.ward_of_points(p, limit).orderBy("step").collect()
+    want = ward(distance_matrix(x), True)
+    assert [(r["a"], r["b"]) for r in rows] == [tuple(m) for m in want.signed().tolist()]
+    assert np.allclose([r["height"] for r in rows], want.heights, rtol=1e-8, atol=1e-6)
+    assert len(rounds) <= (2 if limit else 0)
