@@ -156,6 +156,22 @@ def test_distances_by_blocks_and_parts(spark, monkeypatch, metric):
         assert np.allclose([r["d"] for r in got], [want[r["a"] // 3, r["b"] // 3] for r in got], atol=1e-9)
 
 
+def test_distances_are_rounded_in_the_task(spark):
+    from ploidyforge.plans import catalog, fixtures
+
+    x = planted(40, 19)
+    p = profiles(spark, {"s": np.concatenate([x, x[:2]])})
+    whole = {(r["a"], r["b"]): r["d"] for r in trees.distances(p, "pearson").collect()}
+    got = trees.distances(p, "pearson", digits=6).collect()
+    assert len(got) == len(whole) and all(r["d"] == round(whole[r["a"], r["b"]], 6) and str(r["d"]) != "-0.0" for r in got)
+    asked = catalog.QUERIES["q_dist_pearson"]
+    seen = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(fixtures, "profiles", lambda spark, d: p)
+        seen.append(asked(spark, "")._jdf.queryExecution().optimizedPlan().toString())
+    assert "round(" not in seen[0]
+
+
 def test_a_cell_goes_to_as_many_tasks_however_many_cells(spark):
     from pyspark.sql import functions as F
 
